@@ -1,6 +1,181 @@
-"""Learner queries (placeholder, filled below)."""
-QUERIES = {}
+"""Learner queries: fits, predictions, search and scoring on the soil
+stand-in. Predictions of iterative learners have no SQL form, so most of
+these get a rows-only check; exactness is tested against brute force in
+``tests/``. ``extratrees_split`` and ``mlp_forward`` are SQL-checked.
+"""
 
+from __future__ import annotations
 
-def q_ensemble_metrics(spark, d):
-    raise NotImplementedError
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loam.models import extratrees, mlp, search
+from loam.models.ensemble import gradient_boosting, random_forest
+from loam.operators import diagnostics
+from loam.plans import scoring, standins as S, training
+from loam.plans.catalog import round_doubles
+from loam.schema import FEATURE_LABELS, FEATURES, to_soil_table
+from loam.sources import artifacts
+
+# Small model sizes: the queries check the job shape on whole tables;
+# the full search sizes are configuration, exercised by the bench.
+SMALL = dict(
+    rf_params={"n_estimators": 20, "max_depth": 8, "min_samples_leaf": 2},
+    gb_params={"n_estimators": 20, "max_depth": 4, "learning_rate": 0.1},
+    et_params={"n_estimators": 8, "max_depth": 8, "min_samples_leaf": 2, "max_features": 0.5},
+)
+
+
+def _soil(spark, d) -> DataFrame:
+    return to_soil_table(S.soil_raw(spark, d), S.LINEITEM_KEY)
+
+
+def _prepared(spark, d, **kw) -> training.Prepared:
+    cfg = training.TrainConfig(key_cols=list(S.LINEITEM_KEY), **{**SMALL, **kw})
+    return training.prepare(_soil(spark, d), cfg)
+
+
+def q_ensemble_metrics(spark: SparkSession, d: str) -> DataFrame:
+    p = _prepared(spark, d)
+    model = training.fit_ensemble(p)
+    return round_doubles(training.evaluate(model, p))
+
+
+def _single(spark, d, est_fn, name):
+    p = _prepared(spark, d)
+    tv = p.df.filter(F.col("split").isin("train", "val"))
+    m = est_fn(p).fit(tv)
+    out = m.transform(p.df.filter(F.col("split") == "test"))
+    return out.select(*S.LINEITEM_KEY, F.lit(name).alias("model"),
+                      F.col("y_orig").alias("y"), F.expm1("prediction").alias("pred"))
+
+
+def q_rf_predict(spark, d):
+    return _single(spark, d, lambda p: random_forest(SMALL["rf_params"], weight="weight"), "rf")
+
+
+def q_gbt_predict(spark, d):
+    return _single(spark, d, lambda p: gradient_boosting(SMALL["gb_params"], weight="weight"), "gb")
+
+
+def q_extratrees_predict(spark, d):
+    return _single(
+        spark, d,
+        lambda p: extratrees.ExtraTreesRegressor.from_search_params(
+            SMALL["et_params"], p.feature_names, "label", "weight"),
+        "et",
+    )
+
+
+ET_SPLIT_FEATURES = ["p4_8", "w_opt", "d_max"]
+
+
+def q_extratrees_split(spark, d):
+    t = extratrees.root_candidates(_soil(spark, d), ET_SPLIT_FEATURES, "cbr", seed=42)
+    return t.select("feature", F.round("threshold", 6).alias("threshold"), "n_left", "n_right",
+                    F.round("gain", 4).alias("gain"), "is_best")
+
+
+def q_importance_rank(spark, d):
+    p = _prepared(spark, d)
+    model = training.fit_ensemble(p)
+    imp = training.importances(model, p.feature_names)
+    return diagnostics.importance_rank(imp, ["rf", "et"], labels=FEATURE_LABELS)
+
+
+def q_search_results(spark, d):
+    """Random search with K-fold CV for the RF (3 draws x 3 folds here)."""
+    p = _prepared(spark, d)
+    train = p.df.filter(F.col("split") == "train")
+    res = search.random_search_cv(
+        train, "rf", search.RF_SPACE, n_iter=3, k=3, key_cols=list(S.LINEITEM_KEY),
+        seed=42, overrides={"n_estimators": 10, "max_depth": 6},
+    )
+    return res
+
+
+# A fixed 2-2-1 network: weights are parameters of the query, the rows
+# and the forward pass are Spark's.
+FORWARD_NET = {
+    "W": [np.array([[0.5, -0.3], [0.25, 0.8]]), np.array([[1.5], [-0.7]])],
+    "b": [np.array([0.1, -0.2]), np.array([0.05])],
+}
+
+
+def q_mlp_forward(spark, d):
+    p = S.table(spark, d, "part").select(
+        "p_partkey",
+        (F.col("p_size") / F.lit(50.0)).alias("x1"),
+        ((F.col("p_retailprice") - F.lit(900.0)) / F.lit(100.0)).alias("x2"),
+    )
+    net = mlp.plain_network(FORWARD_NET["W"], FORWARD_NET["b"], negative_slope=0.1)
+    out = mlp.predict_frame(p, net, ["x1", "x2"], "y_hat")
+    return round_doubles(out.select("p_partkey", "y_hat"))
+
+
+def q_mlp_predict(spark, d):
+    p = _prepared(spark, d, use_weights=False)
+    cfg = mlp.MLPConfig(epochs=3, patience=2, batch_size=64, lr=1e-3, dropout=0.1,
+                        shards=4, seed=42)
+    model, history = mlp.fit(p.df, p.feature_names, "label", cfg)
+    out = model.transform(p.df.filter(F.col("split") == "test"))
+    return out.select(*S.LINEITEM_KEY, F.col("y_orig").alias("y"),
+                      F.expm1("prediction").alias("pred"))
+
+
+def q_mlp_history(spark, d):
+    p = _prepared(spark, d, use_weights=False)
+    cfg = mlp.MLPConfig(epochs=4, patience=2, batch_size=64, lr=1e-3, dropout=0.0,
+                        shards=4, seed=42)
+    _, history = mlp.fit(p.df, p.feature_names, "label", cfg)
+    return history
+
+
+def q_score_pipeline(spark, d):
+    p = _prepared(spark, d)
+    model = training.fit_ensemble(p)
+    folder = artifacts_dir(spark)
+    meta = {"cenario": "all", "features_cenario": list(FEATURES),
+            "feature_names": p.feature_names, "log_target": True,
+            "activity": "diff", "compaction_name": "compacidade"}
+    artifacts.save_artifacts(folder, p.scaler, model, meta)
+    art = artifacts.load_artifacts(spark, folder)
+    return scoring.score(_soil(spark, d), art, list(S.LINEITEM_KEY))
+
+
+def artifacts_dir(spark) -> str:
+    """Model folder under the session's checkpoint location (shared storage
+    on a cluster), one per call."""
+    import uuid
+
+    from loam.session import ensure_checkpoint_dir
+
+    base = ensure_checkpoint_dir(spark)
+    return f"{base.rstrip('/')}/models/{uuid.uuid4().hex}"
+
+
+def q_score_alerts(spark, d):
+    """Alert class and two-decimal value of a prediction column (F12, F13);
+    the events value stands in for the model output."""
+    from loam.functions import features
+
+    e = S.table(spark, d, "events")
+    return e.select("event_id", features.round2(F.col("value")).alias("pred_2dp"),
+                    features.alert_class(F.col("value")).alias("alert"))
+
+
+QUERIES = {
+    "ensemble_metrics": q_ensemble_metrics,
+    "rf_predict": q_rf_predict,
+    "gbt_predict": q_gbt_predict,
+    "extratrees_predict": q_extratrees_predict,
+    "extratrees_split": q_extratrees_split,
+    "importance_rank": q_importance_rank,
+    "search_results": q_search_results,
+    "mlp_forward": q_mlp_forward,
+    "mlp_predict": q_mlp_predict,
+    "mlp_history": q_mlp_history,
+    "score_pipeline": q_score_pipeline,
+    "score_alerts": q_score_alerts,
+}

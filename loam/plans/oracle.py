@@ -294,3 +294,41 @@ ORACLE: dict[str, str] = {
         SELECT model, draw, mae_val AS best_mae_val, n_configs FROM o WHERE rn = 1""",
     "early_stop": _EARLY,
 }
+
+ORACLE["extratrees_split"] = f"""
+WITH {_SOIL},
+c AS (SELECT 'p4_8' AS feature, 0 AS f, min(p4_8) AS mn, max(p4_8) AS mx FROM soil
+      UNION ALL SELECT 'w_opt', 1, min(w_opt), max(w_opt) FROM soil
+      UNION ALL SELECT 'd_max', 2, min(d_max), max(d_max) FROM soil),
+t AS (SELECT feature, f, mn + CAST(('0x' || substring(md5('42:0:0:' || f), 1, 8)) AS BIGINT)
+                         / 4294967296.0 * (mx - mn) AS thr FROM c),
+v AS (SELECT t.feature, t.thr,
+        count(*) FILTER (WHERE x <= t.thr) AS n_left,
+        count(*) FILTER (WHERE x > t.thr) AS n_right,
+        var_pop(cbr) AS vp,
+        var_pop(cbr) FILTER (WHERE x <= t.thr) AS vl,
+        var_pop(cbr) FILTER (WHERE x > t.thr) AS vr
+      FROM t JOIN (SELECT 'p4_8' AS feature, p4_8 AS x, cbr FROM soil
+                   UNION ALL SELECT 'w_opt', w_opt, cbr FROM soil
+                   UNION ALL SELECT 'd_max', d_max, cbr FROM soil) s ON s.feature = t.feature
+      GROUP BY t.feature, t.thr),
+g AS (SELECT *, vp - coalesce(vl, 0) * n_left / (n_left + n_right)
+                   - coalesce(vr, 0) * n_right / (n_left + n_right) AS gain FROM v)
+SELECT feature, round(thr, 6) AS threshold, n_left, n_right, round(gain, 4) AS gain,
+       gain = max(gain) OVER () AS is_best
+FROM g
+"""
+
+ORACLE["mlp_forward"] = """
+WITH x AS (SELECT p_partkey, p_size / 50.0 AS x1, (p_retailprice - 900.0) / 100.0 AS x2 FROM part),
+h AS (SELECT p_partkey, x1 * 0.5 + x2 * 0.25 + 0.1 AS z1, x1 * -0.3 + x2 * 0.8 + -0.2 AS z2 FROM x),
+a AS (SELECT p_partkey, CASE WHEN z1 > 0 THEN z1 ELSE 0.1 * z1 END AS a1,
+                        CASE WHEN z2 > 0 THEN z2 ELSE 0.1 * z2 END AS a2 FROM h)
+SELECT p_partkey, round(a1 * 1.5 + a2 * -0.7 + 0.05, 6) AS y_hat FROM a
+"""
+
+ORACLE["score_alerts"] = """
+SELECT event_id, round(value, 2) AS pred_2dp,
+       CASE WHEN value < 2 THEN 'very_low' WHEN value > 100 THEN 'atypical' ELSE 'normal' END AS alert
+FROM events
+"""
