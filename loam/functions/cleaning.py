@@ -40,10 +40,8 @@ def locale_text_to_number_text(c: Column, mode: str = "strict_br") -> Column:
     decimal separator and every earlier one is a thousands separator.
     """
     if mode == "strict_br":
-        s = F.regexp_replace(c, " ", "")
-        s = F.regexp_replace(s, r"\.", "")
-        s = F.regexp_replace(s, ",", ".")
-        return F.trim(s)
+        # one character-mapping pass: ',' -> '.', '.' and ' ' deleted
+        return F.trim(F.translate(c, ",. ", "."))
     if mode == "auto":
         s = F.regexp_replace(c, r"\s", "")
         s = F.regexp_replace(s, r"[.,](?=.*[.,])", "")
@@ -75,11 +73,10 @@ def parse_locale_numbers(
     for i, c in enumerate(text_cols):
         src = F.col(f"`{c}`")
         cleaned = locale_text_to_number_text(src, mode)
-        p = cleaned.try_cast("double")
-        parsed[c] = F.when(cleaned == "", F.lit(None).cast("double")).otherwise(p)
-        bad.append(
-            F.count_if(src.isNotNull() & (cleaned != "") & p.isNull()).alias(f"b{i}")
-        )
+        # '' after cleaning is a missing value, not a bad one
+        p = F.nullif(cleaned, F.lit("")).try_cast("double")
+        parsed[c] = p
+        bad.append(F.count_if(src.isNotNull() & (cleaned != "") & p.isNull()).alias(f"b{i}"))
     row = df.agg(*bad).first()
     decisions = {c: row[f"b{i}"] == 0 for i, c in enumerate(text_cols)}
     out = df.select(
@@ -118,11 +115,11 @@ def mask_outliers(
         dt = present[name]
         if name in cols and isinstance(dt, T.NumericType):
             l, h = bounds.get(name, (lo, hi))
-            exprs.append(
-                F.when((c > F.lit(h)) | (c < F.lit(l)), F.lit(None).cast(dt))
-                .otherwise(c)
-                .alias(name)
-            )
+            # the value is referenced once: when the column is an expensive
+            # expression (a parse) and a filter is pushed through this
+            # projection, it is not evaluated three times per row
+            kept = F.filter(F.array(c), lambda x: (x >= F.lit(l)) & (x <= F.lit(h)))
+            exprs.append(F.try_element_at(kept, F.lit(1)).cast(dt).alias(name))
         else:
             exprs.append(c)
     return df.select(*exprs)
