@@ -161,7 +161,11 @@ def exact_quantiles(
 
     Returns ``{group_tuple: {"n", "min", "max", "q": [values]}}``.
     """
-    groups = list(group_cols or [])
+    if not group_cols:
+        # one constant group: every step below stays an equi-join
+        res = exact_quantiles(df.withColumn("__grp", F.lit(0)), col, probs, ["__grp"], n_buckets)
+        return {(): v for v in res.values()}
+    groups = list(group_cols)
     x = F.col(f"`{col}`").cast("double")
     base = df.select(*[F.col(f"`{g}`") for g in groups], x.alias("__x")).filter(
         F.col("__x").isNotNull() & ~F.isnan("__x")
@@ -195,9 +199,7 @@ def exact_quantiles(
     btab = spark.createDataFrame(
         [tuple(list(g) + [bs]) for g, bs in bounds_by_group.items()], bschema
     )
-    joined = base.join(F.broadcast(btab), groups) if groups else base.crossJoin(
-        F.broadcast(btab)
-    )
+    joined = base.join(F.broadcast(btab), groups)
     bucketed = joined.withColumn(
         "__k", F.size(F.filter("__b", lambda b: b < F.col("__x")))
     ).drop("__b")
