@@ -117,7 +117,7 @@ def q_mlp_forward(spark, d):
 def q_mlp_predict(spark, d):
     p = _prepared(spark, d, use_weights=False)
     cfg = mlp.MLPConfig(epochs=3, patience=2, batch_size=64, lr=1e-3, dropout=0.1,
-                        shards=4, seed=42)
+                        shards=8, seed=42)
     model, history = mlp.fit(p.df, p.feature_names, "label", cfg)
     out = model.transform(p.df.filter(F.col("split") == "test"))
     return out.select(*S.LINEITEM_KEY, F.col("y_orig").alias("y"),
@@ -127,7 +127,7 @@ def q_mlp_predict(spark, d):
 def q_mlp_history(spark, d):
     p = _prepared(spark, d, use_weights=False)
     cfg = mlp.MLPConfig(epochs=4, patience=2, batch_size=64, lr=1e-3, dropout=0.0,
-                        shards=4, seed=42)
+                        shards=8, seed=42)
     _, history = mlp.fit(p.df, p.feature_names, "label", cfg)
     return history
 
