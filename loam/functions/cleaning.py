@@ -99,12 +99,16 @@ def mask_outliers(
     lo: float = OUTLIER_LO,
     hi: float = OUTLIER_HI,
     bounds: dict[str, tuple[float, float]] | None = None,
+    single_reference: bool = False,
 ) -> DataFrame:
     """Null every value outside [lo, hi] in numeric listed columns.
 
     ``bounds`` overrides the limits per column. Columns that are absent or
     not numeric are left alone. NaN compares greater than any number in
-    Spark, so NaN is nulled too.
+    Spark, so NaN is nulled too. ``single_reference`` builds the mask so
+    that each input value is referenced once -- worth it when the inputs
+    are expensive expressions (a parse) that a later filter would
+    otherwise re-evaluate; plain columns use the cheaper CASE form.
     """
     cols = OUTLIER_COLUMNS if columns is None else columns
     bounds = bounds or {}
@@ -118,8 +122,11 @@ def mask_outliers(
             # the value is referenced once: when the column is an expensive
             # expression (a parse) and a filter is pushed through this
             # projection, it is not evaluated three times per row
-            kept = F.filter(F.array(c), lambda x: (x >= F.lit(l)) & (x <= F.lit(h)))
-            exprs.append(F.try_element_at(kept, F.lit(1)).cast(dt).alias(name))
+            if single_reference:
+                kept = F.filter(F.array(c), lambda x: (x >= F.lit(l)) & (x <= F.lit(h)))
+                exprs.append(F.try_element_at(kept, F.lit(1)).cast(dt).alias(name))
+            else:
+                exprs.append(F.when((c >= F.lit(l)) & (c <= F.lit(h)), c).cast(dt).alias(name))
         else:
             exprs.append(c)
     return df.select(*exprs)
@@ -170,7 +177,7 @@ def clean(
 ) -> DataFrame:
     """The cleaning job: parse numbers, mask outliers, drop incomplete rows."""
     parsed = parse_locale_numbers(df, mode=mode)
-    masked = mask_outliers(parsed, columns, lo, hi, bounds)
+    masked = mask_outliers(parsed, columns, lo, hi, bounds, single_reference=True)
     return drop_incomplete(masked)
 
 

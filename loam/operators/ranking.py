@@ -55,6 +55,7 @@ def rank_in_buckets(
     n_buckets: int,
     order_cols: list[Column],
     rank_col: str = "rank",
+    counts: dict[int, int] | None = None,
 ) -> tuple[DataFrame, int]:
     """Global 0-based rank for a bucket column that is monotone in the
     order (bucket i holds only rows that sort before bucket i+1).
@@ -62,9 +63,8 @@ def rank_in_buckets(
     Returns (ranked frame, total rows).
     """
     b = df.withColumn("__bucket", bucket.cast("long"))
-    counts = dict(
-        (int(r[0]), int(r[1])) for r in b.groupBy("__bucket").count().collect()
-    )
+    if counts is None:
+        counts = bucket_counts(b, "__bucket")
     offsets, acc = [], 0
     for i in range(n_buckets):
         offsets.append(acc)
@@ -77,6 +77,12 @@ def rank_in_buckets(
     return ranked, acc
 
 
+def bucket_counts(df: DataFrame, bucket_col: str) -> dict[int, int]:
+    """Rows per bucket: one partially aggregated pass; at most as many
+    rows reach the driver as there are buckets."""
+    return {int(r[0]): int(r[1]) for r in df.groupBy(bucket_col).count().collect()}
+
+
 def hex_digits_for(n: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
     if n <= rows_per_bucket:
         return 1
@@ -94,13 +100,24 @@ def hash_rank(
     """Rank rows by ``(md5(seed:key), key)``: a seeded random permutation
     that does not depend on partitioning. Keys should be unique; tied keys
     get arbitrary, but distinct, ranks."""
-    n = df.count() if n_rows is None else n_rows
-    p = hex_digits_for(n, rows_per_bucket)
     h = hash_key(seed, key_cols)
     withh = df.withColumn("__h", h)
-    bucket = F.conv(F.substring("__h", 1, p), 16, 10).cast("long")
+
+    def bucket_of(p):
+        return F.conv(F.substring("__h", 1, p), 16, 10).cast("long")
+
+    # one pass counts rows per 3-hex-digit bucket (4096 buckets, enough for
+    # ~8.6e9 rows at the default bucket size); only larger inputs need a
+    # second, finer count
+    p = 3 if n_rows is None else max(3, hex_digits_for(n_rows, rows_per_bucket))
+    counts = bucket_counts(withh.withColumn("__bucket", bucket_of(p)), "__bucket")
+    n = sum(counts.values())
+    if n > rows_per_bucket * 16**p and p < MAX_HEX_DIGITS:
+        p = hex_digits_for(n, rows_per_bucket)
+        counts = bucket_counts(withh.withColumn("__bucket", bucket_of(p)), "__bucket")
     ranked, total = rank_in_buckets(
-        withh, bucket, 16**p, [F.col("__h")] + [F.col(f"`{k}`") for k in key_cols], rank_col
+        withh, bucket_of(p), 16**p, [F.col("__h")] + [F.col(f"`{k}`") for k in key_cols],
+        rank_col, counts,
     )
     return ranked.drop("__h"), total
 
