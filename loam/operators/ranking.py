@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 ROWS_PER_BUCKET = 1 << 21
 # Above this many buckets the offsets travel as a broadcast table instead
 # of a literal array inside the plan.
-MAX_LITERAL_BUCKETS = 4096
+MAX_LITERAL_BUCKETS = 256
 MAX_HEX_DIGITS = 6
 
 
@@ -106,10 +106,10 @@ def hash_rank(
     def bucket_of(p):
         return F.conv(F.substring("__h", 1, p), 16, 10).cast("long")
 
-    # one pass counts rows per 3-hex-digit bucket (4096 buckets, enough for
-    # ~8.6e9 rows at the default bucket size); only larger inputs need a
+    # one pass counts rows per 2-hex-digit bucket (256 buckets, enough for
+    # ~5e8 rows at the default bucket size); only larger inputs need a
     # second, finer count
-    p = 3 if n_rows is None else max(3, hex_digits_for(n_rows, rows_per_bucket))
+    p = 2 if n_rows is None else max(2, hex_digits_for(n_rows, rows_per_bucket))
     counts = bucket_counts(withh.withColumn("__bucket", bucket_of(p)), "__bucket")
     n = sum(counts.values())
     if n > rows_per_bucket * 16**p and p < MAX_HEX_DIGITS:
