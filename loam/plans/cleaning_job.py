@@ -13,7 +13,7 @@ from loam.sources import files
 
 
 def run(spark: SparkSession, source: str, out_base: str, mode: str = "strict_br",
-        prefix: str = "dados_processados_") -> dict:
+        prefix: str = "cleaned_v") -> dict:
     """Returns the output path, version, and the before/after row counts."""
     raw = files.read_csv(spark, source)
     df = canonicalize_columns(raw)

@@ -64,13 +64,13 @@ def test_list_files_and_folder_scan(spark, tmpdir_path):
 def test_versioned_sink_uses_max_plus_one(spark, tmpdir_path):
     df = spark.range(3).withColumn("v", F.col("id") * 2)
     base = os.path.join(tmpdir_path, "out")
-    p1, n1 = files.write_versioned(df, base, prefix="dados_processados_")
-    p2, n2 = files.write_versioned(df, base, prefix="dados_processados_")
+    p1, n1 = files.write_versioned(df, base, prefix="cleaned_v")
+    p2, n2 = files.write_versioned(df, base, prefix="cleaned_v")
     assert (n1, n2) == (1, 2)
     import shutil
 
     shutil.rmtree(p1)  # a deletion must not lead to overwriting version 2
-    _, n3 = files.write_versioned(df, base, prefix="dados_processados_")
+    _, n3 = files.write_versioned(df, base, prefix="cleaned_v")
     assert n3 == 3
     assert spark.read.option("header", True).csv(p2).count() == 3
 
