@@ -111,6 +111,8 @@ def test_early_stop_matches_loop(spark):
     hist = [0.9, 0.8, 0.85, 0.7, 0.75, 0.74, 0.73, 0.72, 0.71, 0.69, 0.8]
     df = spark.createDataFrame([(0, e, v) for e, v in enumerate(hist)], "config int, epoch int, val_loss double")
     r = diagnostics.early_stop(df, patience=5).first()
+    blocked = diagnostics.early_stop(df, patience=5, block_size=3).first()
+    assert blocked == r
     best, wait, stop = math.inf, 0, len(hist) - 1
     for e, v in enumerate(hist):
         if v < best:
@@ -140,3 +142,27 @@ def test_importance_rank(spark):
 def test_reduce_lr_rule():
     lrs = diagnostics.reduce_lr_on_plateau([1.0] + [2.0] * 9, 0.1, patience=7)
     assert lrs[:8] == [0.1] * 8 and math.isclose(lrs[8], 0.05)
+
+
+def test_early_stop_blocked_random_histories(spark):
+    rng = np.random.RandomState(4)
+    rows, expect = [], {}
+    for cfg in range(6):
+        vals = np.round(rng.uniform(0, 1, 60) + np.linspace(0.5, 0, 60), 3)
+        best, wait, stop = math.inf, 0, 59
+        for ep, v in enumerate(vals):
+            rows.append((cfg, ep, float(v)))
+            if v < best:
+                best, wait = v, 0
+            else:
+                wait += 1
+                if wait >= 4:
+                    stop = ep
+                    break
+        cut = vals[: stop + 1]
+        expect[cfg] = (stop, int(np.argmin(cut)), stop + 1)
+        rows += [(cfg, ep, float(v)) for ep, v in enumerate(vals) if ep > stop]
+    df = spark.createDataFrame(rows, "config int, epoch int, val_loss double")
+    got = {r.config: (r.stop_epoch, r.best_epoch, r.epochs_run)
+           for r in diagnostics.early_stop(df, patience=4, block_size=7).collect()}
+    assert got == expect
