@@ -1,10 +1,12 @@
 """Weighted mean baseline regressor (M5) -- the reference point every
 learner must beat, and the smallest estimator that honours ``weightCol``.
 
-The fit is one aggregation (per group when ``groupCols`` is set); the
-model holds the fitted constants as a small table that is joined back (AQE
-turns the join into a broadcast when the group table is small at run time)
-with the global mean as fallback for unseen groups.
+The fit is one aggregation (per group when ``groupCols`` is set). Group
+means stay on the cluster: the small fitted table is checkpointed (so
+scoring never re-aggregates the training data) and joined back without a
+broadcast hint -- AQE broadcasts it when its run-time size is small, and
+falls back to a shuffle join when there are many groups. The global mean
+is the fallback for unseen groups.
 """
 
 from __future__ import annotations
@@ -14,10 +16,13 @@ import json
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable, MLReadable, MLReader, \
+    MLWritable, MLWriter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loam.session import cut_lineage
+
 
 class _MeanParams(Params):
     labelCol = Param(Params._dummy(), "labelCol", "label column", TypeConverters.toString)
@@ -46,39 +51,71 @@ class MeanRegressor(Estimator, _MeanParams, DefaultParamsReadable, DefaultParams
         groups = self.getOrDefault("groupCols")
         table = None
         if groups:
-            g = df.groupBy(*groups).agg((F.sum(w * y) / F.sum(w)).alias("__gmean"))
-            # fitted group means are materialised once (a small table: one
-            # row per group) so scoring does not re-aggregate the training data
-            table = g.toPandas().to_json(orient="records")
-        m = MeanModel(globalMean=float(row["m"]) if row["m"] is not None else 0.0,
-                      groupMeansJson=table or "")
+            table = cut_lineage(
+                df.groupBy(*groups).agg((F.sum(w * y) / F.sum(w)).alias("__gmean"))
+            )
+        m = MeanModel(globalMean=float(row["m"]) if row["m"] is not None else 0.0)
+        m.group_means = table
         return self._copyValues(m)
 
 
-class MeanModel(Model, _MeanParams, DefaultParamsReadable, DefaultParamsWritable):
+class MeanModel(Model, _MeanParams, MLReadable, MLWritable):
     globalMean = Param(Params._dummy(), "globalMean", "fitted mean", TypeConverters.toFloat)
-    groupMeansJson = Param(Params._dummy(), "groupMeansJson", "fitted group means", TypeConverters.toString)
 
     @keyword_only
-    def __init__(self, *, globalMean=0.0, groupMeansJson="", labelCol="label",
-                 predictionCol="prediction", weightCol="", groupCols=None):
+    def __init__(self, *, globalMean=0.0, labelCol="label", predictionCol="prediction",
+                 weightCol="", groupCols=None):
         super().__init__()
         self._setDefault(labelCol="label", predictionCol="prediction", weightCol="", groupCols=[],
-                         globalMean=0.0, groupMeansJson="")
+                         globalMean=0.0)
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+        self.group_means: DataFrame | None = None
 
     def _transform(self, df: DataFrame) -> DataFrame:
         out = self.getOrDefault("predictionCol")
         gm = F.lit(float(self.getOrDefault("globalMean")))
         groups = self.getOrDefault("groupCols")
-        table = self.getOrDefault("groupMeansJson")
-        if not groups or not table:
+        if not groups or self.group_means is None:
             return df.withColumn(out, gm)
-        import pandas as pd
-
-        pdf = pd.DataFrame(json.loads(table))
-        schema = df.select(*groups).schema.add("__gmean", "double")
-        means = df.sparkSession.createDataFrame(pdf[groups + ["__gmean"]], schema)
-        return df.join(means, groups, "left").withColumn(
+        return df.join(self.group_means, groups, "left").withColumn(
             out, F.coalesce(F.col("__gmean"), gm)
         ).drop("__gmean")
+
+    def copy(self, extra=None):
+        c = super().copy(extra)
+        c.group_means = self.group_means
+        return c
+
+    def write(self):
+        return _MeanWriter(self)
+
+    @classmethod
+    def read(cls):
+        return _MeanReader()
+
+
+class _MeanWriter(MLWriter):
+    def __init__(self, model: MeanModel):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        m = self.model
+        params = {p.name: m.getOrDefault(p) for p in m.params if m.isDefined(p)}
+        spark = self.sparkSession
+        spark.createDataFrame([(json.dumps(params),)], "params string").coalesce(1) \
+            .write.mode("overwrite").json(f"{path}/params")
+        if m.group_means is not None:
+            m.group_means.write.mode("overwrite").parquet(f"{path}/group_means")
+
+
+class _MeanReader(MLReader):
+    def load(self, path: str) -> MeanModel:
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.getActiveSession()
+        params = json.loads(spark.read.json(f"{path}/params").first()["params"])
+        m = MeanModel(**params)
+        if params.get("groupCols"):
+            m.group_means = spark.read.parquet(f"{path}/group_means")
+        return m

@@ -149,3 +149,17 @@ def test_scoring_batch_equals_stream_and_missing_artifacts(spark, prepared, tmpd
     q.awaitTermination(120)
     streamed = {r.k: r.cbr_pred for r in spark.read.parquet(os.path.join(tmpdir_path, "pred")).collect()}
     assert streamed.keys() == batch.keys() and all(math.isclose(batch[k], streamed[k]) for k in batch)
+
+
+def test_mean_model_persistence(spark, tmpdir_path):
+    df = spark.createDataFrame([(1.0, "a"), (3.0, "a"), (10.0, "b")], "label double, g string")
+    m = MeanRegressor(labelCol="label", groupCols=["g"]).fit(df)
+    path = os.path.join(tmpdir_path, "mean")
+    m.write().save(path)
+    from loam.models.baseline import MeanModel
+
+    again = MeanModel.load(path)
+    new = spark.createDataFrame([("a",), ("b",), ("z",)], "g string")
+    a = {r.g: r.prediction for r in m.transform(new).collect()}
+    b = {r.g: r.prediction for r in again.transform(new).collect()}
+    assert a == b == {"a": 2.0, "b": 10.0, "z": 14.0 / 3}
