@@ -21,6 +21,7 @@ from loam.models.ensemble import VotingRegressor
 from loam.operators import diagnostics, metrics, scaling, splits
 from loam.plans import standins as S
 from loam.schema import FEATURES, TARGET, canonicalize_columns, to_soil_table
+from loam.session import cut_lineage
 from loam.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,7 +52,8 @@ def _events_split(spark, d) -> DataFrame:
 def _events_model_preds(spark, d) -> DataFrame:
     """Three fitted baselines over the events label, predictions rounded to
     2 places: per-type mean, global mean, and the zero predictor."""
-    ev = _events_split(spark, d).cache()
+    # the split (a shuffle) feeds two fits and three scorings: cut lineage
+    ev = cut_lineage(_events_split(spark, d))
     train = ev.filter(F.col("split") == "train")
     gm = MeanRegressor(labelCol="y", predictionCol="pred", groupCols=["event_type"]).fit(train)
     glob = MeanRegressor(labelCol="y", predictionCol="pred").fit(train)
@@ -246,6 +248,11 @@ def q_model_comparison(spark, d):
     return round_doubles(metrics.model_comparison(m))
 
 
+def q_mae_summary(spark, d):
+    p = _events_model_preds(spark, d).filter(F.col("model") == "group_mean")
+    return metrics.mae_summary(metrics.regression_metrics(p, "y", "pred"))
+
+
 def q_residuals(spark, d):
     return round_doubles(_residuals(spark, d).select("event_id", "split", "residual"))
 
@@ -317,6 +324,7 @@ QUERIES: dict[str, Query] = {
     "regression_metrics": q_regression_metrics,
     "metrics_wide": q_metrics_wide,
     "model_comparison": q_model_comparison,
+    "mae_summary": q_mae_summary,
     "residuals": q_residuals,
     "pred_vs_actual_limits": q_pred_vs_actual_limits,
     "residual_histogram": q_residual_histogram,

@@ -95,6 +95,34 @@ def q_search_results(spark, d):
     return res
 
 
+def _search(spark, d, kind, space, overrides):
+    p = _prepared(spark, d)
+    train = p.df.filter(F.col("split") == "train")
+    return search.random_search_cv(
+        train, kind, space, n_iter=3, k=3, key_cols=list(S.LINEITEM_KEY), seed=42,
+        feature_names=p.feature_names, overrides=overrides,
+    )
+
+
+def q_search_results_gb(spark, d):
+    """Random search with K-fold CV for gradient boosting (3 draws x 3 folds)."""
+    return _search(spark, d, "gb", search.GB_SPACE, {"n_estimators": 10, "max_depth": 3})
+
+
+def q_search_results_et(spark, d):
+    """Random search with K-fold CV for the extra-trees (3 draws x 3 folds)."""
+    return _search(spark, d, "et", search.ET_SPACE, {"n_estimators": 4, "max_depth": 6})
+
+
+def q_mlp_search(spark, d):
+    """MLP random search: 3 draws from the lr x batch x dropout space, all
+    trained in shared epoch jobs with early stopping on validation."""
+    p = _prepared(spark, d, use_weights=False)
+    base = mlp.MLPConfig(epochs=3, patience=2, shards=8, seed=42)
+    res = mlp.search(p.df, p.feature_names, "label", search.mlp_draws(3, 42), base)
+    return diagnostics.search_rank(res, "mae_val", "draw")
+
+
 # A fixed 2-2-1 network: weights are parameters of the query, the rows
 # and the forward pass are Spark's.
 FORWARD_NET = {
@@ -173,6 +201,9 @@ QUERIES = {
     "extratrees_split": q_extratrees_split,
     "importance_rank": q_importance_rank,
     "search_results": q_search_results,
+    "search_results_gb": q_search_results_gb,
+    "search_results_et": q_search_results_et,
+    "mlp_search": q_mlp_search,
     "mlp_forward": q_mlp_forward,
     "mlp_predict": q_mlp_predict,
     "mlp_history": q_mlp_history,

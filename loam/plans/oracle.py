@@ -275,6 +275,8 @@ ORACLE: dict[str, str] = {
     "model_comparison": _EVENT_PREDS + "," + _METRICS + """
         SELECT model, round(mse, 6) AS mse, 0.78::DOUBLE AS goal_mse, mse < 0.78 AS goal_met,
                round(mse - 0.78, 6) AS gap_to_goal FROM m WHERE split = 'test'""",
+    "mae_summary": _EVENT_PREDS + "," + _METRICS + """
+        SELECT model, split, printf('+-%.2f', mae) AS typical_error FROM m WHERE model = 'group_mean'""",
     "residuals": _RES + " SELECT event_id, split, round(residual, 6) AS residual FROM res",
     "pred_vs_actual_limits": _EVENT_PREDS + """
         SELECT split, round(least(min(y + 0.0), min(pred + 0.0)) * 0.95, 6) AS lim_lo,
