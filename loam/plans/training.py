@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -85,13 +86,18 @@ def prepare(df: DataFrame, cfg: TrainConfig) -> Prepared:
         if cfg.use_weights else F.lit(1.0),
     )
     split_df, sizes = splits.holdout_split(src, keys, cfg.test_size, cfg.val_size, cfg.seed)
+    if cfg.checkpoint:
+        # the split's shuffle runs once; the scaler fit and every later
+        # pass of the learners read the checkpoint (and survive executor loss)
+        split_df = cut_lineage(split_df)
     scaler = scaling.ColumnMinMaxScaler(inputCols=names, splitCol="split", fitSplits=["train"])
     scaler_model = scaler.fit(split_df)
     scaled = scaler_model.transform(split_df)
     assembled = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="error") \
         .transform(scaled).select(*keys, "split", "label", "y_orig", "weight", *names, "features")
-    if cfg.checkpoint:
-        assembled = cut_lineage(assembled)
+    # cheap projections over the checkpoint; kept in memory for the
+    # iterative fits (a lost block is recomputed from the checkpoint)
+    assembled = assembled.persist(StorageLevel.MEMORY_AND_DISK)
     return Prepared(assembled, sizes, scaler_model, names, cfg)
 
 
