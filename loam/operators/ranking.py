@@ -25,7 +25,9 @@ ROWS_PER_BUCKET = 1 << 21
 # Above this many buckets the offsets travel as a broadcast table instead
 # of a literal array inside the plan.
 MAX_LITERAL_BUCKETS = 256
-MAX_HEX_DIGITS = 6
+MAX_HEX_DIGITS = 5  # <= 1M buckets: the offsets table stays <= ~16 MB
+# Per-group tables (bounds, stats) get a broadcast hint only up to this size.
+MAX_BROADCAST_GROUPS = 100_000
 
 
 def hash_key(seed: int | str, key_cols: list[str]) -> Column:
@@ -132,13 +134,25 @@ def _quantile_bounds(df: DataFrame, col: str, n_buckets: int) -> list[float]:
     return out
 
 
+def bucket_index(bounds: Column, x: Column) -> Column:
+    """``2 * (#bounds < x) + (x is a bound)``: monotone in ``x``, and rows
+    equal to a bound get a bucket of their own -- approximate quantiles
+    land on a hot value, so a value holding a third of the rows becomes a
+    single-valued bucket instead of swelling a mixed one."""
+    below = F.size(F.filter(bounds, lambda b: b < x))
+    return F.lit(2) * below + F.array_contains(bounds, x).cast("int")
+
+
 def value_bucket(col: Column, bounds: list[float]) -> Column:
-    """Index of the bucket of ``col``: number of bounds strictly below it.
-    Monotone in ``col`` and equal values share a bucket."""
+    """Bucket of ``col`` for a sorted list of bounds (see :func:`bucket_index`)."""
     if not bounds:
         return F.lit(0)
     arr = F.array(*[F.lit(float(b)) for b in bounds])
-    return F.size(F.filter(arr, lambda b: b < col.cast("double")))
+    return bucket_index(arr, col.cast("double"))
+
+
+def _maybe_broadcast(df: DataFrame, n_rows: int) -> DataFrame:
+    return F.broadcast(df) if n_rows <= MAX_BROADCAST_GROUPS else df
 
 
 def key_rank(
@@ -156,7 +170,7 @@ def key_rank(
     bounds = _quantile_bounds(df, order_col, nb) if nb > 1 else []
     order = [F.col(f"`{order_col}`")] + [F.col(f"`{c}`") for c in tie_cols or []]
     ranked, _ = rank_in_buckets(
-        df, value_bucket(F.col(f"`{order_col}`"), bounds), len(bounds) + 1, order, rank_col
+        df, value_bucket(F.col(f"`{order_col}`"), bounds), 2 * len(bounds) + 1, order, rank_col
     )
     return ranked
 
@@ -216,10 +230,8 @@ def exact_quantiles(
     btab = spark.createDataFrame(
         [tuple(list(g) + [bs]) for g, bs in bounds_by_group.items()], bschema
     )
-    joined = base.join(F.broadcast(btab), groups)
-    bucketed = joined.withColumn(
-        "__k", F.size(F.filter("__b", lambda b: b < F.col("__x")))
-    ).drop("__b")
+    joined = base.join(_maybe_broadcast(btab, len(bounds_by_group)), groups)
+    bucketed = joined.withColumn("__k", bucket_index(F.col("__b"), F.col("__x"))).drop("__b")
     per_bucket = bucketed.groupBy(*groups, "__k").agg(
         F.count(F.lit(1)).alias("__c"),
         F.min(F.col("__x") + F.lit(0.0)).alias("__bmin"),
@@ -262,7 +274,7 @@ def exact_quantiles(
         sel = spark.createDataFrame([tuple(list(g) + [k]) for g, k in sort_needed], sel_schema)
         w = Window.partitionBy(*groups, "__k").orderBy("__x")
         inb = (
-            bucketed.join(F.broadcast(sel), groups + ["__k"])
+            bucketed.join(_maybe_broadcast(sel, len(sort_needed)), groups + ["__k"])
             .withColumn("__r", F.row_number().over(w) - F.lit(1))
         )
         wanted_rows = {(g, k, rr) for (g, _r), (k, rr) in plan.items()}
@@ -272,7 +284,7 @@ def exact_quantiles(
                 sel_schema.fields + [T.StructField("__r", T.IntegerType())]
             ),
         )
-        got = inb.join(F.broadcast(wtab), groups + ["__k", "__r"]).collect()
+        got = inb.join(_maybe_broadcast(wtab, len(wanted_rows)), groups + ["__k", "__r"]).collect()
         vals = {(tuple(r[k] for k in groups), int(r["__k"]), int(r["__r"])): r["__x"] for r in got}
         for (g, r), (k, rr) in plan.items():
             need[(g, r)] = vals[(g, k, rr)]
