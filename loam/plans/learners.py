@@ -188,9 +188,27 @@ def q_score_alerts(spark, d):
     the events value stands in for the model output."""
     from loam.functions import features
 
-    e = S.table(spark, d, "events")
-    return e.select("event_id", features.round2(F.col("value")).alias("pred_2dp"),
-                    features.alert_class(F.col("value")).alias("alert"))
+    return _alerts(S.table(spark, d, "events"))
+
+
+def _alerts(df):
+    from loam.functions import features
+
+    return df.select("event_id", features.round2(F.col("value")).alias("pred_2dp"),
+                     features.alert_class(F.col("value")).alias("alert"))
+
+
+def q_stream_alerts(spark, d):
+    """The alert/rounding step of scoring run as a Structured Streaming job
+    (file source, available-now trigger, checkpointed foreachBatch sink);
+    returns what the stream wrote."""
+    from loam.streaming.scoring import run_stateless, table_stream
+
+    base = artifacts_dir(spark)
+    q = run_stateless(table_stream(spark, d, "events.parquet"), _alerts,
+                      f"{base}/out", f"{base}/stream-checkpoint")
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").drop("batch")
 
 
 QUERIES = {
@@ -209,4 +227,5 @@ QUERIES = {
     "mlp_history": q_mlp_history,
     "score_pipeline": q_score_pipeline,
     "score_alerts": q_score_alerts,
+    "stream_alerts": q_stream_alerts,
 }

@@ -334,3 +334,5 @@ SELECT event_id, round(value, 2) AS pred_2dp,
        CASE WHEN value < 2 THEN 'very_low' WHEN value > 100 THEN 'atypical' ELSE 'normal' END AS alert
 FROM events
 """
+
+ORACLE["stream_alerts"] = ORACLE["score_alerts"]

@@ -32,7 +32,8 @@ def sample_stream(spark: SparkSession, path: str, schema: T.StructType,
 def start_scoring(stream: DataFrame, art: Artifacts, key_cols: list[str], out_path: str,
                   checkpoint: str, rejected_path: str | None = None,
                   available_now: bool = True, fmt: str = "parquet") -> StreamingQuery:
-    """Score every micro-batch and append predictions (and rejections).
+    """Score every micro-batch and write predictions (and rejections) under
+    ``<out>/batch=<id>``.
 
     ``foreachBatch`` lets each micro-batch use the batch scorer unchanged
     and write two outputs; the checkpoint folder makes the query restart
@@ -40,12 +41,46 @@ def start_scoring(stream: DataFrame, art: Artifacts, key_cols: list[str], out_pa
     """
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
+        # one folder per batch id, overwritten on replay: a batch re-run after
+        # a failure replaces its own output instead of appending it twice
         batch = batch.persist()
-        scoring.score(batch, art, key_cols).write.mode("append").format(fmt).save(out_path)
+        scoring.score(batch, art, key_cols).write.mode("overwrite").format(fmt) \
+            .save(f"{out_path}/batch={batch_id}")
         if rejected_path:
-            scoring.rejected(batch, art, key_cols).write.mode("append").format(fmt).save(rejected_path)
+            scoring.rejected(batch, art, key_cols).write.mode("overwrite").format(fmt) \
+                .save(f"{rejected_path}/batch={batch_id}")
         batch.unpersist()
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
+
+
+def table_stream(spark: SparkSession, folder: str, file_glob: str,
+                 schema: T.StructType | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Files of one table in ``folder`` (``file_glob``) as a stream; the
+    schema is taken from the current files when not given."""
+    if schema is None:
+        schema = spark.read.option("pathGlobFilter", file_glob).parquet(folder).schema
+    r = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return r.parquet(folder)
+
+
+def run_stateless(stream: DataFrame, transform, out_path: str, checkpoint: str,
+                  available_now: bool = True, fmt: str = "parquet") -> StreamingQuery:
+    """Apply a batch transform to every micro-batch and append the result.
+
+    The transform is the same function the batch path uses, so batch and
+    stream results agree by construction; the checkpoint makes restarts
+    resume from the last committed batch.
+    """
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        # idempotent per batch id (see start_scoring)
+        transform(batch).write.mode("overwrite").format(fmt).save(f"{out_path}/batch={batch_id}")
+
+    w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()

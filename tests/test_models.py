@@ -147,7 +147,7 @@ def test_scoring_batch_equals_stream_and_missing_artifacts(spark, prepared, tmpd
     q = start_scoring(sample_stream(spark, src, samples.schema), art, ["k"],
                       os.path.join(tmpdir_path, "pred"), os.path.join(tmpdir_path, "ck"))
     q.awaitTermination(120)
-    streamed = {r.k: r.cbr_pred for r in spark.read.parquet(os.path.join(tmpdir_path, "pred")).collect()}
+    streamed = {r.k: r.cbr_pred for r in spark.read.parquet(os.path.join(tmpdir_path, "pred")).drop("batch").collect()}
     assert streamed.keys() == batch.keys() and all(math.isclose(batch[k], streamed[k]) for k in batch)
 
 
