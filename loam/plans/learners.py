@@ -172,6 +172,33 @@ def q_score_pipeline(spark, d):
     return scoring.score(_soil(spark, d), art, list(S.LINEITEM_KEY))
 
 
+SCENARIO_A = ["p4_8", "p2_0", "p0_42", "p0_076", "ll", "ip"]
+
+
+def q_score_pipeline_baseline(spark, d):
+    """Scenario scoring end to end with the weighted-mean baseline as the
+    model: train on the scenario's features (+ derived), save scaler, model
+    and metadata, load them, score input that carries only the scenario's
+    columns (range rules of the scenario, features in trained order,
+    scaling, inverse transform, alerts)."""
+    from loam.models.baseline import MeanRegressor
+    from loam.models.ensemble import VotingRegressor
+
+    cfg = training.TrainConfig(key_cols=list(S.LINEITEM_KEY), features=list(SCENARIO_A),
+                               derived=True, activity="identity_ip", compaction_name="compactacao")
+    p = training.prepare(_soil(spark, d), cfg)
+    tv = p.df.filter(F.col("split").isin("train", "val"))
+    model = VotingRegressor(members=[("mean", MeanRegressor(labelCol="label"))],
+                            weightCol="weight").fit(tv)
+    folder = artifacts_dir(spark)
+    artifacts.save_artifacts(folder, p.scaler, model, {
+        "cenario": "A", "features_cenario": list(SCENARIO_A), "feature_names": p.feature_names,
+        "log_target": True, "activity": "identity_ip", "compaction_name": "compactacao"})
+    art = artifacts.load_artifacts(spark, folder)
+    partial = _soil(spark, d).select(*S.LINEITEM_KEY, *SCENARIO_A)
+    return round_doubles(scoring.score(partial, art, list(S.LINEITEM_KEY)))
+
+
 def artifacts_dir(spark) -> str:
     """Model folder under the session's checkpoint location (shared storage
     on a cluster), one per call."""
@@ -226,6 +253,7 @@ QUERIES = {
     "mlp_predict": q_mlp_predict,
     "mlp_history": q_mlp_history,
     "score_pipeline": q_score_pipeline,
+    "score_pipeline_baseline": q_score_pipeline_baseline,
     "score_alerts": q_score_alerts,
     "stream_alerts": q_stream_alerts,
 }

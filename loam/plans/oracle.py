@@ -336,3 +336,28 @@ FROM events
 """
 
 ORACLE["stream_alerts"] = ORACLE["score_alerts"]
+
+_KEYCAT = ("'42:' || CAST(l_orderkey AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR) || ':' "
+           "|| CAST(l_partkey AS VARCHAR) || ':' || CAST(l_suppkey AS VARCHAR)")
+ORACLE["score_pipeline_baseline"] = f"""
+WITH {_SOIL},
+c AS (SELECT * FROM soil WHERE p4_8 BETWEEN 1 AND 3000 AND p2_0 BETWEEN 1 AND 3000
+        AND p0_42 BETWEEN 1 AND 3000 AND p0_076 BETWEEN 1 AND 3000 AND ll BETWEEN 1 AND 3000
+        AND ip BETWEEN 1 AND 3000 AND cbr BETWEEN 1 AND 3000),
+r AS (SELECT c.*, row_number() OVER (ORDER BY md5({_KEYCAT}), {_KEYS}) - 1 AS rk,
+             count(*) OVER () AS n FROM c),
+s AS (SELECT *, CASE WHEN rk < ceil(CAST(0.2 AS DOUBLE) * n) THEN 'test'
+                     WHEN rk < ceil(CAST(0.2 AS DOUBLE) * n)
+                               + ceil(CAST(0.15 AS DOUBLE) * (n - ceil(CAST(0.2 AS DOUBLE) * n))) THEN 'val'
+                     ELSE 'train' END AS split FROM r),
+m AS (SELECT sum(w * lab) / sum(w) AS mu
+      FROM (SELECT ln(1 + cbr) AS lab, CASE WHEN cbr > 25 THEN 3.0 ELSE 1.0 END AS w
+            FROM s WHERE split IN ('train', 'val'))),
+v AS (SELECT {_KEYS} FROM soil WHERE p4_8 BETWEEN 0 AND 100 AND p2_0 BETWEEN 0 AND 100
+        AND p0_42 BETWEEN 0 AND 100 AND p0_076 BETWEEN 0 AND 100 AND ll BETWEEN 0 AND 100
+        AND ip BETWEEN 0 AND 80)
+SELECT {_KEYS}, round(exp(mu) - 1, 6) AS cbr_pred, round(round(exp(mu) - 1, 2), 6) AS cbr_pred_2dp,
+       CASE WHEN exp(mu) - 1 < 2 THEN 'very_low' WHEN exp(mu) - 1 > 100 THEN 'atypical'
+            ELSE 'normal' END AS alert
+FROM v CROSS JOIN m
+"""
