@@ -166,3 +166,17 @@ def test_early_stop_blocked_random_histories(spark):
     got = {r.config: (r.stop_epoch, r.best_epoch, r.epochs_run)
            for r in diagnostics.early_stop(df, patience=4, block_size=7).collect()}
     assert got == expect
+
+
+def test_key_rank_with_hot_value_and_ties(spark):
+    rng = np.random.RandomState(8)
+    vals = np.concatenate([rng.randint(0, 500, 1400), np.full(700, 250)])  # a third share one value
+    rows = [(float(v), i) for i, v in enumerate(vals)]
+    df = spark.createDataFrame(rows, "m double, draw long")
+    out = ranking.key_rank(df, "m", ["draw"], "r", rows_per_bucket=50)
+    got = {r.draw: r.r for r in out.collect()}
+    want = {d: i for i, (_, d) in enumerate(sorted(rows))}
+    assert got == want
+    b = ranking.value_bucket(F.col("m"), [100.0, 250.0, 400.0])
+    ks = {r.m: r.k for r in df.select("m", b.alias("k")).distinct().collect()}
+    assert ks[250.0] == 3 and all(ks[v] <= 2 for v in ks if v < 250) and all(ks[v] >= 4 for v in ks if v > 250)
