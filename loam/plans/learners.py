@@ -39,6 +39,7 @@ def _prepared(spark, d, **kw) -> training.Prepared:
 def q_ensemble_metrics(spark: SparkSession, d: str) -> DataFrame:
     p = _prepared(spark, d)
     model = training.fit_ensemble(p)
+    p.release()
     return round_doubles(training.evaluate(model, p))
 
 
@@ -46,6 +47,7 @@ def _single(spark, d, est_fn, name):
     p = _prepared(spark, d)
     tv = p.df.filter(F.col("split").isin("train", "val"))
     m = est_fn(p).fit(tv)
+    p.release()
     out = m.transform(p.df.filter(F.col("split") == "test"))
     return out.select(*S.LINEITEM_KEY, F.lit(name).alias("model"),
                       F.col("y_orig").alias("y"), F.expm1("prediction").alias("pred"))

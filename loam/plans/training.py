@@ -66,6 +66,10 @@ class Prepared:
     feature_names: list[str]
     config: TrainConfig
 
+    def release(self) -> None:
+        """Free the in-memory copy; later reads go to the written table."""
+        self.df.unpersist()
+
 
 def prepare(df: DataFrame, cfg: TrainConfig) -> Prepared:
     """Canonical soil table in, prepared training table out."""
@@ -95,8 +99,8 @@ def prepare(df: DataFrame, cfg: TrainConfig) -> Prepared:
     scaled = scaler_model.transform(split_df)
     assembled = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="error") \
         .transform(scaled).select(*keys, "split", "label", "y_orig", "weight", *names, "features")
-    # cheap projections over the checkpoint; kept in memory for the
-    # iterative fits (a lost block is recomputed from the checkpoint)
+    # kept in memory for the iterative fits; a lost block is recomputed from
+    # the written table, and release() frees it when the fits are done
     assembled = assembled.persist(StorageLevel.MEMORY_AND_DISK)
     return Prepared(assembled, sizes, scaler_model, names, cfg)
 
@@ -131,12 +135,13 @@ def predictions(model, p: Prepared, splits_: tuple = ("val", "test")) -> DataFra
     split_label = F.when(F.col("split") == "val", F.lit("val_in_sample")).otherwise(F.col("split"))
     cols = {"ensemble": "prediction"}
     cols.update({n: f"pred_{n}" for n, _ in model.members})
-    out = None
-    for name, c in cols.items():
-        part = scored.select(*keys, split_label.alias("split"), F.lit(name).alias("model"),
-                             F.col("y_orig").alias("y"), inv(F.col(c)).alias("pred"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    # the model runs once per row; the per-model predictions are unpivoted
+    # with one explode (a union of four selects would score four times)
+    pairs = F.array(*[F.struct(F.lit(n).alias("model"), inv(F.col(c)).alias("pred"))
+                      for n, c in cols.items()])
+    return scored.select(*keys, split_label.alias("split"), F.col("y_orig").alias("y"),
+                         F.explode(pairs).alias("__p")) \
+        .select(*keys, "split", "__p.model", "y", "__p.pred")
 
 
 def evaluate(model, p: Prepared) -> DataFrame:
