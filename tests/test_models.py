@@ -163,3 +163,13 @@ def test_mean_model_persistence(spark, tmpdir_path):
     a = {r.g: r.prediction for r in m.transform(new).collect()}
     b = {r.g: r.prediction for r in again.transform(new).collect()}
     assert a == b == {"a": 2.0, "b": 10.0, "z": 14.0 / 3}
+
+
+def test_mlp_flat_roundtrip_and_average():
+    a = mlp.init_params(4, mlp.MLPConfig(), seed=1)
+    b = mlp.init_params(4, mlp.MLPConfig(), seed=2)
+    a["t"], b["t"] = 10, 30
+    back = mlp.unflat(mlp.flat(a), a)
+    assert np.array_equal(mlp.flat(back), mlp.flat(a))
+    avg = mlp.unflat((1 * mlp.flat(a) + 3 * mlp.flat(b)) / 4, a)
+    assert np.allclose(avg["W"][0], (a["W"][0] + 3 * b["W"][0]) / 4) and avg["t"] == 25
