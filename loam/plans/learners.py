@@ -82,6 +82,7 @@ def q_extratrees_split(spark, d):
 def q_importance_rank(spark, d):
     p = _prepared(spark, d)
     model = training.fit_ensemble(p)
+    p.release()
     imp = training.importances(model, p.feature_names)
     return diagnostics.importance_rank(imp, ["rf", "et"], labels=FEATURE_LABELS)
 
@@ -94,16 +95,19 @@ def q_search_results(spark, d):
         train, "rf", search.RF_SPACE, n_iter=3, k=3, key_cols=list(S.LINEITEM_KEY),
         seed=42, overrides={"n_estimators": 10, "max_depth": 6},
     )
+    p.release()
     return res
 
 
 def _search(spark, d, kind, space, overrides):
     p = _prepared(spark, d)
     train = p.df.filter(F.col("split") == "train")
-    return search.random_search_cv(
+    res = search.random_search_cv(
         train, kind, space, n_iter=3, k=3, key_cols=list(S.LINEITEM_KEY), seed=42,
         feature_names=p.feature_names, overrides=overrides,
     )
+    p.release()
+    return res
 
 
 def q_search_results_gb(spark, d):
@@ -122,6 +126,7 @@ def q_mlp_search(spark, d):
     p = _prepared(spark, d, use_weights=False)
     base = mlp.MLPConfig(epochs=3, patience=2, shards=8, seed=42)
     res = mlp.search(p.df, p.feature_names, "label", search.mlp_draws(3, 42), base)
+    p.release()
     return diagnostics.search_rank(res, "mae_val", "draw")
 
 
@@ -149,6 +154,7 @@ def q_mlp_predict(spark, d):
     cfg = mlp.MLPConfig(epochs=3, patience=2, batch_size=64, lr=1e-3, dropout=0.1,
                         shards=8, seed=42)
     model, history = mlp.fit(p.df, p.feature_names, "label", cfg)
+    p.release()
     out = model.transform(p.df.filter(F.col("split") == "test"))
     return out.select(*S.LINEITEM_KEY, F.col("y_orig").alias("y"),
                       F.expm1("prediction").alias("pred"))
@@ -159,12 +165,14 @@ def q_mlp_history(spark, d):
     cfg = mlp.MLPConfig(epochs=4, patience=2, batch_size=64, lr=1e-3, dropout=0.0,
                         shards=8, seed=42)
     _, history = mlp.fit(p.df, p.feature_names, "label", cfg)
+    p.release()
     return history
 
 
 def q_score_pipeline(spark, d):
     p = _prepared(spark, d)
     model = training.fit_ensemble(p)
+    p.release()
     folder = artifacts_dir(spark)
     meta = {"cenario": "all", "features_cenario": list(FEATURES),
             "feature_names": p.feature_names, "log_target": True,
@@ -192,6 +200,7 @@ def q_score_pipeline_baseline(spark, d):
     tv = p.df.filter(F.col("split").isin("train", "val"))
     model = VotingRegressor(members=[("mean", MeanRegressor(labelCol="label"))],
                             weightCol="weight").fit(tv)
+    p.release()
     folder = artifacts_dir(spark)
     artifacts.save_artifacts(folder, p.scaler, model, {
         "cenario": "A", "features_cenario": list(SCENARIO_A), "feature_names": p.feature_names,

@@ -97,3 +97,15 @@ def test_alerts(spark):
     df = spark.createDataFrame([(1.99,), (2.0,), (100.0,), (100.004,)], "p double")
     out = df.select(features.alert_class(F.col("p")).alias("a"), features.round2(F.col("p")).alias("r"))
     assert [r.a for r in out.collect()] == ["very_low", "normal", "normal", "atypical"]
+
+
+def test_auto_mode_separators(spark):
+    df = spark.createDataFrame([("1.234,5",), ("1,234.5",), ("12,5",), ("7",)], "a string")
+    out = [r.a for r in cleaning.parse_locale_numbers(df, mode="auto").collect()]
+    assert out == [1234.5, 1234.5, 12.5, 7.0]
+
+
+def test_fill_missing_features(spark):
+    df = spark.createDataFrame([(1.0,)], "ll double")
+    out = cleaning.fill_missing_features(df, ["ll", "ip"]).first()
+    assert out.ll == 1.0 and out.ip == 0.0
