@@ -94,6 +94,12 @@ def prepare(df: DataFrame, cfg: TrainConfig) -> Prepared:
         # the split's shuffle runs once; the scaler fit and every later
         # pass of the learners read the checkpoint (and survive executor loss)
         split_df = cut_lineage(split_df)
+    # small inputs come back in few partitions (AQE coalesces them); spread
+    # them over every core for the iterative fits -- by key, so a recompute
+    # gives the same layout. Large inputs already have enough partitions.
+    par = split_df.sparkSession.sparkContext.defaultParallelism
+    if keys and split_df.rdd.getNumPartitions() < par:
+        split_df = split_df.repartition(par, *keys)
     scaler = scaling.ColumnMinMaxScaler(inputCols=names, splitCol="split", fitSplits=["train"])
     scaler_model = scaler.fit(split_df)
     scaled = scaler_model.transform(split_df)
