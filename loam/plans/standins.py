@@ -67,10 +67,14 @@ def soil_dirty_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     cols = []
     for n, e in _soil_exprs():
+        # both columns are integer-valued: '21,0' and '1.850' are built with
+        # plain string functions (same text as a locale formatter would give)
         if n == "LL ":
-            e = F.translate(F.format_number(e, 1), ",.", ".,")
+            e = F.concat(e.cast("long").cast("string"), F.lit(",0"))
         elif n == "Densidade máxima ":
-            e = F.translate(F.format_number(e, 0), ",.", ".,")
+            v = e.cast("long")
+            e = F.concat((v / 1000).cast("long").cast("string"), F.lit("."),
+                         F.lpad((v % 1000).cast("string"), 3, "0"))
         cols.append(e.alias(n))
     return li.select(*LINEITEM_KEY, F.col("l_returnflag").alias("flag"), *cols)
 
