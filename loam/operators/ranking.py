@@ -67,12 +67,22 @@ def rank_in_buckets(
     b = df.withColumn("__bucket", bucket.cast("long"))
     if counts is None:
         counts = bucket_counts(b, "__bucket")
-    offsets, acc = [], 0
-    for i in range(n_buckets):
-        offsets.append(acc)
-        acc += counts.get(i, 0)
     w = Window.partitionBy("__bucket").orderBy(*order_cols)
-    ranked = _with_offsets(b, "__bucket", offsets, "__offset")
+    if n_buckets <= MAX_LITERAL_BUCKETS:
+        offsets, acc = [], 0
+        for i in range(n_buckets):
+            offsets.append(acc)
+            acc += counts.get(i, 0)
+        ranked = _with_offsets(b, "__bucket", offsets, "__offset")
+    else:
+        # sparse: one row per bucket that holds data (at most the bucket
+        # count, a bound fixed before the job)
+        present, acc = [], 0
+        for k in sorted(counts):
+            present.append((int(k), acc))
+            acc += counts[k]
+        off = df.sparkSession.createDataFrame(present, "__bucket long, __offset long")
+        ranked = b.join(F.broadcast(off) if len(present) <= (1 << 20) else off, "__bucket")
     ranked = ranked.withColumn(
         rank_col, F.col("__offset") + F.row_number().over(w) - F.lit(1)
     ).drop("__bucket", "__offset")
@@ -168,11 +178,31 @@ def key_rank(
     n = df.count()
     nb = max(1, min(4096, math.ceil(n / rows_per_bucket)))
     bounds = _quantile_bounds(df, order_col, nb) if nb > 1 else []
-    order = [F.col(f"`{order_col}`")] + [F.col(f"`{c}`") for c in tie_cols or []]
-    ranked, _ = rank_in_buckets(
-        df, value_bucket(F.col(f"`{order_col}`"), bounds), 2 * len(bounds) + 1, order, rank_col
-    )
-    return ranked
+    ties = list(tie_cols or [])
+    order = [F.col(f"`{order_col}`")] + [F.col(f"`{c}`") for c in ties]
+    k1 = value_bucket(F.col(f"`{order_col}`"), bounds)
+    n1 = 2 * len(bounds) + 1
+    with_k = df.withColumn("__k1", k1)
+    counts = bucket_counts(with_k, "__k1")
+    # a bucket of one order value (odd index) far above the target size is a
+    # hot value: split it again on quantiles of the first tie column, so its
+    # rows are ranked by many tasks instead of one
+    hot = [k for k, c in counts.items() if k % 2 == 1 and c > 4 * rows_per_bucket]
+    tie_numeric = bool(ties) and isinstance(df.schema[ties[0]].dataType, T.NumericType)
+    if not hot or not tie_numeric:
+        ranked, _ = rank_in_buckets(df, k1, n1, order, rank_col, counts)
+        return ranked
+    sub_bounds = {}
+    for k in hot:
+        part = with_k.filter(F.col("__k1") == k)
+        sub_bounds[k] = _quantile_bounds(part, ties[0], math.ceil(counts[k] / rows_per_bucket))
+    s_max = 2 * max(len(v) for v in sub_bounds.values()) + 1
+    sub = F.lit(0)
+    for k, bs in sub_bounds.items():
+        sub = F.when(F.col("__k1") == k, value_bucket(F.col(f"`{ties[0]}`"), bs)).otherwise(sub)
+    combined = F.col("__k1").cast("long") * F.lit(s_max) + sub
+    ranked, _ = rank_in_buckets(with_k, combined, n1 * s_max, order, rank_col)
+    return ranked.drop("__k1")
 
 
 def exact_quantiles(
