@@ -20,7 +20,7 @@ from loam.models.baseline import MeanRegressor
 from loam.models.ensemble import VotingRegressor
 from loam.operators import diagnostics, metrics, scaling, splits
 from loam.plans import standins as S
-from loam.schema import FEATURES, TARGET, canonicalize_columns, to_soil_table
+from loam.schema import canonicalize_columns, to_soil_table
 from loam.session import cut_lineage
 from loam.sources import files
 
