@@ -176,8 +176,11 @@ def key_rank(
     after drops (P8). Buckets come from approximate quantiles of the
     numeric order column, so they stay balanced for skewed keys."""
     n = df.count()
-    nb = max(1, min(4096, math.ceil(n / rows_per_bucket)))
-    bounds = _quantile_bounds(df, order_col, nb) if nb > 1 else []
+    # at least one bucket per core, so even small inputs are ranked by many
+    # tasks (a single constant bucket would plan as one partition)
+    par = max(2, df.sparkSession.sparkContext.defaultParallelism)
+    nb = max(par, min(4096, math.ceil(n / rows_per_bucket)))
+    bounds = _quantile_bounds(df, order_col, nb) if n > 1 else []
     ties = list(tie_cols or [])
     order = [F.col(f"`{order_col}`")] + [F.col(f"`{c}`") for c in ties]
     k1 = value_bucket(F.col(f"`{order_col}`"), bounds)
