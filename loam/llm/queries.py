@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import ann, bpe, decontam, html, quality, urls, warc
+from loam.llm import ann, bpe, decontam, fmindex, html, ngram, quality, suffix, urls, warc
 from loam.llm.common import table
 
 
@@ -17,10 +17,18 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.report(table(spark, sf_dir, "documents"))
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -44,12 +52,15 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmindex.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_benchmark_decontamination, op3_html_extraction, op5_nearest_neighbours, op6_quality_classifier,
-    op7_bpe_round_trip, op8_url_filter, op10_warc_salvage,
+    op1_benchmark_decontamination, op2_ngram_jaccard_join, op3_html_extraction, op4_suffix_array_dedup, op5_nearest_neighbours,
+    op6_quality_classifier, op7_bpe_round_trip, op8_url_filter, op9_substring_dedup, op10_warc_salvage,
 )}
-ORACLE: dict[str, str] = {}
