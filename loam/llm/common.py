@@ -15,6 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def hide(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with all its columns under neutral names, which no column of an
+    operator clashes with, and the new name of each."""
+    names = {c: f"_k{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[df[c].alias(n) for c, n in names.items()]), names
+
+
+def show(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The hidden columns under their own names again."""
+    return df.select(*[df[n].alias(c) for c, n in names.items()])
+
+
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import cut_lineage
+from loam.llm.common import cut_lineage, hide, show
 
 SPAN = 13
 GRAM = 5
@@ -126,4 +126,6 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    return find(docs, benchmark, id_col, text_col, docs.columns).where(~_contaminated()).select(*docs.columns)
+    plain, names = hide(docs)
+    found = find(plain, benchmark, names[id_col], names[text_col], list(names.values()))
+    return show(found.where(~_contaminated()), names)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import slices
+from loam.llm.common import hide, show, slices
 
 FEATURES = (
     "log_chars", "log_words", "mean_word", "upper", "digit", "space", "newline", "punct", "symbol", "non_ascii",
@@ -204,6 +204,7 @@ def score(docs: DataFrame, model: BoostedTrees, id_col: str = "doc_id", text_col
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that the classifier does not reject, with all their columns."""
-    mark = "_quality_score"
-    scored = score(docs, fit(docs, labels, id_col, text_col), id_col, text_col, docs.columns, mark)
-    return scored.where(F.col(mark) >= THRESHOLD).drop(mark)
+    plain, names = hide(docs)
+    model = fit(docs, labels, id_col, text_col)
+    scored = score(plain, model, names[id_col], names[text_col], list(names.values()), "_score")
+    return show(scored.where(F.col("_score") >= THRESHOLD), names)

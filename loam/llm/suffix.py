@@ -25,10 +25,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
 from loam.llm import repeats
-from loam.llm.common import sha256_hex, slices
+from loam.llm.common import hide, sha256_hex, show, slices
 
 SPAN = 100
 GRAM = 37
@@ -173,18 +172,17 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
     """docs with the repeated bytes cut from the text. A character goes if all
     of its bytes go, so what stays is valid text; a null text stays null."""
-    others = [c for c in docs.columns if c != text_col]
-    named = {c: f"_k{i}" for i, c in enumerate(others)}
-    plain = docs.select(*[docs[c].alias(n) for c, n in named.items()], docs[text_col].alias("_t"))
-    found = find(plain, named[id_col], "_t", [*named.values(), "_t"], span).select(*named.values(), "_t", "marks")
-    fields = [T.StructField(n, docs.schema[c].dataType) for c, n in named.items()]
-    schema = T.StructType([*fields, T.StructField("_t", T.StringType())])
+    plain, names = hide(docs)
+    text = names[text_col]
+    keep = list(names.values())
+    found = find(plain, names[id_col], text, keep, span).select(*keep, "marks")
+    at = keep.index(text)
 
     def run(batches):
         for big in batches:
-            for b in slices(big, "_t"):
-                texts = b.column(len(named)).to_pylist()
-                for i, marks in enumerate(b.column(len(named) + 1).to_pylist()):
+            for b in slices(big, text):
+                texts = b.column(at).to_pylist()
+                for i, marks in enumerate(b.column(len(keep)).to_pylist()):
                     if marks:
                         raw = np.frombuffer(texts[i].encode(), dtype=np.uint8)
                         gone = repeats.cover(len(raw), marks, span)
@@ -192,9 +190,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         whole = np.logical_and.reduceat(gone, head)
                         gone = np.repeat(whole, np.diff(np.concatenate([head, [len(raw)]])))
                         texts[i] = raw[~gone].tobytes().decode()
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(named)], pa.array(texts, pa.string())], [*named.values(), "_t"])
+                cols = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(b.columns[: len(keep)])]
+                yield pa.RecordBatch.from_arrays(cols, keep)
 
-    cut = found.mapInArrow(run, schema)
-    back = {n: c for c, n in named.items()} | {"_t": text_col}
-    order = {c: n for n, c in back.items()}
-    return cut.select(*[cut[order[c]].alias(c) for c in docs.columns])
+    return show(found.mapInArrow(run, plain.schema), names)
