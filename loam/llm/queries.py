@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loam.llm import ann, bpe, decontam, fmindex, html, ngram, quality, suffix, urls, warc
 from loam.llm.common import table
+from loam.llm.oracle import ORACLE  # noqa: F401  (read by the driver contract)
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
