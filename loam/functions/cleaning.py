@@ -49,6 +49,15 @@ def locale_text_to_number_text(c: Column, mode: str = "strict_br") -> Column:
     raise ValueError(f"unknown mode {mode!r}")
 
 
+def number_or_null(text: Column) -> Column:
+    """Text as double, null unless it is written as a plain decimal number.
+
+    Spark's cast also takes type suffixes and words (``12D``, ``7f``,
+    ``Infinity``); only digits, sign, point and exponent count here."""
+    plain = F.translate(F.trim(text), "0123456789+-.eE", "") == ""
+    return F.when(plain, text.try_cast("double"))
+
+
 def parse_locale_numbers(
     df: DataFrame,
     columns: list[str] | None = None,
@@ -74,7 +83,7 @@ def parse_locale_numbers(
         src = F.col(f"`{c}`")
         cleaned = locale_text_to_number_text(src, mode)
         # '' after cleaning is a missing value, not a bad one
-        p = F.nullif(cleaned, F.lit("")).try_cast("double")
+        p = number_or_null(F.nullif(cleaned, F.lit("")))
         parsed[c] = p
         bad.append(F.count_if(src.isNotNull() & (cleaned != "") & p.isNull()).alias(f"b{i}"))
     row = df.agg(*bad).first()
@@ -90,7 +99,7 @@ def parse_locale_numbers(
 
 def parse_decimal_comma(c: Column) -> Column:
     """One value with ``,`` or ``.`` as decimal separator; bad text -> null."""
-    return F.regexp_replace(c, ",", ".").try_cast("double")
+    return number_or_null(F.translate(c, ",", "."))
 
 
 def mask_outliers(
@@ -99,16 +108,12 @@ def mask_outliers(
     lo: float = OUTLIER_LO,
     hi: float = OUTLIER_HI,
     bounds: dict[str, tuple[float, float]] | None = None,
-    single_reference: bool = False,
 ) -> DataFrame:
     """Null every value outside [lo, hi] in numeric listed columns.
 
     ``bounds`` overrides the limits per column. Columns that are absent or
     not numeric are left alone. NaN compares greater than any number in
-    Spark, so NaN is nulled too. ``single_reference`` builds the mask so
-    that each input value is referenced once -- worth it when the inputs
-    are expensive expressions (a parse) that a later filter would
-    otherwise re-evaluate; plain columns use the cheaper CASE form.
+    Spark, so NaN is nulled too.
     """
     cols = OUTLIER_COLUMNS if columns is None else columns
     bounds = bounds or {}
@@ -119,14 +124,7 @@ def mask_outliers(
         dt = present[name]
         if name in cols and isinstance(dt, T.NumericType):
             l, h = bounds.get(name, (lo, hi))
-            # the value is referenced once: when the column is an expensive
-            # expression (a parse) and a filter is pushed through this
-            # projection, it is not evaluated three times per row
-            if single_reference:
-                kept = F.filter(F.array(c), lambda x: (x >= F.lit(l)) & (x <= F.lit(h)))
-                exprs.append(F.try_element_at(kept, F.lit(1)).cast(dt).alias(name))
-            else:
-                exprs.append(F.when((c >= F.lit(l)) & (c <= F.lit(h)), c).cast(dt).alias(name))
+            exprs.append(F.when((c >= F.lit(l)) & (c <= F.lit(h)), c).cast(dt).alias(name))
         else:
             exprs.append(c)
     return df.select(*exprs)
@@ -177,8 +175,16 @@ def clean(
 ) -> DataFrame:
     """The cleaning job: parse numbers, mask outliers, drop incomplete rows."""
     parsed = parse_locale_numbers(df, mode=mode)
-    masked = mask_outliers(parsed, columns, lo, hi, bounds, single_reference=True)
-    return drop_incomplete(masked)
+    masked = mask_outliers(parsed, columns, lo, hi, bounds)
+    return drop_incomplete(evaluated_once(masked))
+
+
+def evaluated_once(df: DataFrame) -> DataFrame:
+    """``df`` behind a one-row generator: a later filter is not pushed below
+    it, so the parse and the mask run once per row and not once more inside
+    the filter."""
+    row = F.struct(*[F.col(f"`{c}`").alias(c) for c in df.columns])
+    return df.select(F.inline(F.array(row)))
 
 
 def _within(c: Column, lo: float, hi: float) -> Column:

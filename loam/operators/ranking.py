@@ -32,10 +32,91 @@ MAX_BROADCAST_GROUPS = 100_000
 
 def hash_key(seed: int | str, key_cols: list[str]) -> Column:
     """``md5('<seed>:<k1>[:<k2>...]')``: a seeded, uniform, reproducible order."""
-    parts = [F.lit(str(seed))] + [F.col(f"`{k}`").cast("string") for k in key_cols]
+    # a null key is a value of its own (concat_ws alone would skip it)
+    parts = [F.lit(str(seed))] + [
+        F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("\0")) for k in key_cols
+    ]
     return F.md5(F.concat_ws(":", *parts))
 
 
+#: A hash bucket is read row by row once it holds at most this many keys.
+CUT_ROWS = 4096
+
+
+def cut_positions(
+    df: DataFrame, key_cols: list[str], seed: int | str, ranks_of
+) -> tuple[int, list[tuple]]:
+    """The keys that stand at given ranks of the seeded hash order, without
+    ranking (or moving) any row.
+
+    Rows are counted per hash prefix; only the prefixes that hold a wanted
+    rank are counted finer, until they hold at most ``CUT_ROWS`` keys. The
+    driver receives 256 counts, then at most 4096 per cut and level.
+    ``ranks_of(n)`` gives the wanted 0-based ranks for ``n`` rows. Returns n
+    and one (hash, *key) tuple per rank below n. Rows with equal keys cannot
+    be told apart: a cut inside such a group moves to its start, so they all
+    get the same label.
+    """
+    base = df.select(hash_key(seed, key_cols).alias("__h"), *[F.col(f"`{k}`") for k in key_cols])
+
+    def count(frame, p):
+        rows = frame.groupBy(F.substring("__h", 1, p).alias("p")).count().collect()
+        return {r["p"]: r["count"] for r in rows}
+
+    p = 2
+    counts = count(base, p)
+    n = sum(counts.values())
+    wanted = [r for r in ranks_of(n) if r < n]
+    if not wanted:
+        return n, []
+
+    def locate(counts, ranks):
+        """prefix -> (ranks that fall into it, counted from its start)."""
+        out: dict[str, list] = {}
+        start, todo = 0, sorted(ranks, key=lambda x: x[0])
+        for k in sorted(counts):
+            while todo and todo[0][0] < start + counts[k]:
+                local, which = todo.pop(0)
+                out.setdefault(k, []).append((local - start, which))
+            start += counts[k]
+        return out
+
+    held = locate(counts, [(r, i) for i, r in enumerate(wanted)])
+    while p < 32 and max(counts[k] for k in held) > CUT_ROWS:
+        finer_p = min(32, p + 3)
+        finer = count(base.filter(F.substring("__h", 1, p).isin(list(held))), finer_p)
+        nxt: dict[str, list] = {}
+        for k, ranks in held.items():
+            inside = {q: c for q, c in finer.items() if q[:p] == k}
+            nxt.update(locate(inside, ranks))
+        held, counts, p = nxt, finer, finer_p
+    groups: dict[str, list] = {}
+    rows = (
+        base.filter(F.substring("__h", 1, p).isin(list(held)))
+        .groupBy("__h", *[F.col(f"`{k}`") for k in key_cols]).count().collect()
+    )
+    for r in rows:
+        groups.setdefault(r[0][:p], []).append(tuple(r))
+    cuts: list[tuple] = [()] * len(wanted)
+    order = lambda t: (t[0], *[(v is not None, v) for v in t[1:-1]])
+    for k, ranks in held.items():
+        at, todo = 0, sorted(ranks)
+        for t in sorted(groups[k], key=order):
+            while todo and todo[0][0] < at + t[-1]:
+                cuts[todo.pop(0)[1]] = t[:-1]
+            at += t[-1]
+    return n, cuts
+
+
+def before_cut(key_cols: list[str], seed: int | str, cut: tuple, df: DataFrame) -> Column:
+    """Whether a row sorts before a cut key in the seeded hash order."""
+    h = hash_key(seed, key_cols)
+    lits = [F.lit(v).cast(df.schema[k].dataType) for k, v in zip(key_cols, cut[1:])]
+    own = F.struct(*[F.col(f"`{k}`").alias(f"c{i}") for i, k in enumerate(key_cols)])
+    its = F.struct(*[v.alias(f"c{i}") for i, v in enumerate(lits)])
+    return (h < F.lit(cut[0])) | ((h == F.lit(cut[0])) & (own < its))
+
+
 def _with_offsets(df: DataFrame, bucket_col: str, offsets: list[int], out: str) -> DataFrame:
     if len(offsets) <= MAX_LITERAL_BUCKETS:
         arr = F.array(*[F.lit(int(o)).cast("long") for o in offsets])
@@ -161,6 +242,27 @@ def value_bucket(col: Column, bounds: list[float]) -> Column:
     return bucket_index(arr, col.cast("double"))
 
 
+def nulls_first_bucket(col: Column, bounds: list[float]) -> Column:
+    """Bucket 0 for nulls (they sort first), the others from 1 on."""
+    return F.when(col.isNull(), F.lit(0)).otherwise(value_bucket(col, bounds) + 1)
+
+
+def order_proxy(df: DataFrame, name: str) -> Column:
+    """A double that never decreases where the column's order increases:
+    numbers themselves, seconds of dates and times, the first six bytes of
+    text. Rows of one proxy value stay in one bucket and are ordered there by
+    the column itself."""
+    c, t = F.col(f"`{name}`"), df.schema[name].dataType
+    if isinstance(t, (T.NumericType, T.BooleanType)):
+        return c.cast("double")
+    if isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return c.cast("timestamp").cast("double")
+    if isinstance(t, T.StringType):
+        six = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0")
+        return F.conv(six, 16, 10).cast("double")
+    raise TypeError(f"cannot rank by {name}: {t.simpleString()}")
+
+
 def _maybe_broadcast(df: DataFrame, n_rows: int) -> DataFrame:
     return F.broadcast(df) if n_rows <= MAX_BROADCAST_GROUPS else df
 
@@ -173,39 +275,41 @@ def key_rank(
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """0-based position in ``(order_col, *tie_cols)`` order: the row index
-    after drops (P8). Buckets come from approximate quantiles of the
-    numeric order column, so they stay balanced for skewed keys."""
+    after drops (P8). Nulls come first. Buckets come from approximate
+    quantiles of the order column (of :func:`order_proxy` of it), so they
+    stay balanced for skewed keys."""
+    source, df = df.columns, df.withColumn("__x", order_proxy(df, order_col))
     n = df.count()
     # at least one bucket per core, so even small inputs are ranked by many
     # tasks (a single constant bucket would plan as one partition)
     par = max(2, df.sparkSession.sparkContext.defaultParallelism)
-    nb = max(par, min(4096, math.ceil(n / rows_per_bucket)))
-    bounds = _quantile_bounds(df, order_col, nb) if n > 1 else []
+    nb = max(par, math.ceil(n / rows_per_bucket))
+    bounds = _quantile_bounds(df, "__x", nb) if n > 1 else []
     ties = list(tie_cols or [])
     order = [F.col(f"`{order_col}`")] + [F.col(f"`{c}`") for c in ties]
-    k1 = value_bucket(F.col(f"`{order_col}`"), bounds)
-    n1 = 2 * len(bounds) + 1
+    k1 = nulls_first_bucket(F.col("__x"), bounds)
+    n1 = 2 * len(bounds) + 2
     with_k = df.withColumn("__k1", k1)
     counts = bucket_counts(with_k, "__k1")
-    # a bucket of one order value (odd index) far above the target size is a
+    # a bucket of one order value (even index) far above the target size is a
     # hot value: split it again on quantiles of the first tie column, so its
     # rows are ranked by many tasks instead of one
-    hot = [k for k, c in counts.items() if k % 2 == 1 and c > 4 * rows_per_bucket]
+    hot = [k for k, c in counts.items() if k and k % 2 == 0 and c > 4 * rows_per_bucket]
     tie_numeric = bool(ties) and isinstance(df.schema[ties[0]].dataType, T.NumericType)
     if not hot or not tie_numeric:
         ranked, _ = rank_in_buckets(df, k1, n1, order, rank_col, counts)
-        return ranked
+        return ranked.select(*source, rank_col)
     sub_bounds = {}
     for k in hot:
         part = with_k.filter(F.col("__k1") == k)
         sub_bounds[k] = _quantile_bounds(part, ties[0], math.ceil(counts[k] / rows_per_bucket))
-    s_max = 2 * max(len(v) for v in sub_bounds.values()) + 1
+    s_max = 2 * max(len(v) for v in sub_bounds.values()) + 2
     sub = F.lit(0)
     for k, bs in sub_bounds.items():
-        sub = F.when(F.col("__k1") == k, value_bucket(F.col(f"`{ties[0]}`"), bs)).otherwise(sub)
+        sub = F.when(F.col("__k1") == k, nulls_first_bucket(F.col(f"`{ties[0]}`"), bs)).otherwise(sub)
     combined = F.col("__k1").cast("long") * F.lit(s_max) + sub
     ranked, _ = rank_in_buckets(with_k, combined, n1 * s_max, order, rank_col)
-    return ranked.drop("__k1")
+    return ranked.select(*source, rank_col)
 
 
 def exact_quantiles(

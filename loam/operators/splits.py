@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.operators.ranking import hash_rank, key_rank
+from loam.operators.ranking import before_cut, cut_positions, hash_rank, key_rank
 
 
 @dataclass(frozen=True)
@@ -44,8 +44,23 @@ def holdout_split(
     """Add ``split`` in {'test', 'val', 'train'}.
 
     The first ``n_test`` rows of the seeded permutation are test, the next
-    ``n_val`` validation, the rest train.
+    ``n_val`` validation, the rest train. Only the two rows at the cuts are
+    looked up (:func:`cut_positions`); all others are labelled where they
+    are, by comparing their key hash -- no row is shuffled. Keys should be
+    unique: rows with equal keys get one label, and sizes are then exact up
+    to such a group. ``keep_rank`` adds the rank itself, which needs a sort.
     """
+    if not keep_rank:
+        size = lambda n: split_sizes(n, test_size, val_size)
+        n, cuts = cut_positions(df, key_cols, seed, lambda n: [size(n).test, size(n).test + size(n).val])
+        label = F.lit("train") if len(cuts) == 2 else F.lit("val")
+        if len(cuts) == 2:
+            label = F.when(before_cut(key_cols, seed, cuts[1], df), F.lit("val")).otherwise(label)
+        if cuts:
+            label = F.when(before_cut(key_cols, seed, cuts[0], df), F.lit("test")).otherwise(label)
+        else:
+            label = F.lit("test")
+        return df.withColumn(split_col, label), size(n)
     ranked, n = hash_rank(df, key_cols, seed, rank_col="__rank")
     sz = split_sizes(n, test_size, val_size)
     r = F.col("__rank")
@@ -55,23 +70,7 @@ def holdout_split(
         .when(r < F.lit(sz.test + sz.val), F.lit("val"))
         .otherwise(F.lit("train")),
     )
-    out = out.withColumnRenamed("__rank", "split_rank") if keep_rank else out.drop("__rank")
-    return out, sz
-
-
-def fold_of_rank(rank_col: str, n: int, k: int):
-    """Fold index for contiguous rank ranges; the first ``n % k`` folds are
-    one row larger (same sizes as shuffled K-fold)."""
-    q, rem = divmod(n, k)
-    big = rem * (q + 1)
-    r = F.col(rank_col)
-    if q == 0:
-        return r.cast("int")
-    return (
-        F.when(r < F.lit(big), F.floor(r / F.lit(q + 1)))
-        .otherwise(F.lit(rem) + F.floor((r - F.lit(big)) / F.lit(q)))
-        .cast("int")
-    )
+    return out.withColumnRenamed("__rank", "split_rank"), sz
 
 
 def assign_folds(
@@ -82,11 +81,19 @@ def assign_folds(
     fold_col: str = "fold",
 ) -> DataFrame:
     """Shuffled K-fold assignment (X2); the fold column feeds
-    ``CrossValidator(foldCol=...)``."""
-    ranked, n = hash_rank(df, key_cols, seed, rank_col="__rank")
+    ``CrossValidator(foldCol=...)``. Folds are ranges of the seeded hash
+    order between ``k - 1`` looked-up cuts; no row is shuffled."""
+    def starts(n):  # the first n % k folds are one row larger
+        q, rem = divmod(n, k)
+        return [i * q + min(i, rem) for i in range(1, k)]
+
+    n, cuts = cut_positions(df, key_cols, seed, starts)
     if n < k:
         raise ValueError(f"{k} folds need at least {k} rows, got {n}")
-    return ranked.withColumn(fold_col, fold_of_rank("__rank", n, k)).drop("__rank")
+    fold = F.lit(k - 1)
+    for i in reversed(range(k - 1)):
+        fold = F.when(before_cut(key_cols, seed, cuts[i], df), F.lit(i)).otherwise(fold)
+    return df.withColumn(fold_col, fold.cast("int"))
 
 
 def split_report(df: DataFrame, split_col: str = "split") -> DataFrame:

@@ -18,7 +18,7 @@ def run(spark: SparkSession, source: str, out_base: str, mode: str = "strict_br"
     raw = files.read_csv(spark, source)
     df = canonicalize_columns(raw)
     parsed = cleaning.parse_locale_numbers(df, mode=mode)
-    masked = cleaning.mask_outliers(parsed, single_reference=True)
+    masked = cleaning.evaluated_once(cleaning.mask_outliers(parsed))
     report = cleaning.cleaning_report(masked).first().asDict()
     cleaned: DataFrame = cleaning.drop_incomplete(masked)
     path, version = files.write_versioned(cleaned, out_base, prefix=prefix)

@@ -123,7 +123,7 @@ def q_search_results_et(spark, d):
 def q_mlp_search(spark, d):
     """MLP random search: 3 draws from the lr x batch x dropout space, all
     trained in shared epoch jobs with early stopping on validation."""
-    p = _prepared(spark, d, use_weights=False)
+    p = _prepared(spark, d, use_weights=False, derived=True, log_target=False)
     base = mlp.MLPConfig(epochs=3, patience=2, shards=8, seed=42)
     res = mlp.search(p.df, p.feature_names, "label", search.mlp_draws(3, 42), base)
     p.release()
@@ -150,18 +150,18 @@ def q_mlp_forward(spark, d):
 
 
 def q_mlp_predict(spark, d):
-    p = _prepared(spark, d, use_weights=False)
+    p = _prepared(spark, d, use_weights=False, derived=True, log_target=False)
     cfg = mlp.MLPConfig(epochs=3, patience=2, batch_size=64, lr=1e-3, dropout=0.1,
                         shards=8, seed=42)
     model, history = mlp.fit(p.df, p.feature_names, "label", cfg)
     p.release()
     out = model.transform(p.df.filter(F.col("split") == "test"))
     return out.select(*S.LINEITEM_KEY, F.col("y_orig").alias("y"),
-                      F.expm1("prediction").alias("pred"))
+                      F.col("prediction").alias("pred"))
 
 
 def q_mlp_history(spark, d):
-    p = _prepared(spark, d, use_weights=False)
+    p = _prepared(spark, d, use_weights=False, derived=True, log_target=False)
     cfg = mlp.MLPConfig(epochs=4, patience=2, batch_size=64, lr=1e-3, dropout=0.0,
                         shards=8, seed=42)
     _, history = mlp.fit(p.df, p.feature_names, "label", cfg)

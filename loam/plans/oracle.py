@@ -130,12 +130,12 @@ _HIST = _RES + """,
                   quantile_cont(residual, 0.25) AS q1, quantile_cont(residual, 0.75) AS q3
            FROM res GROUP BY split),
     w AS (SELECT *, (mx - mn) / (log2(n) + 1.0) AS sturges,
-                 2.0 * (q3 - q1) * pow(n, -1.0 / 3.0) AS fd FROM st),
-    nb AS (SELECT split, mn, mx,
+                 greatest(2.0 * (q3 - q1) * pow(n, -1.0 / 3.0), (mx - mn) / sqrt(n) / 2.0) AS fd FROM st),
+    nb AS (SELECT split, CASE WHEN mx <= mn THEN mn - 0.5 ELSE mn END AS mn, CASE WHEN mx <= mn THEN mx + 0.5 ELSE mx END AS mx,
              CAST(CASE WHEN mx <= mn THEN 1
-                  ELSE greatest(1, ceil((mx - mn) / (CASE WHEN fd > 0 THEN least(fd, sturges) ELSE sturges END)))
+                  ELSE greatest(1, ceil((mx - mn) / least(fd, sturges)))
                   END AS INTEGER) AS k FROM w),
-    bins AS (SELECT nb.*, CAST(b.range AS INTEGER) AS bin FROM nb, range(0, 100000) b WHERE b.range < nb.k),
+    bins AS (SELECT nb.*, CAST(b.range AS INTEGER) AS bin FROM (SELECT *, unnest(range(0, k)) AS range FROM nb) AS b JOIN nb USING (split)),
     cnt AS (SELECT res.split,
                CAST(CASE WHEN nb.mx > nb.mn
                     THEN least(floor((residual - nb.mn) * nb.k / (nb.mx - nb.mn)), nb.k - 1) ELSE 0 END AS INTEGER) AS bin,

@@ -44,6 +44,7 @@ class TrainConfig:
     seed: int = 42
     clean: bool = True
     checkpoint: bool = True
+    partitions: int = 16             # of the training table; part of the fitted result (bagging), raise it with the data
     rf_params: dict = field(default_factory=lambda: {"n_estimators": 100, "max_depth": 12})
     gb_params: dict = field(default_factory=lambda: {"n_estimators": 100, "max_depth": 4,
                                                      "learning_rate": 0.1})
@@ -94,12 +95,11 @@ def prepare(df: DataFrame, cfg: TrainConfig) -> Prepared:
         # the split's shuffle runs once; the scaler fit and every later
         # pass of the learners read the checkpoint (and survive executor loss)
         split_df = cut_lineage(split_df)
-    # small inputs come back in few partitions (AQE coalesces them); spread
-    # them over every core for the iterative fits -- by key, so a recompute
-    # gives the same layout. Large inputs already have enough partitions.
-    par = split_df.sparkSession.sparkContext.defaultParallelism
-    if keys and split_df.rdd.getNumPartitions() < par:
-        split_df = split_df.repartition(par, *keys)
+    # The layout depends on the keys and the configured count alone: MLlib's
+    # bagging draws per partition, so core count and file layout must not show.
+    if keys:
+        spread = F.pmod(F.xxhash64(*keys), F.lit(cfg.partitions)).cast("int")
+        split_df = split_df.repartitionById(cfg.partitions, spread).sortWithinPartitions(*keys)
     scaler = scaling.ColumnMinMaxScaler(inputCols=names, splitCol="split", fitSplits=["train"])
     scaler_model = scaler.fit(split_df)
     scaled = scaler_model.transform(split_df)
@@ -172,7 +172,3 @@ def model_session():
     from pyspark.sql import SparkSession
 
     return SparkSession.getActiveSession()
-
-
-def log_threshold(threshold: float) -> float:
-    return math.log1p(threshold)

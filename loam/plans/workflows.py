@@ -92,8 +92,10 @@ class MLPResult:
 
 def mlp_job(df: DataFrame, cfg: training.TrainConfig, sizes: MLPSizes | None = None) -> MLPResult:
     """Random search over (lr, batch, dropout) with early stopping on the
-    validation rows, then the final fit on train with validation-only early
-    stopping and the LR plateau rule, then metrics on val/test."""
+    validation rows, then a fit on train with validation-only early stopping
+    and the LR plateau rule, which gives the epoch count; the final model is
+    fitted anew on train + validation for that many epochs. Metrics on
+    val (in sample by then) and test."""
     sizes = sizes or MLPSizes()
     p = training.prepare(df, cfg)
     draws = search.mlp_draws(sizes.draws, cfg.seed)
@@ -105,7 +107,12 @@ def mlp_job(df: DataFrame, cfg: training.TrainConfig, sizes: MLPSizes | None = N
     final_cfg = mlp.MLPConfig(lr=best["lr"], batch_size=best["batch_size"], dropout=best["dropout"],
                               epochs=sizes.final_epochs, patience=sizes.final_patience,
                               reduce_lr=True, shards=sizes.shards, seed=cfg.seed)
-    model, hist = mlp.fit(p.df, p.feature_names, "label", final_cfg, weight)
+    chosen = mlp.fit_many(p.df, p.feature_names, "label", [final_cfg], weight)
+    hist = mlp.history_frame(df.sparkSession, chosen)
+    both = p.df.withColumn("split", F.when(F.col("split") == "val", "train").otherwise(F.col("split")))
+    epochs = max(1, chosen[0]["best_epoch"] + 1)
+    refit_cfg = mlp.MLPConfig(**{**final_cfg.__dict__, "epochs": epochs, "reduce_lr": False})
+    model, _ = mlp.fit(both, p.feature_names, "label", refit_cfg, weight)
     scored = model.transform(p.df.filter(F.col("split").isin("val", "test")))
     inv = F.expm1("prediction") if cfg.log_target else F.col("prediction")
     preds = scored.select(F.lit("mlp").alias("model"), "split", F.col("y_orig").alias("y"),

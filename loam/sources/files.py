@@ -115,23 +115,32 @@ def list_files(spark: SparkSession, folder: str, suffix: str = ".csv") -> list[d
 def read_csv_folder(
     spark: SparkSession, folder: str, na_tokens: list[str] | None = None
 ) -> DataFrame:
-    """Read every ``*.csv`` of a folder in one scan, keeping the file name.
+    """Read every ``*.csv`` of a folder, keeping the file name.
 
-    The file name comes from the hidden ``_metadata`` column of the file
-    source, so no per-file driver loop is needed.
+    Files are grouped by their header line and each group is one scan, so a
+    file with its columns in another order is read by its own header; groups
+    are put together by name, a column that a group lacks is null. Only one
+    line per file is looked at beforehand. The file name comes from the
+    hidden ``_metadata`` column of the file source.
     """
     files = list_files(spark, folder)
     if not files:
         raise SourceNotFoundError(f"no CSV file in {folder}")
     tokens = PANDAS_NA_TOKENS if na_tokens is None else na_tokens
-    raw = (
-        spark.read.option("header", True)
-        .option("pathGlobFilter", "*.csv")
-        .option("inferSchema", False)
-        .csv(folder)
-    )
-    cols = [_na_to_null(F.col(f"`{c}`"), tokens).alias(c) for c in raw.columns]
-    return raw.select(*cols, F.col("_metadata.file_name").alias("source_file"))
+    layouts: dict[tuple, list[str]] = {}
+    for f in files:
+        path = f"{folder.rstrip('/')}/{f['name']}"
+        head = spark.read.option("header", True).option("inferSchema", False).csv(path).columns
+        layouts.setdefault(tuple(head), []).append(path)
+    parts = []
+    for head, paths in layouts.items():
+        raw = spark.read.option("header", True).option("inferSchema", False).csv(paths)
+        cols = [_na_to_null(F.col(f"`{c}`"), tokens).alias(c) for c in head]
+        parts.append(raw.select(*cols, F.col("_metadata.file_name").alias("source_file")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out.select(*[c for c in out.columns if c != "source_file"], "source_file")
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:

@@ -109,3 +109,12 @@ def test_fill_missing_features(spark):
     df = spark.createDataFrame([(1.0,)], "ll double")
     out = cleaning.fill_missing_features(df, ["ll", "ip"]).first()
     assert out.ll == 1.0 and out.ip == 0.0
+
+
+def test_codes_with_a_type_suffix_stay_text(spark):
+    df = spark.createDataFrame([("12D", "1,5"), ("7F", "2e3"), ("3d", " -4 ")], "code string, num string")
+    out = cleaning.parse_locale_numbers(df)
+    assert dict(out.dtypes) == {"code": "string", "num": "double"}
+    assert [r["num"] for r in out.collect()] == [1.5, 2000.0, -4.0]
+    got = df.select(cleaning.parse_decimal_comma(F.col("code")).alias("c"), cleaning.parse_decimal_comma(F.col("num")).alias("n")).collect()
+    assert [r["c"] for r in got] == [None] * 3 and [r["n"] for r in got] == [1.5, 2000.0, -4.0]

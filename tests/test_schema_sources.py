@@ -82,3 +82,14 @@ def test_profile_and_shape(spark):
     assert prof["s"].n_null == 1 and prof["s"].max_value == 2.0
     assert prof["d"].n_null == 1
     assert files.shape(df) == (2, 3)
+
+
+def test_folder_scan_reads_each_file_by_its_own_header(spark, tmpdir_path):
+    import os
+
+    with open(os.path.join(tmpdir_path, "a.csv"), "w") as f:
+        f.write("LL,IP\n40,10\n")
+    with open(os.path.join(tmpdir_path, "b.csv"), "w") as f:
+        f.write("IP,LL,X\n11,41,z\n")
+    got = sorted(tuple(r) for r in files.read_csv_folder(spark, tmpdir_path).select("LL", "IP", "X", "source_file").collect())
+    assert got == [("40", "10", None, "a.csv"), ("41", "11", "z", "b.csv")]

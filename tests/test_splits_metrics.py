@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loam.operators import diagnostics, metrics, ranking, scaling, splits
@@ -180,3 +181,56 @@ def test_key_rank_with_hot_value_and_ties(spark):
     b = ranking.value_bucket(F.col("m"), [100.0, 250.0, 400.0])
     ks = {r.m: r.k for r in df.select("m", b.alias("k")).distinct().collect()}
     assert ks[250.0] == 3 and all(ks[v] <= 2 for v in ks if v < 250) and all(ks[v] >= 4 for v in ks if v > 250)
+
+
+def test_split_moves_no_row_and_keeps_exact_sizes(spark):
+    df = spark.range(498).withColumn("s", F.concat(F.lit("k"), F.col("id")))
+    out, sz = splits.holdout_split(df, ["id", "s"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    n = {r["split"]: r["count"] for r in out.groupBy("split").count().collect()}
+    assert n == {"test": 100, "val": 60, "train": 338} == {"test": sz.test, "val": sz.val, "train": sz.train}
+    ranked, _ = splits.holdout_split(df, ["id", "s"], keep_rank=True)
+    assert {(r["id"], r["split"]) for r in out.select("id", "split").collect()} == {
+        (r["id"], r["split"]) for r in ranked.select("id", "split").collect()
+    }
+    folds = splits.assign_folds(df, ["id"], 10)
+    assert "Exchange" not in folds._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["count"] for r in folds.groupBy("fold").count().collect()) == [49, 49] + [50] * 8
+
+
+def test_split_equal_and_null_keys_stay_together(spark):
+    rows = [(i // 3 if i < 90 else None, i) for i in range(100)]
+    df = spark.createDataFrame(rows, "k long, v long")
+    out, _ = splits.holdout_split(df, ["k"])
+    assert out.groupBy("k").agg(F.countDistinct("split").alias("c")).where("c > 1").count() == 0
+    assert out.count() == 100
+
+
+def test_key_rank_takes_nulls_text_and_dates(spark):
+    rows = [(None, 1), ("b", 2), ("a", 3), ("", 4), ("é", 5), ("ab", 6), ("abcdefgh", 7), ("abcdefgg", 8), (None, 0)]
+    df = spark.createDataFrame(rows, "t string, i long")
+    want = [i for _, i in sorted(rows, key=lambda r: (r[0] is not None, (r[0] or "").encode(), r[1]))]
+    got = [r["i"] for r in ranking.key_rank(df, "t", ["i"], "r").orderBy("r").collect()]
+    assert got == want
+    dates = df.withColumn("d", F.expr("date_add(date'2020-01-01', cast(i as int))"))
+    assert [r["i"] for r in ranking.key_rank(dates, "d", [], "r").orderBy("r").collect()] == sorted(i for _, i in rows)
+    metric = spark.createDataFrame([(0, 2.0), (1, None), (2, 1.0)], "draw long, mae_val double")
+    assert [r["draw"] for r in diagnostics.search_rank(metric).orderBy("rank").collect()] == [1, 2, 0]
+
+
+def test_kde_and_histogram_of_constant_groups(spark):
+    df = spark.createDataFrame([("a", 1.0)] * 5 + [("b", float(i)) for i in range(20)], "split string, residual double")
+    kde = diagnostics.residual_kde(df, gridsize=5)
+    assert {r["split"] for r in kde.collect()} == {"b"}
+    hist = diagnostics.residual_histogram(df)
+    a = hist.where("split = 'a'").collect()
+    assert len(a) == 1 and (a[0]["bin_lo"], a[0]["bin_hi"], a[0]["n"]) == (0.5, 1.5, 5)
+
+
+@pytest.mark.parametrize("kind", ["normal", "heavy", "flat"])
+def test_bins_follow_numpy_auto(kind):
+    rng = np.random.default_rng(4)
+    x = {"normal": rng.normal(size=900), "heavy": rng.standard_cauchy(900), "flat": np.r_[np.zeros(800), rng.normal(size=100)]}[kind]
+    q = np.quantile(x, [0.25, 0.75])
+    assert diagnostics.auto_bin_count(len(x), x.min(), x.max(), q[0], q[1]) == len(np.histogram_bin_edges(x, "auto")) - 1
