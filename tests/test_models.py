@@ -173,3 +173,48 @@ def test_mlp_flat_roundtrip_and_average():
     assert np.array_equal(mlp.flat(back), mlp.flat(a))
     avg = mlp.unflat((1 * mlp.flat(a) + 3 * mlp.flat(b)) / 4, a)
     assert np.allclose(avg["W"][0], (a["W"][0] + 3 * b["W"][0]) / 4) and avg["t"] == 25
+
+
+def test_no_row_is_left_out_of_a_batch():
+    for n in (1, 2, 3, 8, 9, 17, 33):
+        for size in (1, 2, 8, 16):
+            parts = mlp.batches_of(np.arange(n), size)
+            assert set(np.concatenate(parts).tolist()) == set(range(n))
+            assert all(len(p) >= 2 for p in parts)
+
+
+def test_mlp_saves_loads_and_scores_alike(spark, tmpdir_path):
+    df = spark.range(60).select(
+        (F.col("id") / 60).alias("a"), F.pmod("id", F.lit(7)).cast("double").alias("b"),
+        F.sin("id").alias("label"), F.when(F.col("id") % 5 == 0, "val").otherwise("train").alias("split"),
+    )
+    model, _ = mlp.fit(df, ["a", "b"], "label", mlp.MLPConfig(epochs=2, shards=2, batch_size=8, hidden=[4, 4, 4, 4]))
+    model.write().overwrite().save(f"{tmpdir_path}/net")
+    back = mlp.MLPModel.load(f"{tmpdir_path}/net")
+    assert [r["prediction"] for r in back.transform(df).collect()] == [r["prediction"] for r in model.transform(df).collect()]
+
+
+def test_extratrees_refuses_null_rows(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (None, 3.0), (4.0, 5.0)], "x double, label double")
+    with pytest.raises(Exception, match="null or NaN in training column x"):
+        extratrees.ExtraTreesRegressor(inputCols=["x"], numTrees=2).fit(df)
+
+
+def test_forest_does_not_depend_on_the_input_layout(spark, soil):
+    from loam.plans import training
+
+    sums = set()
+    for parts in (3, 11):
+        cfg = training.TrainConfig(key_cols=["k"], rf_params={"n_estimators": 4, "max_depth": 4}, partitions=4)
+        p = training.prepare(soil.repartition(parts), cfg)
+        m = training.random_forest(cfg.rf_params, 1).fit(p.df)
+        sums.add(round(sum(r["prediction"] for r in m.transform(p.df).select("prediction").collect()), 9))
+        p.release()
+    assert len(sums) == 1
+
+
+def test_only_known_classes_are_loaded():
+    from loam.models.registry import known_class
+
+    with pytest.raises(ValueError):
+        known_class("os.system")
