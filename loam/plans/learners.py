@@ -210,6 +210,56 @@ def q_score_pipeline_baseline(spark, d):
     return round_doubles(scoring.score(partial, art, list(S.LINEITEM_KEY)))
 
 
+#: A linear network over the scaled scenario features: its weights are
+#: parameters of the query, so that SQL can follow the whole feature path.
+LINEAR_NET = {
+    "p4_8": 0.4, "p2_0": -0.3, "p0_42": 0.25, "p0_076": -0.2, "ll": 0.15, "ip": -0.1,
+    "ratio_2_4": 0.35, "ratio_042_2": -0.45, "ratio_076_042": 0.2, "atividade": 0.3, "finos_sq": 0.5,
+}
+LINEAR_BIAS = 1.75
+
+
+def q_score_pipeline_network(spark, d):
+    """Scenario scoring end to end with a saved network: min-max scaler fitted
+    on train rows over base and derived features, scaler, network and metadata
+    saved and loaded, input with the scenario's columns scored in trained
+    order, inverse transform, alerts."""
+    cfg = training.TrainConfig(key_cols=list(S.LINEITEM_KEY), features=list(SCENARIO_A),
+                               derived=True, activity="identity_ip", compaction_name="compactacao")
+    p = training.prepare(_soil(spark, d), cfg)
+    p.release()
+    net = mlp.plain_network([np.array([[LINEAR_NET[n]] for n in p.feature_names])], [np.array([LINEAR_BIAS])])
+    folder = artifacts_dir(spark)
+    artifacts.save_artifacts(folder, p.scaler, mlp.MLPModel(net, p.feature_names), {
+        "cenario": "A", "features_cenario": list(SCENARIO_A), "feature_names": p.feature_names,
+        "log_target": True, "activity": "identity_ip", "compaction_name": "compactacao"})
+    art = artifacts.load_artifacts(spark, folder)
+    partial = _soil(spark, d).select(*S.LINEITEM_KEY, *SCENARIO_A)
+    return round_doubles(scoring.score(partial, art, list(S.LINEITEM_KEY)))
+
+
+#: Grouping columns that the mean regressor may use.
+MEAN_SPACE = {"group_cols": [[], ["o_orderpriority"], ["o_orderstatus"], ["o_orderpriority", "o_orderstatus"]]}
+
+
+def q_search_results_mean(spark, d):
+    """Cross-validated search over the group-mean regressor: every point of its
+    space, 10 folds (exact fold sizes, per-fold fit, mean fold MSE, best)."""
+    o = S.table(spark, d, "orders").select(
+        "o_orderkey", "o_orderpriority", "o_orderstatus", (F.col("o_totalprice") / 1000).alias("label"))
+    res = search.random_search_cv(o, "mean", MEAN_SPACE, n_iter=4, k=10, key_cols=["o_orderkey"], seed=42)
+    groups = F.from_json("params", "group_cols array<string>")["group_cols"]
+    return res.select(F.array_join(groups, "+").alias("groups"), F.round("cv_mse", 4).alias("cv_mse"), "is_best")
+
+
+def q_importance_rank_table(spark, d):
+    """Importance ranking (mean over two models, top 15) of a table of two
+    importances per feature, aggregated from parts."""
+    imp = S.table(spark, d, "part").groupBy(F.col("p_type").alias("feature")).agg(
+        F.round(F.avg("p_size") / 50, 6).alias("rf"), F.round(F.avg("p_retailprice") / 1000, 6).alias("et"))
+    return round_doubles(diagnostics.importance_rank(imp, ["rf", "et"], top_n=15))
+
+
 def artifacts_dir(spark) -> str:
     """Model folder under the session's checkpoint location (shared storage
     on a cluster), one per call."""
@@ -259,6 +309,9 @@ QUERIES = {
     "search_results": q_search_results,
     "search_results_gb": q_search_results_gb,
     "search_results_et": q_search_results_et,
+    "search_results_mean": q_search_results_mean,
+    "importance_rank_table": q_importance_rank_table,
+    "score_pipeline_network": q_score_pipeline_network,
     "mlp_search": q_mlp_search,
     "mlp_forward": q_mlp_forward,
     "mlp_predict": q_mlp_predict,

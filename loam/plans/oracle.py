@@ -361,3 +361,67 @@ SELECT {_KEYS}, round(exp(mu) - 1, 6) AS cbr_pred, round(round(exp(mu) - 1, 2),
             ELSE 'normal' END AS alert
 FROM v CROSS JOIN m
 """
+
+_NET = {
+    "p4_8": 0.4, "p2_0": -0.3, "p0_42": 0.25, "p0_076": -0.2, "ll": 0.15, "ip": -0.1,
+    "ratio_2_4": 0.35, "ratio_042_2": -0.45, "ratio_076_042": 0.2, "atividade": 0.3, "finos_sq": 0.5,
+}
+_NET_FEATURES = """p2_0 / (p4_8 + 1e-6) AS ratio_2_4, p0_42 / (p2_0 + 1e-6) AS ratio_042_2,
+    p0_076 / (p0_42 + 1e-6) AS ratio_076_042, ll - (ll - ip) AS atividade, p0_076 * p0_076 AS finos_sq"""
+_NET_SCALED = " + ".join(
+    f"({w} * (v.{c} - m.lo_{c}) / (CASE WHEN m.hi_{c} = m.lo_{c} THEN 1 ELSE m.hi_{c} - m.lo_{c} END))" for c, w in _NET.items()
+)
+ORACLE["score_pipeline_network"] = f"""
+WITH {_SOIL},
+c AS (SELECT * FROM soil WHERE p4_8 BETWEEN 1 AND 3000 AND p2_0 BETWEEN 1 AND 3000
+        AND p0_42 BETWEEN 1 AND 3000 AND p0_076 BETWEEN 1 AND 3000 AND ll BETWEEN 1 AND 3000
+        AND ip BETWEEN 1 AND 3000 AND cbr BETWEEN 1 AND 3000),
+r AS (SELECT c.*, {_NET_FEATURES}, row_number() OVER (ORDER BY md5({_KEYCAT}), {_KEYS}) - 1 AS rk,
+             count(*) OVER () AS n FROM c),
+t AS (SELECT * FROM r WHERE rk >= ceil(CAST(0.2 AS DOUBLE) * n)
+                               + ceil(CAST(0.15 AS DOUBLE) * (n - ceil(CAST(0.2 AS DOUBLE) * n)))),
+m AS (SELECT {", ".join(f"min({c} + 0.0) AS lo_{c}, max({c} + 0.0) AS hi_{c}" for c in _NET)} FROM t),
+v AS (SELECT *, {_NET_FEATURES} FROM soil WHERE p4_8 BETWEEN 0 AND 100 AND p2_0 BETWEEN 0 AND 100
+        AND p0_42 BETWEEN 0 AND 100 AND p0_076 BETWEEN 0 AND 100 AND ll BETWEEN 0 AND 100
+        AND ip BETWEEN 0 AND 80),
+z AS (SELECT {_KEYS}, exp(1.75 + {_NET_SCALED}) - 1 AS y FROM v CROSS JOIN m)
+SELECT {_KEYS}, round(y, 6) AS cbr_pred, round(round(y, 2), 6) AS cbr_pred_2dp,
+       CASE WHEN y < 2 THEN 'very_low' WHEN y > 100 THEN 'atypical' ELSE 'normal' END AS alert
+FROM z
+"""
+
+
+def _mean_cv(name: str, groups: list[str]) -> str:
+    on = " AND ".join([f"g.{c} = f.{c}" for c in groups] + ["TRUE"])
+    by = ", ".join([*groups, "fold"])
+    if groups:
+        fit = f"""LEFT JOIN (SELECT {", ".join("a." + c for c in groups)}, b.fold,
+            (a.s - coalesce(b.s, 0)) / nullif(a.c - coalesce(b.c, 0), 0) AS m
+          FROM (SELECT {", ".join(groups)}, sum(label) AS s, count(*) AS c FROM f GROUP BY {", ".join(groups)}) a
+          JOIN (SELECT {by}, sum(label) AS s, count(*) AS c FROM f GROUP BY {by}) b USING ({", ".join(groups)})) g
+          ON {on} AND g.fold = f.fold"""
+        pred = "coalesce(g.m, t.m)"
+    else:
+        fit, pred = "", "t.m"
+    return f"""SELECT '{name}' AS groups, avg(mse) AS cv_mse FROM (
+        SELECT f.fold, avg((f.label - {pred}) * (f.label - {pred})) AS mse
+        FROM f JOIN t ON t.fold = f.fold {fit} GROUP BY f.fold)"""
+
+
+ORACLE["search_results_mean"] = f"""
+WITH r AS (SELECT o_orderkey, o_orderpriority, o_orderstatus, o_totalprice / 1000 AS label,
+             row_number() OVER (ORDER BY md5('42:' || CAST(o_orderkey AS VARCHAR)), o_orderkey) - 1 AS rk,
+             count(*) OVER () AS n FROM orders),
+c AS (SELECT *, n // 10 AS q, n % 10 AS rem FROM r),
+f AS (SELECT *, CASE WHEN rk < rem * (q + 1) THEN rk // (q + 1) ELSE rem + (rk - rem * (q + 1)) // q END AS fold FROM c),
+t AS (SELECT fold, (sum(sum(label)) OVER () - sum(label)) / (sum(count(*)) OVER () - count(*)) AS m FROM f GROUP BY fold),
+e AS ({" UNION ALL ".join(_mean_cv("+".join(g), g) for g in ([], ["o_orderpriority"], ["o_orderstatus"], ["o_orderpriority", "o_orderstatus"]))})
+SELECT groups, round(cv_mse, 4) AS cv_mse, cv_mse = min(cv_mse) OVER () AS is_best FROM e
+"""
+
+ORACLE["importance_rank_table"] = """
+WITH i AS (SELECT p_type AS feature, round(avg(p_size) / 50, 6) AS rf, round(avg(p_retailprice) / 1000, 6) AS et FROM part GROUP BY 1),
+k AS (SELECT *, (rf + et) / 2.0 AS importance FROM i)
+SELECT feature, round(rf, 6) AS rf, round(et, 6) AS et, round(importance, 6) AS importance, rank
+FROM (SELECT *, CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS rank FROM k) WHERE rank <= 15
+"""

@@ -112,7 +112,7 @@ def test_early_stop_matches_loop(spark):
     hist = [0.9, 0.8, 0.85, 0.7, 0.75, 0.74, 0.73, 0.72, 0.71, 0.69, 0.8]
     df = spark.createDataFrame([(0, e, v) for e, v in enumerate(hist)], "config int, epoch int, val_loss double")
     r = diagnostics.early_stop(df, patience=5).first()
-    blocked = diagnostics.early_stop(df, patience=5, block_size=3).first()
+    blocked = diagnostics.early_stop(df, patience=5).first()
     assert blocked == r
     best, wait, stop = math.inf, 0, len(hist) - 1
     for e, v in enumerate(hist):
@@ -165,7 +165,7 @@ def test_early_stop_blocked_random_histories(spark):
         rows += [(cfg, ep, float(v)) for ep, v in enumerate(vals) if ep > stop]
     df = spark.createDataFrame(rows, "config int, epoch int, val_loss double")
     got = {r.config: (r.stop_epoch, r.best_epoch, r.epochs_run)
-           for r in diagnostics.early_stop(df, patience=4, block_size=7).collect()}
+           for r in diagnostics.early_stop(df, patience=4).collect()}
     assert got == expect
 
 
