@@ -18,8 +18,8 @@ from loam.plans.catalog import round_doubles
 from loam.schema import FEATURE_LABELS, FEATURES, to_soil_table
 from loam.sources import artifacts
 
-# Small model sizes: the queries check the job shape on whole tables;
-# the full search sizes are configuration, exercised by the bench.
+# Model sizes of the registered queries: small, so that whole tables are fitted
+# in seconds. The operators' own defaults are the full sizes.
 SMALL = dict(
     rf_params={"n_estimators": 20, "max_depth": 8, "min_samples_leaf": 2},
     gb_params={"n_estimators": 20, "max_depth": 4, "learning_rate": 0.1},
