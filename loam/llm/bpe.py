@@ -20,6 +20,7 @@ import heapq
 import json
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -81,97 +82,121 @@ class PairIndexBPE:
             self.token_bytes[i] = tok.encode()
         self.id_text = [str(i) for i in range(size)]
         self.base = size
-        self.byte_id = [vocab.get(c, -1) for c in chars]
-        # pair key -> rank, rank -> (left, right, merged)
-        self.rank: dict[int, int] = {}
+        self.byte_id = np.array([vocab.get(c, -1) for c in chars], dtype=np.int64)
+        # rank -> (left, right, merged); sorted pair keys -> their lowest ranks
         self.rule: list[tuple[int, int, int]] = []
+        rank: dict[int, int] = {}
         for m in spec["model"]["merges"]:
             a, b = m if isinstance(m, list) else m.split(" ")
             ia, ib = vocab[a], vocab[b]
-            self.rank.setdefault(ia * size + ib, len(self.rule))
+            rank.setdefault(ia * size + ib, len(self.rule))
             self.rule.append((ia, ib, vocab[a + b]))
+        keys = np.array([*rank, 2**62], dtype=np.int64)
+        order = np.argsort(keys)
+        self.pair_keys, self.pair_ranks = keys[order], np.array([*rank.values(), -1], dtype=np.int64)[order]
         self.split = regex.compile(SPLIT)
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.cache.clear()
+        for i in self.specials.values():
+            self._remember(i, [i])
+
+    def _remember(self, word, ids: list[int]) -> None:
+        """Ids, ids as text and decoded bytes of a pre-token."""
+        self.cache[word] = tuple(ids), ",".join([self.id_text[i] for i in ids]), b"".join([self.token_bytes[i] for i in ids])
 
     def merge(self, words: list[str]) -> list[list[int]]:
-        """Token ids of each word, by one pair occurrence index over them all."""
-        byte_id, rank, rule, base = self.byte_id, self.rank, self.rule, self.base
-        sym: list[int] = []
-        starts = []
-        for w in words:
-            starts.append(len(sym))
-            sym.extend(byte_id[b] for b in w.encode("utf-8", "replace"))
-            sym.append(-1)  # a wall: no pair crosses it
-        n = len(sym)
-        nxt = list(range(1, n + 1))
-        prv = list(range(-1, n - 1))
-        where: dict[int, list[int]] = {}
-        for i in range(n - 1):
-            a, b = sym[i], sym[i + 1]
-            if a >= 0 and b >= 0:
-                r = rank.get(a * base + b)
-                if r is not None:
-                    where.setdefault(r, []).append(i)
-        active = list(where)
-        heapq.heapify(active)
+        """Token ids of each word, by one pair occurrence index over them all:
+        ``where`` maps each active rank to all positions of its pair."""
+        base, keys, ranks = self.base, self.pair_keys, self.pair_ranks
+        raw = [w.encode("utf-8", "replace") for w in words]
+        lens = np.array([len(r) for r in raw], dtype=np.int64)
+        n = int(lens.sum()) + len(raw)
+        sym = np.full(n, -1, dtype=np.int64)  # -1: the wall behind a word, -2: merged away
+        inside = np.ones(n, dtype=bool)
+        inside[np.cumsum(lens + 1) - 1] = False
+        sym[inside] = self.byte_id[np.frombuffer(b"".join(raw), dtype=np.uint8)]
+        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        where: dict[int, list[np.ndarray]] = {}
+        active: list[int] = []
+
+        def index(left: np.ndarray, right: np.ndarray, spots: np.ndarray) -> None:
+            on = (left >= 0) & (right >= 0)
+            pair, spots = left[on] * base + right[on], spots[on]
+            at = np.searchsorted(keys, pair)
+            known = keys[at] == pair
+            r, spots = ranks[at[known]], spots[known]
+            if not len(r):
+                return
+            order = np.argsort(r, kind="stable")
+            r, spots = r[order], spots[order]
+            cuts = np.flatnonzero(r[1:] != r[:-1]) + 1
+            for q, part in zip(r[np.concatenate([[0], cuts])].tolist(), np.split(spots, cuts)):
+                if q not in where:
+                    where[q] = [part]
+                    heapq.heappush(active, q)
+                else:
+                    where[q].append(part)
+
+        if n > 1:
+            index(sym[:-1], sym[1:], np.arange(n - 1))
         while active:
             r = heapq.heappop(active)
-            spots = where.pop(r, None)
-            if spots is None:
+            a, b, new = self.rule[r]
+            parts = where.pop(r)
+            i = np.unique(parts[0] if len(parts) == 1 else np.concatenate(parts))
+            i = i[sym[i] == a]
+            i = i[sym[nxt[i]] == b]
+            if a == b:  # of overlapping pairs the leftmost goes first
+                taken, free = -1, []
+                for x, y in zip(i.tolist(), nxt[i].tolist()):
+                    free.append(x != taken)
+                    taken = y if x != taken else -1
+                i = i[free] if free else i
+            if not len(i):
                 continue
-            a, b, new = rule[r]
-            spots.sort()
-            for i in spots:
-                if sym[i] != a:
-                    continue
-                j = nxt[i]
-                if sym[j] != b:
-                    continue
-                sym[i], sym[j] = new, -2
-                k = nxt[j]
-                nxt[i], prv[k] = k, i
-                p = prv[i]
-                if p >= 0 and sym[p] >= 0:
-                    q = rank.get(sym[p] * base + new)
-                    if q is not None:
-                        if q not in where:
-                            where[q] = []
-                            heapq.heappush(active, q)
-                        where[q].append(p)
-                if sym[k] >= 0:
-                    q = rank.get(new * base + sym[k])
-                    if q is not None:
-                        if q not in where:
-                            where[q] = []
-                            heapq.heappush(active, q)
-                        where[q].append(i)
-        out = []
-        for s in starts:
-            ids = []
-            while sym[s] != -1:
-                ids.append(sym[s])
-                s = nxt[s]
-            out.append(ids)
-        return out
-
-    def encode_batch(self, texts: list[str]):
-        """Yields the ids of each text (lists of int), in order."""
-        pieces = []
-        for t in texts:
-            pieces.append(self._pieces(t))
-        cache = self.cache
-        fresh = {w for p in pieces for w in p if w.__class__ is str and w not in cache}
-        if len(cache) + len(fresh) > CACHE_WORDS:
-            cache.clear()
-            fresh = {w for p in pieces for w in p if w.__class__ is str}
+            j = nxt[i]
+            k = nxt[j]
+            sym[i], sym[j] = new, -2
+            nxt[i], prv[k] = k, i
+            p = prv[i]
+            fresh = np.full(len(i), new)
+            index(np.concatenate([sym[p], fresh]), np.concatenate([fresh, sym[k]]), np.concatenate([p, i]))
+        left = sym[sym != -2]
+        ends = np.flatnonzero(left == -1).tolist()
+        flat = left.tolist()
+        return [flat[s:e] for s, e in zip([0, *[e + 1 for e in ends[:-1]]], ends)]
+
+    def _look_up(self, texts: list[str]):
+        """Yields the cached entries of the pre-tokens of each text, in order."""
+        pieces = [self._pieces(t) for t in texts]
+        fresh = set().union(*pieces).difference(self.cache)
+        if len(self.cache) + len(fresh) > CACHE_WORDS:
+            self._forget()
+            fresh = set().union(*pieces).difference(self.cache)
         todo = list(fresh)
         for w, ids in zip(todo, self.merge(todo)):
-            cache[w] = ids
+            self._remember(w, ids)
+        cache = self.cache
         for p in pieces:
-            ids: list[int] = []
-            for w in p:
-                ids += cache[w] if w.__class__ is str else (w,)
-            yield ids
+            yield [cache[w] for w in p]
+
+    def encode_batch(self, texts: list[str]):
+        """Yields the ids of each text (lists of int), in order."""
+        for entries in self._look_up(texts):
+            yield [i for e in entries for i in e[0]]
+
+    def round_trip_batch(self, texts: list[str]):
+        """Yields (number of ids, ids as text, decoded text) of each text; the
+        decoded bytes of a pre-token are put together from its ids once."""
+        for entries in self._look_up(texts):
+            if entries:
+                ids, text, raw = zip(*entries)
+                yield sum(map(len, ids)), ",".join(text), b"".join(raw).decode("utf-8", "replace")
+            else:
+                yield 0, "", ""
 
     def _pieces(self, text: str) -> list:
         if not text:
@@ -237,15 +262,14 @@ def round_trip_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches):
         codec = _codec(path or default_path())
-        names = codec.id_text
         for big in batches:
             for b in slices(big, text_col):
                 texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
                 n, hi, hd = [], [], []
-                for ids in codec.encode_batch([t or "" for t in texts]):
-                    n.append(len(ids))
-                    hi.append(sha256_hex(",".join([names[i] for i in ids]).encode()))
-                    hd.append(sha256_hex(codec.decode(ids).encode()))
+                for size, ids, text in codec.round_trip_batch([t or "" for t in texts]):
+                    n.append(size)
+                    hi.append(sha256_hex(ids.encode()))
+                    hd.append(sha256_hex(text.encode()))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(b.schema.get_field_index(id_col)), pa.array(n, pa.int64()), pa.array(hi, pa.string()), pa.array(hd, pa.string())],
                     [id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
