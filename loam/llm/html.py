@@ -60,17 +60,19 @@ BOILER = re.compile(
     r"site-header|page-header|popup|modal|widget|toolbar|pagination|pager|login|signup|search|skip-link)(?:$|[^a-z])"
 )
 BOILER_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+)|(<)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+)|(<(?![a-zA-Z/!?]))", re.S)
+#: A tag whose quotes don't close ends at the next '>'.
+LOOSE = re.compile(r"<(/?)([a-zA-Z]?[^\s/>]*)([^>]*)>")
 ATTR = re.compile(r"(?i)(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
 class Node:
-    __slots__ = ("tag", "mark", "kids", "text", "size", "number", "drop")
+    __slots__ = ("tag", "mark", "kids", "text", "size", "number", "drop", "shape")
 
     def __init__(self, tag: str, mark: str = "", text: str = ""):
         self.tag, self.mark, self.text = tag, mark, text
         self.kids: list[Node] = []
-        self.size, self.number, self.drop = 1, 0, False
+        self.size, self.number, self.drop, self.shape = 1, 0, False, 0
 
 
 def _is_boiler(tag: str, attrs: str) -> tuple[str, bool]:
@@ -97,12 +99,13 @@ def parse(html: str | None) -> Node:
     at, n = 0, len(html)
     while at < n:
         m = TOKEN.match(html, at)
+        m = m or LOOSE.match(html, at)
         if m is None:  # an unfinished tag at the end
             break
         at = m.end()
         name = m[2]
         if name is None:
-            text = m[4] or m[5]
+            text = m[4] or m[5]  # null for comments and declarations
             if text:
                 kids = stack[-1].kids
                 if kids and kids[-1].tag == "#":
@@ -145,59 +148,72 @@ def parse(html: str | None) -> Node:
         x.number = len(order)
         order.append(x)
         walk.extend(reversed(x.kids))
-    for x in reversed(order):
-        x.size = 1 + sum(k.size for k in x.kids)
+    seal(order)
     return root
 
 
+def seal(order: list[Node]) -> None:
+    """Sizes and shapes of nodes that are given parents first; subtrees of one
+    shape have the same tags and marks throughout."""
+    for x in reversed(order):
+        kids = x.kids
+        if kids:
+            x.size = 1 + sum([k.size for k in kids])
+            x.shape = hash((x.tag, x.mark, *[k.shape for k in kids]))
+        else:
+            x.shape = hash((x.tag, x.mark))
+
+
 def _same(a: Node, b: Node) -> bool:
     return a.tag == b.tag and a.mark == b.mark
 
 
 def match(a: Node, b: Node, out: dict[int, Node] | None = None) -> int:
     """Simple tree matching of two subtrees: the size of the largest mapping;
-    ``out`` gets the partner in ``b`` of every mapped node number of ``a``."""
+    ``out`` gets the partner in ``b`` of every mapped node number of ``a``.
+    Subtrees are compared once per pair of shapes."""
     table: dict[tuple[int, int], tuple[int, list]] = {}
 
     def solve(x: Node, y: Node) -> int:
+        if x.shape == y.shape:
+            return x.size
         if not _same(x, y):
             return 0
-        key = (x.number, y.number)
-        if key in table:
-            return table[key][0]
-        xs, ys = x.kids, y.kids
-        if not xs or not ys:
-            table[key] = (1, [])
-            return 1
-        if len(xs) * len(ys) > ALIGN_CELLS or [k.tag for k in xs] == [k.tag for k in ys]:
-            pairs, j = [], 0
-            for p in xs:  # in order: each node with the next of its kind
-                q = next((i for i in range(j, min(len(ys), j + 50)) if _same(p, ys[i])), None)
-                if q is not None:
-                    pairs.append((p, ys[q]))
-                    j = q + 1
-            size = 1 + sum(solve(p, q) for p, q in pairs)
-            table[key] = (size, pairs)
-            return size
+        got = table.get((x.shape, y.shape))
+        if got is None:
+            got = table[x.shape, y.shape] = align(x.kids, y.kids)
+        return got[0]
+
+    def align(xs: list[Node], ys: list[Node]) -> tuple[int, list]:
         m, n = len(xs), len(ys)
-        best = [[0] * (n + 1) for _ in range(m + 1)]
-        for i in range(1, m + 1):
-            row, up, p = best[i], best[i - 1], xs[i - 1]
-            for j in range(1, n + 1):
-                q = ys[j - 1]
-                diag = up[j - 1] + (solve(p, q) if p.tag == q.tag else 0)
-                row[j] = max(row[j - 1], up[j], diag)
+        if not m or not n:
+            return 1, []
+        if m * n > ALIGN_CELLS:
+            pairs, j = [], 0
+            for i, p in enumerate(xs):  # in order: each node with the next of its kind
+                k = next((k for k in range(j, min(n, j + 50)) if _same(p, ys[k])), None)
+                if k is not None:
+                    pairs.append((i, k))
+                    j = k + 1
+            return 1 + sum(solve(xs[i], ys[k]) for i, k in pairs), pairs
+        rows = [[0] * (n + 1)]
+        for p in xs:
+            up, row, left = rows[-1], [0], 0
+            for j, q in enumerate(ys):
+                best = up[j] + (p.size if p.shape == q.shape else solve(p, q) if p.tag == q.tag else 0)
+                left = max(best, left, up[j + 1])
+                row.append(left)
+            rows.append(row)
         pairs, i, j = [], m, n
         while i and j:
-            if best[i][j] == best[i - 1][j]:
+            if rows[i][j] == rows[i - 1][j]:
                 i -= 1
-            elif best[i][j] == best[i][j - 1]:
+            elif rows[i][j] == rows[i][j - 1]:
                 j -= 1
             else:
-                pairs.append((xs[i - 1], ys[j - 1]))
                 i, j = i - 1, j - 1
-        table[key] = (1 + best[m][n], pairs)
-        return 1 + best[m][n]
+                pairs.append((i, j))
+        return 1 + rows[m][n], pairs
 
     size = solve(a, b)
     if out is not None and size:
@@ -205,7 +221,10 @@ def match(a: Node, b: Node, out: dict[int, Node] | None = None) -> int:
         while todo:
             x, y = todo.pop()
             out[x.number] = y
-            todo += table[(x.number, y.number)][1]
+            if x.shape == y.shape:
+                todo += zip(x.kids, y.kids)
+            else:
+                todo += [(x.kids[i], y.kids[j]) for i, j in table[x.shape, y.shape][1]]
     return size
 
 
