@@ -23,7 +23,8 @@ def _hang(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+    out = out.where("u <> v")
+    return out if large else out.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

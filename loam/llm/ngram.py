@@ -9,7 +9,7 @@ similarity of ``similarity`` percent or more; the result is exact.
   into more blocks than a linked pair can differ in n-grams, so at least one
   block of theirs is equal. Documents meet by (band, block, block hash).
   Blocks that are empty are left out as long as enough others remain by the
-  same argument (``_plan``).
+  same argument (``Bands``).
 * Points: n-grams are hashed into ``GROUPS`` groups; the counts are a point.
   The summed minima of two points bound the overlap of the sets. In each bucket
   all members are first tried against one pivot. Buckets whose members still
@@ -34,7 +34,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm.common import cut_lineage, mix64, pair64, slices
@@ -43,7 +43,9 @@ from loam.llm.repeats import word_units
 
 SIZE = 4
 SIMILARITY = 85
-GROUPS = 64
+GROUPS = 256
+#: Ids that may be broadcast (16 bytes each); more are met by a shuffled join.
+BROADCAST_IDS = 2_000_000
 #: Members of a bucket that one tree join takes from either side.
 PART = 1500
 #: Members of a pivot that one task verifies.
@@ -58,10 +60,12 @@ def shingles(raw: bytes, size: int) -> np.ndarray:
     if not len(w):
         return w
     n = min(size, len(w))
-    h = mix64(w[: len(w) - n + 1] + np.uint64(n))
-    for k in range(1, n):
-        h = pair64(h, w[k:len(w) - n + 1 + k])
-    return np.unique(h)
+    # a random odd factor per place, mixed once
+    factors = mix64(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
+    h = np.full(len(w) - n + 1, n, dtype=np.uint64)
+    for k in range(n):
+        h += w[k:len(w) - n + 1 + k] * factors[k]
+    return np.unique(mix64(h))
 
 
 def needed(a, b, similarity: int):
@@ -139,9 +143,10 @@ def set_rows(packed: DataFrame, size: int) -> DataFrame:
 
 
 def bucket_rows(packed: DataFrame, size: int, bands: Bands) -> DataFrame:
-    """key, id, pivot. Inside a slice equal sets send one row per key, and the
-    members of one key after the first are paired with the first (pivot set,
-    under a key of their own)."""
+    """deal, id, pivot, key. Inside a slice equal sets send one row per key, and
+    the members of one key after the first are paired with the first: pivot and
+    key are set, and they are dealt by a hash of their own. The others are dealt
+    by their key."""
 
     def run(batches):
         for big in batches:
@@ -165,27 +170,30 @@ def bucket_rows(packed: DataFrame, size: int, bands: Bands) -> DataFrame:
                 head = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
                 at = np.flatnonzero(head)
                 lead = np.repeat(own[at], np.diff(np.concatenate([at, [len(key)]])))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own), pa.array(lead, mask=head)], ["key", "id", "pivot"])
+                deal = np.where(head, key, pair64(key, own.astype(np.uint64)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(deal.view(np.int64)), pa.array(own), pa.array(lead, mask=head), pa.array(key.view(np.int64), mask=head)], ["deal", "id", "pivot", "key"]
+                )
 
-    return packed.mapInArrow(run, "key long, id long, pivot long")
+    return packed.mapInArrow(run, "deal long, id long, pivot long, key long")
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
     """key, id, pivot of the rows whose key holds two rows or more; the pivot is
     the bucket's smallest id, or the smallest of the task that met first."""
-    mine = F.when(F.col("pivot").isNull(), F.col("key")).otherwise(F.xxhash64("key", "id"))
-    dealt = rows.withColumn("deal", mine).repartition("deal").sortWithinPartitions("deal", "id").drop("deal")
+    dealt = rows.repartition("deal").sortWithinPartitions("deal", "id")
     names = ["key", "id", "pivot"]
 
     def run(batches):
         held: list[pa.RecordBatch] = []
 
         def out(table):
-            key, own = table.column(0).to_numpy(), table.column(1).to_numpy()
+            deal, own = table.column(0).to_numpy(), table.column(1).to_numpy()
             pivot = table.column(2)
             paired = np.asarray(pivot.is_valid())
+            key = np.where(paired, np.asarray(table.column(3).fill_null(0)), deal)
             lead = np.asarray(pivot.fill_null(0))
-            head = np.concatenate([[True], (key[1:] != key[:-1]) | paired[1:] | paired[:-1]])
+            head = np.concatenate([[True], (deal[1:] != deal[:-1]) | paired[1:] | paired[:-1]])
             at = np.flatnonzero(head)
             many = np.diff(np.concatenate([at, [len(key)]]))
             first, count = np.repeat(own[at], many), np.repeat(many, many)
@@ -209,9 +217,11 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "key long, id long, pivot long")
 
 
-def points(packed: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """id, n, vec (group counts), grams (sorted hashes) of the wanted ids."""
-    wanted = packed.join(ids, "id", "left_semi")
+def points(packed: DataFrame, ids: DataFrame, size: int, kind: str) -> DataFrame:
+    """id, n, vec (group counts of type kind), grams (sorted hashes) of the
+    wanted ids."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    wanted = packed.join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
     def run(batches):
         for big in batches:
@@ -220,14 +230,14 @@ def points(packed: DataFrame, ids: DataFrame, size: int) -> DataFrame:
                 for raw in b.column(1).to_pylist():
                     s = shingles(raw, size)
                     n.append(len(s))
-                    vec.append(np.bincount((mix64(s) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.int32).tobytes())
+                    vec.append(np.bincount((mix64(s) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype(kind).tobytes())
                     grams.append(s.tobytes())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(vec, pa.binary()), pa.array(grams, pa.binary())], ["id", "n", "vec", "grams"])
 
     return wanted.mapInArrow(run, "id long, n long, vec binary, grams binary")
 
 
-def bounded(pairs: DataFrame, known: DataFrame, similarity: int) -> DataFrame:
+def bounded(pairs: DataFrame, known: DataFrame, similarity: int, kind: str) -> DataFrame:
     """The pairs (a, b) whose summed coordinate minima reach the overlap needed."""
     vec = known.select("id", "n", "vec")
     x = pairs.join(vec.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va")), "a")
@@ -238,7 +248,7 @@ def bounded(pairs: DataFrame, known: DataFrame, similarity: int) -> DataFrame:
             if not b.num_rows:
                 continue
             na, nb = b.column(2).to_numpy(), b.column(3).to_numpy()
-            va, vb = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.int32).reshape(-1, GROUPS) for i in (4, 5))
+            va, vb = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=kind).reshape(-1, GROUPS) for i in (4, 5))
             on = np.minimum(va, vb).sum(axis=1) >= needed(na, nb, similarity)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(on)), b.column(1).filter(pa.array(on))], ["a", "b"])
 
@@ -299,8 +309,8 @@ def tree_join(x: Tree, y: Tree, similarity: int) -> tuple[np.ndarray, np.ndarray
     for level in range(depth, -1, -1):
         (vx, nx), (vy, ny) = x.levels[level], y.levels[level]
         keep = []
-        for lo in range(0, len(a), 50_000):
-            i, j = a[lo:lo + 50_000], b[lo:lo + 50_000]
+        for lo in range(0, len(a), 20_000):
+            i, j = a[lo:lo + 20_000], b[lo:lo + 20_000]
             keep.append(np.minimum(vx[i], vy[j]).sum(axis=1) >= needed(nx[i], ny[j], similarity))
         on = np.concatenate(keep) if keep else np.zeros(0, dtype=bool)
         a, b = a[on], b[on]
@@ -314,7 +324,7 @@ def tree_join(x: Tree, y: Tree, similarity: int) -> tuple[np.ndarray, np.ndarray
     return x.order[a], y.order[b]
 
 
-def residual_pairs(buckets: DataFrame, known: DataFrame, comp: DataFrame, similarity: int) -> DataFrame:
+def residual_pairs(buckets: DataFrame, known: DataFrame, comp: DataFrame, similarity: int, kind: str) -> DataFrame:
     """Pairs from buckets whose members lie in different components, through
     tree joins of bucket parts; pairs inside a component are left out."""
     member = buckets.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -335,7 +345,7 @@ def residual_pairs(buckets: DataFrame, known: DataFrame, comp: DataFrame, simila
 
     def join(group, members):
         part, ids, comps, n, vec = zip(*members)
-        vec = np.frombuffer(b"".join(vec), dtype=np.int32).reshape(-1, GROUPS)
+        vec = np.frombuffer(b"".join(vec), dtype=kind).reshape(-1, GROUPS)
         n, ids, comps, part = (np.array(x, dtype=np.int64) for x in (n, ids, comps, part))
         left, right = np.flatnonzero(part == group[1]), np.flatnonzero(part == group[2])
         i, j = tree_join(Tree(vec[left], n[left]), Tree(vec[right], n[right]), similarity)
@@ -385,31 +395,22 @@ def cluster(docs: DataFrame, size: int = SIZE, similarity: int = SIMILARITY, id_
         buckets.join(rep, "id").join(pivots, "pivot").select("key", F.col("rep").alias("id"), F.col("pivot_rep").alias("pivot")).distinct()
     )
     star = cut_lineage(
-        buckets.where("id <> pivot")
-        .groupBy(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-        .agg(F.count("*").alias("votes"))
+        buckets.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     )
     wanted = star.select(F.col("a").alias("id")).union(star.select("b")).distinct()
-    known = cut_lineage(points(packed, wanted, size).dropDuplicates(["id"]))
+    kind = "uint16" if largest < 2**16 else "uint32"  # a count is at most the size
+    known = cut_lineage(points(packed, cut_lineage(wanted), size, kind).dropDuplicates(["id"]))
 
     def test(pairs: DataFrame) -> DataFrame:
-        return cut_lineage(verified(cut_lineage(bounded(pairs, known, similarity)), known, similarity))
-
-    def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-        x = pairs.join(comp.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
-        x = x.join(comp.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-        return x.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-    # first the partner with which a document shares most buckets, then the
-    # other pivots, then whatever buckets are still in several components
-    top = Window.partitionBy("b").orderBy(F.desc("votes"), "a")
-    first = cut_lineage(star.withColumn("r", F.row_number().over(top)).where("r = 1").select("a", "b"))
-    links = test(first)
-    comp = cut_lineage(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    more = test(apart(star.select("a", "b").join(first, ["a", "b"], "left_anti"), comp))
-    links = links.unionByName(more)
+        return cut_lineage(verified(cut_lineage(bounded(pairs, known, similarity, kind)), known, similarity))
+
+    # first every document against the pivots of its buckets, then whatever
+    # buckets are still in several components
+    links = test(star)
     comp = cut_lineage(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    rest = test(residual_pairs(buckets.select("key", "id").union(buckets.select("key", "pivot")).distinct(), known, comp, similarity).join(star.select("a", "b"), ["a", "b"], "left_anti"))
+    members = buckets.select("key", "id").union(buckets.select("key", "pivot")).distinct()
+    rest = residual_pairs(members, known, comp, similarity, kind).join(star, ["a", "b"], "left_anti")
+    rest = cut_lineage(verified(cut_lineage(rest), known, similarity))
     if not rest.isEmpty():
         links = links.unionByName(rest)
         comp = cut_lineage(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))

@@ -31,6 +31,7 @@ SHIFT = 16
 #: Units that a shard's index holds at a time (whole gram groups).
 SHARD_UNITS = 1_500_000
 
+_FACTORS = mix64(np.arange(1, 4097, dtype=np.uint64)) | np.uint64(1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -53,7 +54,12 @@ def word_units(raw: bytes) -> np.ndarray:
     bounds = np.concatenate([[0], np.cumsum(inside)])[start]
     length = np.diff(np.concatenate([bounds, [len(at)]]))
     place = np.arange(len(at)) - np.repeat(bounds, length)
-    each = mix64((place * 256 + data[at]).astype(np.uint64) + np.uint64(1))
+    # a random odd factor per place in the word, summed, mixed once
+    factor = _FACTORS[np.minimum(place, len(_FACTORS) - 1)]
+    far = np.flatnonzero(place >= len(_FACTORS))
+    if len(far):
+        factor[far] = mix64(place[far].astype(np.uint64) + np.uint64(1)) | np.uint64(1)
+    each = factor * (data[at].astype(np.uint64) + np.uint64(1))
     return mix64(np.add.reduceat(each, bounds) + length.astype(np.uint64))
 
 
