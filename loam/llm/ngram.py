@@ -48,6 +48,8 @@ GROUPS = 256
 BROADCAST_IDS = 2_000_000
 #: Members of a bucket that one tree join takes from either side.
 PART = 1500
+#: Buckets of a document that its pairs are compared by (see residual_pairs).
+FIRST_KEYS = 8
 #: Members of a pivot that one task verifies.
 PIVOT_ROWS = 2000
 LEAF = 24
@@ -338,20 +340,34 @@ def residual_pairs(buckets: DataFrame, known: DataFrame, comp: DataFrame, simila
         .agg(F.min("key").alias("key"))
         .select("key", F.ceil(F.col("k") / PART).cast("int").alias("parts"))
     )
-    rows = member.join(mixed, "key").join(known.select("id", "n", "vec"), "id")
+    member = cut_lineage(member.join(mixed, "key"))
+    # a pair that shares several buckets is joined in the first of them only,
+    # as far as the first FIRST_KEYS buckets of both documents tell
+    first = member.groupBy("id").agg(F.slice(F.sort_array(F.collect_list("key")), 1, FIRST_KEYS).alias("first"))
+    rows = member.join(known.select("id", "n", "vec"), "id").join(first, "id")
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     rows = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "id", "component", "n", "vec")
+    rows = rows.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "id", "component", "n", "vec", "first")
 
     def join(group, members):
-        part, ids, comps, n, vec = zip(*members)
+        part, ids, comps, n, vec, first = zip(*members)
+        firsts = np.full((len(first), FIRST_KEYS), group[0], dtype=np.int64)  # the bucket itself stands for "none"
+        for i, f in enumerate(first):
+            firsts[i, : len(f)] = f
         vec = np.frombuffer(b"".join(vec), dtype=kind).reshape(-1, GROUPS)
         n, ids, comps, part = (np.array(x, dtype=np.int64) for x in (n, ids, comps, part))
         left, right = np.flatnonzero(part == group[1]), np.flatnonzero(part == group[2])
         i, j = tree_join(Tree(vec[left], n[left]), Tree(vec[right], n[right]), similarity)
         i, j = left[i], right[j]
         on = (comps[i] != comps[j]) & ((ids[i] < ids[j]) | (group[1] != group[2]))
-        return np.minimum(ids[i[on]], ids[j[on]]), np.maximum(ids[i[on]], ids[j[on]])
+        i, j = i[on], j[on]
+        done = np.zeros(len(i), dtype=bool)
+        for x in range(FIRST_KEYS):
+            a = firsts[i, x]
+            for y in range(FIRST_KEYS):
+                done |= (a == firsts[j, y]) & (a < group[0])
+        i, j = i[~done], j[~done]
+        return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
 
     def run(batches):
         group, members = None, []
