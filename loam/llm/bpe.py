@@ -38,6 +38,8 @@ SPLIT = (
 )
 #: Distinct pre-tokens a task remembers before it forgets them all.
 CACHE_WORDS = 400_000
+#: Text whose pre-tokens are merged together; a pair index pays off over many.
+SLICE_BYTES = 16 << 20
 
 
 def default_path() -> str:
@@ -229,7 +231,7 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", path: st
     def run(batches):
         codec = _codec(path or default_path())
         for big in batches:
-            for b in slices(big, text_col):
+            for b in slices(big, text_col, SLICE_BYTES):
                 texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
                 ids = pa.array(list(codec.encode_batch([t or "" for t in texts])), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, out_col])
@@ -271,7 +273,7 @@ def round_trip_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def digests(codec, batches):
         for big in batches:
-            for b in slices(big, text_col):
+            for b in slices(big, text_col, SLICE_BYTES):
                 texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
                 n, hi, hd = [], [], []
                 for size, ids, text in codec.round_trip_batch([t or "" for t in texts]):

@@ -31,7 +31,7 @@ def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 16 << 20):
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20):
     """Cut an Arrow batch into runs of rows that hold about ``max_bytes`` of
     ``column`` (one row at least), so working memory follows bytes, not rows."""
     n = batch.num_rows

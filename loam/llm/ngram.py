@@ -152,7 +152,7 @@ def bucket_rows(packed: DataFrame, size: int, bands: Bands) -> DataFrame:
 
     def run(batches):
         for big in batches:
-            for b in slices(big, "raw", 8 << 20):
+            for b in slices(big, "raw"):
                 ids = b.column(0).to_numpy()
                 keys, owner, seen = [], [], set()
                 for r, raw in enumerate(b.column(1).to_pylist()):
@@ -227,7 +227,7 @@ def points(packed: DataFrame, ids: DataFrame, size: int, kind: str) -> DataFrame
 
     def run(batches):
         for big in batches:
-            for b in slices(big, "raw", 4 << 20):
+            for b in slices(big, "raw", 2 << 20):
                 n, vec, grams = [], [], []
                 for raw in b.column(1).to_pylist():
                     s = shingles(raw, size)
