@@ -4,10 +4,12 @@ Rules decide the URLs that they fit (host and all its subdomains, path prefix;
 the longest rule wins). All other URLs are judged by two smoothed
 variable-order Markov models over the characters of host + path: one counted
 over the URLs that the rules allow, one over those that they block. The counts
-of all contexts of 0 to ``ORDER`` characters are summed by Spark into a fixed
-number of hashed cells per model (a proven bound on what reaches the driver and
-is broadcast); probabilities back off from long to short contexts by Dirichlet
-smoothing. The score is the log-likelihood difference (accepted minus rejected)
+of all contexts of 0 to ``ORDER`` characters are a Spark table keyed by the
+64-bit hash of (order, context) or (order, context, byte), so it grows with the
+input and contexts share no cell. Distinct strings are scored in parts: each
+part asks the table for the distinct keys that it holds, so no task and not the
+driver sees the whole table. Probabilities back off from long to short contexts
+by Dirichlet smoothing. The score is the log-likelihood difference (accepted minus rejected)
 per character; the threshold is calibrated on a fold of the ruled URLs that the
 counting leaves out.
 
@@ -36,8 +38,13 @@ RULES = (
     ("net/fr/", "block"),
 )
 ORDER = 5
-#: Hashed cells of one model; 8 bytes each.
-CELLS = 1 << 19
+#: Bytes of strings that one part holds when scored, and the least number of parts.
+PART_BYTES = 64 << 10
+MIN_PARTS = 256
+#: Keys that a counting task holds before it sends them on.
+HELD_CELLS = 1 << 21
+#: A string that more than one row in so many holds is joined by broadcast.
+HOT_SHARE = 1000
 #: Weight of the shorter context's probability.
 ALPHA = 4.0
 #: One ruled URL in so many (by hash) calibrates the threshold.
@@ -77,7 +84,7 @@ def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _cells(data: np.ndarray, place: np.ndarray):
-    """For each context length: the cells of (context) and (context, byte)."""
+    """For each context length: the keys of (context) and (context, byte)."""
     ctx = np.full(len(data), 0x51ED270B, dtype=np.uint64)
     sym = data.astype(np.uint64)
     for k in range(ORDER + 1):
@@ -86,92 +93,140 @@ def _cells(data: np.ndarray, place: np.ndarray):
             back[k:] = sym[:-k] + np.uint64(1)
             back[place < k] = 0  # before the start
             ctx = mix64(ctx * np.uint64(0x100000001B3) + back + np.uint64(k))
-        yield (mix64(ctx ^ np.uint64(0xABCDEF)) % np.uint64(CELLS)).astype(np.int64), (
-            mix64(ctx + (sym + np.uint64(257)) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(CELLS)
-        ).astype(np.int64)
+        yield mix64(ctx ^ np.uint64(0xABCDEF)).view(np.int64), mix64(ctx + (sym + np.uint64(257)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def count_cells(ruled: DataFrame) -> DataFrame:
-    """cell, label, n: summed over all rows of ruled (s, label); every task
-    sends one pre-summed row per touched cell at most."""
-
-    def run(batches):
-        acc = [np.zeros(2 * CELLS, dtype=np.int64), np.zeros(2 * CELLS, dtype=np.int64)]
-        for big in batches:
-            for b in slices(big, "s", 4 << 20):
-                data, lens, place = _flat(b.column(0))
-                label = np.repeat(b.column(1).to_numpy(zero_copy_only=False).astype(np.int64), lens)
-                for ctx, sym in _cells(data, place):
-                    for y in (0, 1):
-                        on = label == y
-                        acc[y][:CELLS] += np.bincount(ctx[on], minlength=CELLS)
-                        acc[y][CELLS:] += np.bincount(sym[on], minlength=CELLS)
-        for y in (0, 1):
-            at = np.flatnonzero(acc[y])
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(len(at), y, np.int32)), pa.array(acc[y][at])], ["cell", "label", "n"])
-
-    return ruled.select("s", "label").mapInArrow(run, "cell long, label int, n long").groupBy("cell", "label").agg(F.sum("n").alias("n"))
+def _summed(cells: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    names, at = np.unique(cells, return_inverse=True)
+    out = np.zeros(len(names), dtype=np.int64)
+    np.add.at(out, at, n)
+    return names, out
 
 
-class RatioModel:
-    """Two count tables of fixed size; scores strings in batches."""
+def count_cells(ruled: DataFrame, weight: Column | None = None) -> DataFrame:
+    """cell, label, n: summed over all rows of ruled (s, label), each counted
+    ``weight`` times (default once); tasks pre-sum what they hold."""
 
-    def __init__(self, counts: np.ndarray, threshold: float = 0.0):
-        self.counts, self.threshold = counts, threshold  # [label, 2 * CELLS]
-        self.usable = bool(counts[0].any() and counts[1].any())
+    def run(batches):
+        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
 
-    def scores(self, col: pa.Array) -> np.ndarray:
-        data, lens, place = _flat(col)
-        if not self.usable or not len(data):
-            return np.zeros(len(lens))
-        p = [np.full(len(data), 1 / 256), np.full(len(data), 1 / 256)]
-        for ctx, sym in _cells(data, place):
+        def merge():
             for y in (0, 1):
-                n_ctx, n_sym = self.counts[y][ctx], self.counts[y][CELLS + sym]
-                p[y] = (np.minimum(n_sym, n_ctx) + ALPHA * p[y]) / (n_ctx + ALPHA)
-        diff = np.concatenate([[0.0], np.cumsum(np.log(p[1]) - np.log(p[0]))])
-        ends = np.cumsum(lens)
-        total = diff[ends] - diff[ends - lens]
-        return np.where(lens > 0, total / np.maximum(lens, 1), 0.0)
-
+                if held[y]:
+                    held[y] = [_summed(*(np.concatenate(x) for x in zip(*held[y])))]
 
-def _score(df: DataFrame, shared, out: str = "score") -> DataFrame:
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType(), False)])
+        def send():
+            for y in (0, 1):
+                for cells, n in held[y]:
+                    yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(np.full(len(cells), y, np.int32)), pa.array(n)], ["cell", "label", "n"])
+                held[y] = []
 
-    def run(batches):
-        model = shared.value
+        size = lambda: sum(len(c) for h in held for c, _ in h)
         for big in batches:
-            for b in slices(big, "s", 4 << 20):
-                s = model.scores(b.column(b.schema.get_field_index("s")))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], [*b.schema.names, out])
-
-    return df.mapInArrow(run, schema)
-
-
-def fit(ruled: DataFrame) -> RatioModel:
-    """Counts over the ruled rows (s, label 1 allowed / 0 blocked) of all folds
-    but the calibration fold, then the threshold that balances the error rates
-    of both classes on that fold (from a histogram that Spark sums)."""
-    fold = F.pmod(F.xxhash64("s"), F.lit(CALIBRATION_FOLD))
-    cells = count_cells(ruled.where(fold != 0)).toPandas()  # at most 4 * CELLS rows
-    counts = np.zeros((2, 2 * CELLS), dtype=np.int64)
-    counts[cells["label"].to_numpy(), cells["cell"].to_numpy()] = cells["n"].to_numpy()
-    model = RatioModel(counts)
-    if not model.usable:
-        return model
-    shared = ruled.sparkSession.sparkContext.broadcast(model)
+            for b in slices(big, "s", 128 << 10):
+                data, lens, place = _flat(b.column(0))
+                label = np.repeat(b.column(1).to_numpy(zero_copy_only=False).astype(np.int64), lens)
+                times = np.repeat(b.column(2).to_numpy(zero_copy_only=False), lens)
+                keys = [x for pair in _cells(data, place) for x in pair]
+                for y in (0, 1):
+                    on = label == y
+                    if on.any():
+                        held[y].append(_summed(np.concatenate([k[on] for k in keys]), np.tile(times[on], len(keys))))
+                if size() > HELD_CELLS:
+                    merge()
+                    if size() > HELD_CELLS // 2:
+                        yield from send()
+        merge()
+        yield from send()
+
+    rows = ruled.select("s", "label", (F.lit(1) if weight is None else weight).cast("long").alias("_n"))
+    return rows.mapInArrow(run, "cell long, label int, n long").groupBy("cell", "label").agg(F.sum("n").alias("n"))
+
+
+def _scores(col: pa.Array, cells: np.ndarray, counts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Scores of strings; ``cells`` (sorted) and the counts of both labels hold
+    every counted key of these strings."""
+    data, lens, place = _flat(col)
+    if not len(data):
+        return np.zeros(len(lens))
+    counts = [np.append(n, 0) for n in counts]
+
+    def where(keys):
+        at = np.searchsorted(cells, keys)
+        found = np.append(cells, 0)[at] == keys
+        return np.where(found & (at < len(cells)), at, len(cells))
+
+    p = [np.full(len(data), 1 / 256), np.full(len(data), 1 / 256)]
+    for ctx, sym in _cells(data, place):
+        ctx, sym = where(ctx), where(sym)
+        for y in (0, 1):
+            p[y] = (counts[y][sym] + ALPHA * p[y]) / (counts[y][ctx] + ALPHA)
+    diff = np.concatenate([[0.0], np.cumsum(np.log(p[1]) - np.log(p[0]))])
+    ends = np.cumsum(lens)
+    total = diff[ends] - diff[ends - lens]
+    return np.where(lens > 0, total / np.maximum(lens, 1), 0.0)
+
+
+def score(strings: DataFrame, counts: DataFrame, n_parts: int) -> DataFrame:
+    """s, score of every row of strings (distinct s); ``counts``: cell, n0, n1."""
+    parts = strings.select(F.pmod(F.xxhash64("s"), F.lit(n_parts)).alias("part"), "s")
+
+    def ask(group: pa.Table) -> pa.Table:
+        found = [np.zeros(0, dtype=np.int64)]
+        for batch in group.combine_chunks().to_batches():
+            for b in slices(batch, "s", PART_BYTES):
+                data, _, place = _flat(b.column(1))
+                found.append(np.unique(np.concatenate([x for pair in _cells(data, place) for x in pair])))
+        cells = np.unique(np.concatenate(found))
+        return pa.table({"part": np.full(len(cells), group["part"][0].as_py()), "cell": cells})
+
+    def answer(group: pa.Table, known: pa.Table) -> pa.Table:
+        cells = known["cell"].to_numpy()
+        order = np.argsort(cells)
+        counts = tuple(known[c].to_numpy()[order] for c in ("n0", "n1"))
+        s, got = group["s"].combine_chunks(), []
+        for b in slices(pa.RecordBatch.from_arrays([s], ["s"]), "s", PART_BYTES):
+            got.append(_scores(b.column(0), cells[order], counts))
+        return pa.table({"s": s, "score": np.concatenate(got) if got else np.zeros(0)})
+
+    known = parts.groupBy("part").applyInArrow(ask, "part long, cell long").join(counts, "cell").select("part", "cell", "n0", "n1")
+    return parts.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(answer, "s string, score double")
+
+
+def threshold(scored: DataFrame) -> float:
+    """The cut that balances the error rates of both classes over scored
+    (score, label, n), from a histogram that Spark sums."""
     step = 2 * SCORE_SPAN / SCORE_BINS
     bins = F.least(F.greatest(F.floor((F.col("score") + SCORE_SPAN) / step), F.lit(0)), F.lit(SCORE_BINS - 1))
-    hist = _score(ruled.where(fold == 0).select("s", "label"), shared).groupBy("label", bins.alias("bin")).count().collect()
     h = np.zeros((2, SCORE_BINS))
-    for r in hist:
-        h[r["label"], r["bin"]] = r["count"]
+    for r in scored.groupBy("label", bins.alias("bin")).agg(F.sum("n").alias("n")).collect():
+        h[r["label"], r["bin"]] = r["n"]
     h /= np.maximum(h.sum(axis=1, keepdims=True), 1)
     # cut before bin i: blocked below, allowed from there on
     wrong = np.concatenate([[0.0], np.cumsum(h[1])]) + 1 - np.concatenate([[0.0], np.cumsum(h[0])])
     best = np.flatnonzero(wrong <= wrong.min() + 1e-12)
-    model.threshold = -SCORE_SPAN + step * float(best[len(best) // 2])
-    return model
+    return -SCORE_SPAN + step * float(best[len(best) // 2])
+
+
+def fit_score(base: DataFrame) -> tuple[DataFrame, float]:
+    """s, n (rows), score of every distinct s of base (s, rule_verdict), and the
+    threshold. Counts come from the ruled rows of all folds but the calibration
+    fold, the threshold from that fold. A string's rule is that of all its rows."""
+    label = F.max((F.col("rule_verdict") == "allow").cast("int"))
+    strings = cut_lineage(base.groupBy("s").agg(F.count("*").alias("n"), label.alias("label")))
+    learns = F.pmod(F.xxhash64("s"), F.lit(CALIBRATION_FOLD)) != 0
+    seen = strings.agg(
+        F.sum(F.octet_length("s")).alias("bytes"),
+        *[F.max(((F.col("label") == y) & learns & (F.col("s") != "")).cast("int")).alias(f"has{y}") for y in (0, 1)],
+    ).first()
+    if not (seen["has0"] and seen["has1"]):
+        return strings.select("s", "n", F.lit(0.0).alias("score")), 0.0
+    ruled = strings.where("label is not null")
+    sums = [F.sum(F.when(F.col("label") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1)]
+    counts = count_cells(ruled.where(learns), F.col("n")).groupBy("cell").agg(*sums)
+    scores = score(strings, counts, max(MIN_PARTS, -(-seen["bytes"] // PART_BYTES)))
+    scored = cut_lineage(strings.join(scores, "s"))
+    return scored.select("s", "n", "score"), threshold(scored.where(F.col("label").isNotNull() & ~learns))
 
 
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -180,8 +235,10 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     host, path = host_path(F.col("_url"))
     base = with_rule(named.select(id_col, host.alias("host"), path.alias("path")), rules)
     base = cut_lineage(base.withColumn("s", F.concat("host", "path")))
-    ruled = base.where("rule is not null").select("s", (F.col("rule_verdict") == "allow").cast("int").alias("label"))
-    model = fit(ruled)
-    shared = pages.sparkSession.sparkContext.broadcast(model)
-    verdict = F.coalesce("rule_verdict", F.when(F.col("score") >= model.threshold, "allow").otherwise("block"))
-    return _score(base, shared).select(id_col, "host", "path", "rule", verdict.alias("verdict"), "score")
+    scored, cut = fit_score(base)
+    # strings of a large share of the rows (fewer than HOT_SHARE) are broadcast
+    total = scored.agg(F.sum("n")).first()[0] or 0
+    hot, cold = scored.where(F.col("n") * HOT_SHARE > total).drop("n"), scored.where(F.col("n") * HOT_SHARE <= total).drop("n")
+    known = base.join(F.broadcast(hot), "s").unionByName(base.join(F.broadcast(hot.select("s")), "s", "left_anti").join(cold, "s"))
+    verdict = F.coalesce("rule_verdict", F.when(F.col("score") >= cut, "allow").otherwise("block"))
+    return known.select(id_col, "host", "path", "rule", verdict.alias("verdict"), "score")

@@ -5,6 +5,7 @@ import base64
 import hashlib
 import random
 import tempfile
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -110,6 +111,39 @@ def test_url_counts_equal_a_plain_count(spark):
     assert got["n"].sum() == 2 * (urls.ORDER + 1) * sum(len(s) for s, _ in rows)
 
 
+def test_url_contexts_share_no_cell(spark):
+    rnd = random.Random(11)
+    strings = sorted({"".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(24)) for _ in range(4000)})
+    rows = [(s, i % 2) for i, s in enumerate(strings)]
+
+    def keys(s):
+        b = s.encode()
+        for k in range(urls.ORDER + 1):
+            for i in range(len(b)):
+                ctx = tuple(b[j] if j >= 0 else None for j in range(i - k, i))
+                yield (ctx,), (ctx, b[i])
+
+    count = Counter()
+    for s, y in rows[:3500]:
+        for pair in keys(s):
+            count.update((key, y) for key in pair)
+    counts = urls.count_cells(spark.createDataFrame(rows[:3500], "s string, label int"))
+    assert counts.count() == len(count)
+    wide = counts.groupBy("cell").agg(*[F.sum(F.when(F.col("label") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1)])
+    got = {r["s"]: r["score"] for r in urls.score(spark.createDataFrame(rows, "s string, label int"), wide, 7).collect()}
+    assert len(got) == len(rows)
+    for s, _ in rows[::97]:
+        total, b = 0.0, s.encode()
+        at = list(keys(s))
+        for i in range(len(b)):
+            p = [1 / 256, 1 / 256]
+            for k in range(urls.ORDER + 1):
+                ctx, sym = at[k * len(b) + i]
+                p = [(count[sym, y] + urls.ALPHA * p[y]) / (count[ctx, y] + urls.ALPHA) for y in (0, 1)]
+            total += np.log(p[1] / p[0])
+        assert abs(got[s] - total / len(b)) < 1e-9
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/", "same"), (5, "http://b/", "same"), (3, None, "same"), (4, "u\r\nv", None), (2, "http://c/", ""), (6, "http://d/", "é<html>\r\n\r\nWARC/1.1\r\n" * 50), (6, "http://d/", "é<html>\r\n\r\nWARC/1.1\r\n" * 50), (None, "n", "lone"), (9, "x", "y" * 200_000)]
     df = spark.createDataFrame([(*r, "k") for r in rows], PAGE + ", refers_to string").repartition(2)
