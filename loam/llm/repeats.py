@@ -7,7 +7,9 @@ fixed length that repeats in the corpus.
 2. Rows meet by gram hash. Anchors with equal contexts are copies of each other
    as a whole. Only contexts that share a gram hash but differ are left open.
 3. The open contexts (one per class) are shipped by gram hash to shards, where
-   the operator's index decides window by window.
+   the operator's index decides window by window. A gram group too large for a
+   shard (a phrase that many documents hold with different neighbours) is not
+   indexed: Spark groups the hashes (128 bits) of its single windows.
 4. The repeated windows of each document are gathered and applied to its text.
 
 Rows are known by (id, text hash), so repeated ids or rows don't mix.
@@ -23,13 +25,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loam.llm.anchors import anchors
+from loam.llm.anchors import anchors, window_hashes
 from loam.llm.common import cut_lineage, mix64, slices
 
 #: loc = first window start << 16 | (last - first)
 SHIFT = 16
-#: Units that a shard's index holds at a time (whole gram groups).
+#: Units that a shard's index holds before it is closed (whole gram groups; a
+#: group of more units is judged by window hashes, so no index holds twice this).
 SHARD_UNITS = 1_500_000
+#: A window that more than one in so many windows equals is joined by broadcast.
+HOT_SHARE = 1000
 
 _FACTORS = mix64(np.arange(1, 4097, dtype=np.uint64)) | np.uint64(1)
 _SPACE = np.zeros(256, dtype=bool)
@@ -191,12 +196,17 @@ def judge(shipped: DataFrame, resolver: Callable, dtype, span: int) -> DataFrame
             [pa.array([ids[i] for i in c], pa.int64()), pa.array([ths[i] for i in c], pa.int64()), pa.array(loc)], ["_id", "_th", "loc"]
         )
 
+    limit = SHARD_UNITS
+
     def run(batches):
-        held, size, group = [], 0, None
+        held, size, group, last = [], 0, None, None
         width = np.dtype(dtype).itemsize
         for b in batches:
             for h, i, t, loc, alone, ctx in zip(*[c.to_pylist() for c in b.columns]):
-                if h != group and size >= SHARD_UNITS:
+                if (h, i, t, loc) == last:  # a repeated row is one document
+                    continue
+                last = (h, i, t, loc)
+                if h != group and size >= limit:
                     got = solve(held)
                     if got is not None:
                         yield got
@@ -214,11 +224,57 @@ def judge(shipped: DataFrame, resolver: Callable, dtype, span: int) -> DataFrame
     return dealt.mapInArrow(run, "_id long, _th long, loc long")
 
 
+def crowds(known: DataFrame, span: int) -> DataFrame:
+    """h, windows of the gram groups whose open contexts exceed a shard: fewer
+    than one in SHARD_UNITS units."""
+    own = F.col("o.loc").bitwiseAND(F.lit((1 << SHIFT) - 1)) + 1
+    sums = known.select(F.explode("open").alias("o")).groupBy(F.col("o.h").alias("h")).agg(F.sum(own).alias("windows"), F.sum(own + span - 1).alias("units"))
+    return sums.where(F.col("units") > SHARD_UNITS).select("h", "windows")
+
+
+def judge_crowds(shipped: DataFrame, total: int, dtype, span: int, first_stays: bool) -> DataFrame:
+    """As judge, for groups of any size: one row per window, grouped by hash.
+    Equal windows have equal anchors, so the hash alone is the key."""
+
+    def run(batches):
+        for big in batches:
+            for b in slices(big, "ctx", 256 << 10):
+                seqs = [np.frombuffer(x, dtype=dtype) for x in b.column(b.schema.get_field_index("ctx")).to_pylist()]
+                lens = np.array([len(x) for x in seqs])
+                owned = lens - span + 1
+                row = np.repeat(np.arange(len(seqs)), owned)
+                place = np.arange(int(owned.sum())) - np.repeat(np.cumsum(owned) - owned, owned)
+                begin = np.cumsum(lens) - lens
+                flat = np.concatenate(seqs).astype(np.uint64)
+                w, v = (window_hashes(x, span)[begin[row] + place].view(np.int64) for x in (flat, mix64(flat + np.uint64(0x9E3779B97F4A7C15))))
+                first = b.column(b.schema.get_field_index("loc")).to_numpy() >> SHIFT
+                take = pa.array(row)
+                cols = [b.column(b.schema.get_field_index(c)).take(take) for c in ("_id", "_th", "alone")]
+                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(v), *cols, pa.array(first[row] + place)], ["w", "v", "_id", "_th", "alone", "at"])
+
+    each = shipped.mapInArrow(run, "w long, v long, _id long, _th long, alone boolean, at long")
+    where = F.struct("_id", "_th", "at")
+    same = cut_lineage(each.groupBy("w", "v").agg(F.count("*").alias("n"), F.min(where).alias("lead")).where("n > 1"))
+    hot, cold = same.where(F.col("n") * HOT_SHARE > total), same.where(F.col("n") * HOT_SHARE <= total)
+    met = each.join(F.broadcast(hot), ["w", "v"]).unionByName(each.join(F.broadcast(hot.select("w", "v")), ["w", "v"], "left_anti").join(cold, ["w", "v"]))
+    late = ~where.eqNullSafe(F.col("lead")) if first_stays else F.col("alone")
+    return met.where(late).select("_id", "_th", F.shiftleft("at", SHIFT).alias("loc"))
+
+
 def repeated(docs: DataFrame, units: Callable, dtype, resolver: Callable, span: int, gram: int, first_stays: bool, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
     """_id, _raw, the kept columns and marks: array<long> of every row of docs."""
     rows = keyed(docs, id_col, text_col, keep)
     known = cut_lineage(classify(sample(rows, units, span, gram, first_stays), first_stays))
-    judged = judge(ship(rows, known, units, span), resolver, dtype, span)
+    shipped = ship(rows, known, units, span)
+    large = cut_lineage(crowds(known, span))
+    total = large.agg(F.sum("windows")).first()[0]
+    if total is None:
+        judged = judge(shipped, resolver, dtype, span)
+    else:
+        shipped, large = cut_lineage(shipped), F.broadcast(large.select("h"))
+        judged = judge(shipped.join(large, "h", "left_anti"), resolver, dtype, span).unionByName(
+            judge_crowds(shipped.join(large, "h", "left_semi"), total, dtype, span, first_stays)
+        )
     marks = (
         known.where(F.size("marks") > 0).select("_id", "_th", "marks")
         .unionByName(judged.groupBy("_id", "_th").agg(F.collect_list("loc").alias("marks")))

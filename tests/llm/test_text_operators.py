@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from loam.llm import bpe, decontam, fmindex, ngram, quality, suffix
+from loam.llm import bpe, decontam, fmindex, ngram, quality, repeats, suffix
 
 AZ = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -103,6 +103,49 @@ def test_repeated_rows(spark):
     assert [r["n_removed"] for r in fmindex.digest(df).orderBy("doc_id").collect()] == [60, 60, 60, 60]
 
 
+@pytest.mark.parametrize("words", [False, True])
+def test_large_gram_groups_never_meet_in_one_shard(spark, monkeypatch, words):
+    rnd = random.Random(8)
+    limit, span = (800, 35) if words else (10_000, 100)
+    monkeypatch.setattr(repeats, "SHARD_UNITS", limit)
+    line = " ".join(f"click{i}" for i in range(20)) if words else "click here to read more about our rules, terms and licences"
+    near = [" ".join(rnd.choice("abcdefgh") * rnd.randint(1, 9) for _ in range(40)) for _ in range(12)]
+    rows = [(i, f"{rnd.choice(near)} {line} {rnd.choice(near)} {line} {rnd.random()}") for i in range(300)]
+    rows += [rows[7], rows[7], (None, rows[9][1] + " z")]
+
+    def guarded(seqs, alone, n):
+        if sum(len(x) for x in seqs) > 2 * limit:
+            raise ValueError("a shard holds more than twice its units")
+        return resolver(seqs, alone, n)
+
+    resolver = fmindex.other_copies if words else suffix.later_copies
+    how = (repeats.word_units, np.uint64, guarded, span, fmindex.GRAM, False) if words else (repeats.byte_units, np.uint8, guarded, span, suffix.GRAM, True)
+    found = repeats.repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), *how, "doc_id", "text", [])
+    got = {}
+    for r in found.collect():
+        n = len(bytes(r["_raw"]).split()) if words else len(r["_raw"])
+        gone = repeats.cover(n, r["marks"], span)
+        got.setdefault(r["_id"], set()).add(tuple([False] * n if gone is None else gone.tolist()))
+    seen, want = Counter(), {}
+    docs = {}
+    for i, text in rows:  # a repeated row is one document where the first stays
+        docs.setdefault(i, []).append(text.encode().split() if words else text.encode())
+    for u in docs.values():
+        for x in u if words else u[:1]:
+            seen.update(tuple(x[p:p + span]) for p in range(len(x) - span + 1))
+    early = set()
+    for i in sorted(docs, key=lambda i: -1 if i is None else i):
+        u = docs[i][0]
+        gone = [False] * len(u)
+        for p in range(len(u) - span + 1):
+            key = tuple(u[p:p + span])
+            if seen[key] > 1 if words else key in early:
+                gone[p:p + span] = [True] * span
+            early.add(key)
+        want[i] = {tuple(gone)}
+    assert got == want
+
+
 def jaccard_groups(rows, size, similarity):
     sets = {}
     for i, t, *_ in rows:
