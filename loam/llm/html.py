@@ -24,6 +24,7 @@ from __future__ import annotations
 import html as entities
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,9 +35,9 @@ MIN_PAGES = 5
 CONSTANT_SHARE = 0.8
 #: A page that shares more of its text than this with the reference is a copy.
 COPY_SHARE = 0.5
-#: Child lists longer than this (product) are aligned in order, not by the table.
+#: Child lists longer than this (product) are halved (Hirschberg), so that the
+#: alignment stays exact and takes memory for one row.
 ALIGN_CELLS = 20_000
-MAX_DEPTH = 200
 #: Parts into which the pages of one host are dealt.
 SALTS = 16
 
@@ -95,6 +96,14 @@ def parse(html: str | None) -> Node:
     """A forgiving DOM: text nodes have the tag '#', '\\n' nodes break lines."""
     root = Node("root")
     stack = [root]
+    p_at = [0]  # per open element: place of the open p that no barrier hides, or 0
+    opened: dict[str, int] = {}
+
+    def close(i: int) -> None:
+        for x in stack[i:]:
+            opened[x.tag] -= 1
+        del stack[i:], p_at[i:]
+
     html = html or ""
     at, n = 0, len(html)
     while at < n:
@@ -115,22 +124,24 @@ def parse(html: str | None) -> Node:
             continue
         name = name.lower()
         if m[1]:  # an end tag closes up to its start tag, if there is one
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened.get(name) else ():
                 if stack[i].tag == name:
-                    del stack[i:]
+                    close(i)
                     break
                 if name in INLINE and stack[i].tag not in INLINE:
                     break
             continue
-        if name not in INLINE and name not in VOID:
-            ends = CLOSES.get(name, set()) | {"p"}
-            for i in range(len(stack) - 1, 0, -1):
+        if name in CLOSES:
+            ends = CLOSES[name] | {"p"}
+            for i in range(len(stack) - 1, 0, -1) if any(opened.get(tag) for tag in ends) else ():
                 tag = stack[i].tag
                 if tag in ends:
-                    del stack[i:]
+                    close(i)
                     break
-                if tag in BARRIER and not (name in CLOSES and tag in CLOSES[name]):
+                if tag in BARRIER:
                     break
+        elif name not in INLINE and name not in VOID and p_at[-1]:
+            close(p_at[-1])
         mark, drop = _is_boiler(name, m[3])
         node = Node(name, mark)
         node.drop = drop or name in VOID
@@ -139,7 +150,9 @@ def parse(html: str | None) -> Node:
             end = re.compile(rf"</{re.escape(name)}[^>]*>", re.I).search(html, at)
             at = end.end() if end else n
             node.drop = True
-        elif name not in VOID and not m[3].rstrip().endswith("/") and len(stack) < MAX_DEPTH:
+        elif name not in VOID and not m[3].rstrip().endswith("/"):
+            p_at.append(len(stack) if name == "p" else 0 if name in BARRIER else p_at[-1])
+            opened[name] = opened.get(name, 0) + 1
             stack.append(node)
     order = []
     walk = [root]
@@ -174,33 +187,44 @@ def match(a: Node, b: Node, out: dict[int, Node] | None = None) -> int:
     Subtrees are compared once per pair of shapes."""
     table: dict[tuple[int, int], tuple[int, list]] = {}
 
-    def solve(x: Node, y: Node) -> int:
+    def gain(x: Node, y: Node) -> int:
         if x.shape == y.shape:
             return x.size
-        if not _same(x, y):
-            return 0
-        got = table.get((x.shape, y.shape))
-        if got is None:
-            got = table[x.shape, y.shape] = align(x.kids, y.kids)
-        return got[0]
+        return table[x.shape, y.shape][0] if _same(x, y) else 0
+
+    def missing(xs: list[Node], ys: list[Node]) -> list[tuple[Node, Node, bool]]:
+        kinds: dict[tuple[str, str], dict[int, Node]] = {}
+        for y in ys:
+            kinds.setdefault((y.tag, y.mark), {})[y.shape] = y
+        shapes = {x.shape: x for x in xs}.values()
+        return [(x, y, False) for x in shapes for s, y in kinds.get((x.tag, x.mark), {}).items() if x.shape != s and (x.shape, s) not in table]
+
+    def solve(x: Node, y: Node) -> int:
+        todo = [(x, y, False)] if x.shape != y.shape and _same(x, y) else []
+        while todo:  # children first
+            p, q, ready = todo.pop()
+            if (p.shape, q.shape) in table:
+                continue
+            below = [] if ready else missing(p.kids, q.kids)
+            if below:
+                todo.append((p, q, True))
+                todo += below
+            else:
+                table[p.shape, q.shape] = align(p.kids, q.kids)
+        return gain(x, y)
 
     def align(xs: list[Node], ys: list[Node]) -> tuple[int, list]:
         m, n = len(xs), len(ys)
         if not m or not n:
             return 1, []
         if m * n > ALIGN_CELLS:
-            pairs, j = [], 0
-            for i, p in enumerate(xs):  # in order: each node with the next of its kind
-                k = next((k for k in range(j, min(n, j + 50)) if _same(p, ys[k])), None)
-                if k is not None:
-                    pairs.append((i, k))
-                    j = k + 1
-            return 1 + sum(solve(xs[i], ys[k]) for i, k in pairs), pairs
+            pairs = align_long(xs, ys)
+            return 1 + sum(gain(xs[i], ys[j]) for i, j in pairs), pairs
         rows = [[0] * (n + 1)]
         for p in xs:
             up, row, left = rows[-1], [0], 0
             for j, q in enumerate(ys):
-                best = up[j] + (p.size if p.shape == q.shape else solve(p, q) if p.tag == q.tag else 0)
+                best = up[j] + (p.size if p.shape == q.shape else gain(p, q) if p.tag == q.tag else 0)
                 left = max(best, left, up[j + 1])
                 row.append(left)
             rows.append(row)
@@ -215,6 +239,52 @@ def match(a: Node, b: Node, out: dict[int, Node] | None = None) -> int:
                 pairs.append((i, j))
         return 1 + rows[m][n], pairs
 
+    def align_long(xs: list[Node], ys: list[Node]) -> list[tuple[int, int]]:
+        i0, i1, j0, j1 = 0, len(xs), 0, len(ys)
+        pairs = []
+        while i0 < i1 and j0 < j1 and xs[i0].shape == ys[j0].shape:  # equal ends always pair up in a largest mapping
+            pairs.append((i0, j0))
+            i0, j0 = i0 + 1, j0 + 1
+        while i0 < i1 and j0 < j1 and xs[i1 - 1].shape == ys[j1 - 1].shape:
+            i1, j1 = i1 - 1, j1 - 1
+            pairs.append((i1, j1))
+        kinds = {y.shape: y for y in ys}
+        code = {s: k for k, s in enumerate(kinds)}
+        codes = np.array([code[y.shape] for y in ys])
+        gains: dict[int, np.ndarray] = {}
+
+        def gain_row(x: Node) -> np.ndarray:
+            got = gains.get(x.shape)
+            if got is None:
+                got = gains[x.shape] = np.array([gain(x, y) for y in kinds.values()], dtype=np.int64)
+            return got
+
+        def last_row(some: list[Node], at: np.ndarray) -> np.ndarray:
+            row = np.zeros(len(at) + 1, dtype=np.int64)
+            for x in some:
+                row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + gain_row(x)[at]))
+            return row
+
+        todo = [(i0, i1, j0, j1)]
+        while todo:
+            i0, i1, j0, j1 = todo.pop()
+            if i0 == i1 or j0 == j1:
+                continue
+            if i1 - i0 == 1:
+                row = gain_row(xs[i0])[codes[j0:j1]]
+                j = int(row.argmax())
+                if row[j]:
+                    pairs.append((i0, j0 + j))
+            elif (i1 - i0) * (j1 - j0) <= ALIGN_CELLS:
+                pairs += [(i0 + i, j0 + j) for i, j in align(xs[i0:i1], ys[j0:j1])[1]]
+            else:
+                mid = (i0 + i1) // 2
+                ahead = last_row(xs[i0:mid], codes[j0:j1])
+                behind = last_row(xs[mid:i1][::-1], codes[j0:j1][::-1])[::-1]
+                cut = j0 + int((ahead + behind).argmax())
+                todo += [(i0, mid, j0, cut), (mid, i1, cut, j1)]
+        return pairs
+
     size = solve(a, b)
     if out is not None and size:
         todo = [(a, b)]

@@ -64,6 +64,32 @@ def test_simple_tree_matching_is_the_largest_mapping():
         assert html.match(a, a) == a.size
 
 
+def test_long_child_lists_are_aligned_exactly(monkeypatch):
+    side = "<div>all rights kept</div>"
+    ref, page = (html.parse("<body>" + "<p>x</p>" * k + side + "</body>") for k in (120, 180))
+    pairs = {}
+    assert html.match(ref, page, pairs) == 2 + 2 * 120 + 2 == len(pairs)
+    body = ref.kids[0]
+    assert pairs[body.kids[-1].number] is page.kids[0].kids[-1]
+    rnd = random.Random(9)
+    some = ["<p>x</p>", "<p><b>x</b>y</p>", "<div><p>x</p></div>", "<div><b>x</b><p>y</p></div>", "<ul><li>x</ul>", "<div><ul><li>x<li>y</ul></div>"]
+    for _ in range(40):
+        a, b = (html.parse("".join(rnd.choice(some) for _ in range(rnd.randint(0, 30)))) for _ in range(2))
+        size = html.match(a, b)
+        with monkeypatch.context() as m:
+            m.setattr(html, "ALIGN_CELLS", 0)
+            pairs = {}
+            assert html.match(a, b, pairs) == size == len(pairs)
+
+
+def test_deep_elements_keep_their_marks():
+    deep = "<div>" * 400 + "<nav>menu</nav><div>text</div>" + "</div>" * 400 + "<p>end</p>"
+    assert html.main_text(html.parse(deep), None, set()) == "text end"
+    far = "<article>" + "<div>" * 3000 + "x" + "</div>" * 3000 + "<p>y</p></article>"
+    assert html.main_text(html.parse(far), None, set()) == "x y"
+    assert html.match(html.parse(far), html.parse(far.replace("x", "<b>x</b>"))) == 3004
+
+
 def test_template_is_learned_per_host(spark):
     rows = []
     for i in range(12):  # no article element: only the wrapper tells
