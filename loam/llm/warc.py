@@ -9,7 +9,8 @@ records that refer to it.
 Reader: parses member after member, checks gzip CRC, record length and payload
 digest; after a failed check it searches for the next gzip member or plain
 ``WARC/`` version line that parses, recovers the later records, and reports the
-skipped bytes as quarantined gaps.
+skipped bytes as quarantined gaps. The same search runs over the inflated bytes
+of a member, also over what a damaged one gives before the damage.
 
 Defined cases: null html is an empty payload; null url becomes an empty target;
 repeated page ids keep one row each; a page without an id is a response of its
@@ -92,39 +93,74 @@ def _parse_record(buf: bytes, at: int) -> tuple[dict, int] | None:
     return {"head": head, "body": body}, stop + 4
 
 
-def _inflate(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes | None, int]:
-    """The gzip member at ``at`` and its end; None if its checks fail."""
+def _inflate(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int | None]:
+    """What the gzip member at ``at`` holds and its end; the prefix before the
+    damage and None if its checks fail."""
     d, parts, i = zlib.decompressobj(31), [], at
     try:
         while not d.eof and i < len(data):
             parts.append(d.decompress(data[i:i + step]))
             i += step
     except zlib.error:
-        return None, at
+        if step > 1:  # a failing call returns nothing, so its bytes go in one by one
+            d, last = zlib.decompressobj(31), i
+            parts = [d.decompress(data[k:k + step]) for k in range(at, last, step)]
+            try:
+                for k in range(last, min(last + step, len(data))):
+                    parts.append(d.decompress(data[k:k + 1]))
+            except zlib.error:
+                pass
+        return b"".join(parts), None
     if not d.eof:
-        return None, at
+        return b"".join(parts), None
     return b"".join(parts), min(i, len(data)) - len(d.unused_data)
 
 
+def _raw_end(data: bytes, at: int, size: int, step: int = 1 << 16) -> int:
+    """Where the first ``size`` inflated bytes of the member at ``at`` end."""
+    d = zlib.decompressobj(31)
+    while size > 0:
+        feed = data[at:at + step]
+        size -= len(d.decompress(feed, size))
+        at += len(feed) - len(d.unconsumed_tail)
+    return at
+
+
+def _scan(plain: bytes, whole: bool) -> tuple[list[tuple[dict | None, int]], int]:
+    """(record or None for a gap, end) over a member's inflated bytes, and the
+    end of the last record. In a member that fails its checks (not ``whole``) a
+    record needs a block digest, and the one that touches the damage is left out."""
+    out: list[tuple[dict | None, int]] = []
+    i = good = 0
+    while i < len(plain):
+        rec = _parse_record(plain, i)
+        if rec is not None and (whole or (rec[1] < len(plain) and b"warc-block-digest" in rec[0]["head"])):
+            i = good = rec[1]
+            out.append((rec[0], i))
+            continue
+        i = plain.find(b"WARC/", i + 1)
+        i = len(plain) if i < 0 else i
+        if out and out[-1][0] is None:
+            out.pop()
+        out.append((None, i))
+    return out, good
+
+
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict | None]]:
     """Yields ("record", start, end, record) and ("gap", start, end, None) over
-    an archive's bytes, gzip members and plain records alike."""
+    an archive's bytes, gzip members and plain records alike. What a member holds
+    has the member's bytes as its place (of a damaged one: those up to its last
+    record); a gap inside it is told in its turn among its records."""
     at, n, gap = 0, len(data), None
     while at < n:
-        got: list[dict] = []
+        got: list[dict | None] = []
         end = at
         if data[at:at + 3] == b"\x1f\x8b\x08":
-            plain, end = _inflate(data, at)
-            if plain is not None:
-                i = 0
-                while i < len(plain):
-                    rec = _parse_record(plain, i)
-                    if rec is None:
-                        break
-                    got.append(rec[0])
-                    i = rec[1]
-                if i < len(plain) or not got:
-                    got, end = [], at
+            plain, stop = _inflate(data, at)
+            found, good = _scan(plain, stop is not None)
+            if good:
+                end = stop if stop is not None else _raw_end(data, at, good)
+                got = [rec for rec, upto in found if stop is not None or upto <= good]
         elif data[at:at + 5] == b"WARC/":
             rec = _parse_record(data, at)
             if rec is not None:
@@ -134,7 +170,7 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict | None]]:
                 yield "gap", gap, at, None
                 gap = None
             for r in got:
-                yield "record", at, end, r
+                yield "gap" if r is None else "record", at, end, r
             at = end
             continue
         if gap is None:

@@ -204,6 +204,26 @@ def test_salvage_reports_gaps_and_recovers_later_records():
     assert list(warc.salvage(b"")) == [] and [x[:3] for x in warc.salvage(b"nothing")] == [("gap", 0, 7)]
 
 
+def test_salvage_inside_a_member_of_several_records():
+    rnd = random.Random(2)
+    bodies = [rnd.randbytes(30_000) for _ in range(8)]
+    parts = [warc.build_record(i, f"http://x/{i}", b, warc.payload_digest(b), None) for i, b in enumerate(bodies)]
+    ids = lambda data: [int(r["head"][b"warc-record-id"].rpartition(b":")[2].rstrip(b">")) if r else None for _, _, _, r in warc.salvage(data)]
+    bad = bytearray(parts[3])
+    bad[-100] ^= 1
+    one = warc.gzip_member(b"".join([*parts[:3], bytes(bad), *parts[4:7]]))
+    tail = warc.gzip_member(parts[7])
+    assert ids(one + tail) == [0, 1, 2, None, 4, 5, 6, 7]
+    assert [x[:3] for x in warc.salvage(one)] == [("gap" if i == 3 else "record", 0, len(one)) for i in range(7)]
+    full = warc.gzip_member(b"".join(parts[:7]))
+    assert ids(full[:len(full) // 2]) == [0, 1, 2, None] and ids(full[:len(full) // 2] + tail) == [0, 1, 2, None, 7]
+    crc = bytearray(full)
+    crc[-6] ^= 1
+    assert ids(bytes(crc) + tail) == [0, 1, 2, 3, 4, 5, None, 7]
+    got = [x[:3] for x in warc.salvage(bytes(crc) + tail)]
+    assert all(a[2] == b[1] for a, b in zip(got[5:], got[6:])) and got[-1][2] == len(crc) + len(tail)
+
+
 def test_archives_roll_and_read_back_payloads(spark):
     rows = [(i, f"http://x/{i}", "".join(random.Random(i).choices("abcdefgh", k=3000))) for i in range(60)]
     folder = "file://" + tempfile.mkdtemp(prefix="loam-warc-")
