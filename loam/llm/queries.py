@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import ann, bpe, decontam, fmindex, html, ngram, quality, suffix, urls, warc
+from loam.llm import ann, bpe, conversations, decontam, fmindex, html, licenses, ngram, quality, spelling, suffix, urls, warc
 from loam.llm.common import table
 from loam.llm.oracle import ORACLE  # noqa: F401  (read by the driver contract)
 
@@ -61,7 +61,21 @@ def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.digest(conversations.damage(rows), rows)
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.notices(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_benchmark_decontamination, op2_ngram_jaccard_join, op3_html_extraction, op4_suffix_array_dedup, op5_nearest_neighbours,
     op6_quality_classifier, op7_bpe_round_trip, op8_url_filter, op9_substring_dedup, op10_warc_salvage,
+    op11_conversation_repair, op12_license_scan, op13_spelling_variants,
 )}
