@@ -49,6 +49,8 @@ from loam.llm.common import cut_lineage
 
 #: Most symbols of one segment.
 SEGMENT = 1024
+#: A word of more than one in so many segments is frequent.
+FREQUENT = 1000
 #: Costs (fixed by the task).
 REROLE, DELETE, INSERT, TRUNCATED = 1, 2, 5, 5
 FAR = 1 << 40
@@ -217,8 +219,8 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     nodes of the open path are a stack, the common ending of neighbours stays."""
     ends, path, last = None, [], ""
     for batch in batches:
-        rows = {"ends": [], "word": [], "cost": [], "audit": [], "out": []}
-        for e, word in zip(batch.column("ends").to_pylist(), batch.column("word").to_pylist()):
+        rows = {"ends": [], "word": [], "times": [], "cost": [], "audit": [], "out": []}
+        for e, word, times in zip(*(batch.column(c).to_pylist() for c in ("ends", "word", "times"))):
             if e != ends:
                 ends, path, last = e, [end_node(tuple(e))], ""
             same = 0
@@ -231,19 +233,34 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cost, audit, out = path[-1]
             rows["ends"].append(e)
             rows["word"].append(word)
+            rows["times"].append(times)
             rows["cost"].append([c - e[t] for c, t in zip(cost, out)])
             rows["audit"].append(audit)
             rows["out"].append(out)
         yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([
-            ("ends", pa.list_(pa.int64())), ("word", pa.string()), ("cost", pa.list_(pa.int64())), ("audit", pa.list_(pa.string())), ("out", pa.list_(pa.int32()))]))
+            ("ends", pa.list_(pa.int64())), ("word", pa.string()), ("times", pa.int64()), ("cost", pa.list_(pa.int64())), ("audit", pa.list_(pa.string())), ("out", pa.list_(pa.int32()))]))
 
 
 def solve(words: DataFrame) -> DataFrame:
-    """For each distinct (ends array<long>, word): per grammar state the cost of
-    its best edits, their audit and the state in which the word ends."""
-    distinct = words.select("ends", "word").distinct().withColumn("tail", F.reverse("word"))
-    ranged = distinct.repartitionByRange("ends", "tail").sortWithinPartitions("ends", "tail").select("ends", "word")
-    return ranged.mapInArrow(_solve, "ends array<long>, word string, cost array<long>, audit array<string>, out array<int>")
+    """For each distinct (ends array<long>, word), with its number of rows: per
+    grammar state the cost of its best edits, their audit and the state in which
+    the word ends."""
+    distinct = words.groupBy("ends", "word").agg(F.count("*").alias("times")).withColumn("tail", F.reverse("word"))
+    ranged = distinct.repartitionByRange("ends", "tail").sortWithinPartitions("ends", "tail").select("ends", "word", "times")
+    return ranged.mapInArrow(_solve, "ends array<long>, word string, times long, cost array<long>, audit array<string>, out array<int>")
+
+
+def _solved(placed: DataFrame) -> DataFrame:
+    """``placed`` with the solution of each segment. A word of more than a
+    thousandth of all segments comes by broadcast (there are fewer than
+    ``FREQUENT`` such words of ``SEGMENT`` symbols), so no key of the shuffled
+    join is hot."""
+    key = ["ends", "word"]
+    found = cut_lineage(solve(placed))
+    frequent = F.col("times") * FREQUENT > placed.count()
+    few = F.broadcast(found.where(frequent).drop("times"))
+    rest = placed.join(F.broadcast(found.where(frequent).select(key)), key, "left_anti")
+    return placed.join(few, key).unionByName(rest.join(found.where(~frequent).drop("times"), key))
 
 
 def _ends(c: int | tuple[int, ...]) -> Column:
@@ -294,7 +311,7 @@ def edits(parts: DataFrame) -> DataFrame:
     behind = many.join(between, "word").groupBy(*key).applyInPandas(
         _behind, "none boolean, conv_id string, part long, seg long, word string, ends array<long>")
     placed = cut_lineage(single.withColumn("more", F.lit(False)).unionByName(behind.withColumn("more", F.lit(True))))
-    solved = placed.join(cut_lineage(solve(placed)), ["ends", "word"])
+    solved = _solved(placed)
     done = solved.where("not more").select(*key, "part", "seg", F.expr("cost[0]").alias("spent"), F.expr("audit[0]").alias("edits"))
     chain = solved.where("more").groupBy(*key).applyInPandas(
         _through, "none boolean, conv_id string, part long, seg long, spent long, edits string")
