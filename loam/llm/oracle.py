@@ -72,10 +72,101 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WH
 FROM dig JOIN lead_of USING (d)
 """
 
+
+def _crc32(text: str) -> str:
+    """crc32 of a string's UTF-8 bytes, bit by bit."""
+    return f"""xor(list_reduce(list_transform(range(0, octet_length(encode({text}))), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT)),
+  lambda c, b: list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda x, j: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295), 4294967295)"""
+
+
+def _cell(cost: str | int, audit: str, text: str) -> str:
+    return f"{{'c': {cost}, 'a': {audit}, 't': {text}}}"
+
+
+def _least(*cells: str) -> str:
+    return f"list_min([{', '.join(cells)}])"
+
+
+_LINE = ("chr(10) || 'user:'", "chr(10) || 'assistant:'")
+
+
+def _insert(cell: str, who: int) -> str:
+    return _cell(f"{cell}.c + 5", f"'I' || {cell}.a", f"{_LINE[who]} || {cell}.t")
+
+
+def _edit(q: int, keeps: tuple, forced: int) -> str:
+    """Cheapest of delete, keep and rerole from grammar state ``q``; ``f`` holds
+    the cells of the row after."""
+    def cell(t):
+        return f"f[{t + 1}]"
+
+    delete = _cell(f"{cell(q)}.c + 2", f"'D' || {cell(q)}.a", f"{cell(q)}.t")
+    keep = "".join(
+        f" WHEN init = '{r}' THEN " + _cell(f"{cell(t)}.c + extra", f"'K' || {cell(t)}.a", f"chr(10) || role || ':' || text || {cell(t)}.t") for r, t in keeps)
+    rerole = _cell(f"{cell(forced)}.c + extra + 1", f"'R' || {cell(forced)}.a", f"{_LINE[forced - 2]} || text || {cell(forced)}.t")
+    return _least(delete, f"CASE WHEN gone THEN {delete}{keep} ELSE {delete} END", f"CASE WHEN gone THEN {delete} ELSE {rerole} END")
+
+
+_EDITS = ",\n        ".join(_edit(*x) for x in ((0, (("s", 1), ("u", 2)), 2), (1, (("u", 2),), 2), (2, (("a", 3),), 3), (3, (("u", 2),), 2)))
+#: Row by row from the end of each conversation: per grammar state the cheapest
+#: cost, audit and repaired text.
+OP11 = f"""
+WITH RECURSIVE base AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+hashed AS (SELECT * EXCLUDE (k), {_crc32('k')} % 20 AS h FROM base),
+hurt AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+                CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                unnest(CASE WHEN h = 3 THEN [0, 1] ELSE [0] END) AS copy FROM hashed WHERE h <> 0),
+ids AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+line AS (SELECT c, turn, role, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text)) AS i
+         FROM hurt JOIN ids ON hurt.conv_id IS NOT DISTINCT FROM ids.conv_id),
+flaw AS (SELECT *, CASE WHEN substr(role, 1, 1) IN ('s', 'u', 'a') THEN substr(role, 1, 1) ELSE 'o' END AS init,
+                NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank, row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS again,
+                NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') AS cut FROM line),
+mark AS (SELECT *, blank OR again AS gone, CASE WHEN cut THEN 5 ELSE 0 END AS extra,
+                coalesce(lag(init) OVER (PARTITION BY c ORDER BY i) || init NOT IN ('su', 'ua', 'au'), false) AS bad FROM flaw),
+tally AS (SELECT c, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+                 count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (cut AND NOT gone) AS truncated, count(*) FILTER (bad) AS illegal FROM mark GROUP BY c),
+best AS (
+  SELECT c, n + 1 AS i, [{_cell(0,"''","''")}, {_cell(10,"'II'",f"{_LINE[0]} || {_LINE[1]}")}, {_cell(5,"'I'",_LINE[1])}, {_cell(0,"''","''")}] AS f FROM tally
+  UNION ALL
+  SELECT c, i, [{_least('x[1]', _insert('y[1]',0))}, {_least('x[2]', _insert('y[1]',0))}, y[1], y[2]] FROM (
+    SELECT c, i, x, [{_least('x[3]', _insert('x[4]',1))}, {_least('x[4]', _insert('x[3]',0))}] AS y FROM (
+      SELECT c, mark.i AS i, [{_EDITS}] AS x
+      FROM best JOIN mark USING (c) WHERE mark.i = best.i - 1)))
+SELECT ids.conv_id AS conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(coalesce(f[1].c, 0) AS BIGINT) AS cost, coalesce(f[1].a, '') AS audit, sha256(coalesce(substr(f[1].t, 2), '')) AS repaired_sha256
+FROM ids LEFT JOIN tally USING (c) LEFT JOIN best ON best.c = ids.c AND best.i = 1
+"""
+OP13 = f"""
+WITH RECURSIVE run AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS r FROM documents),
+runs AS (SELECT d || ':' || r AS k, r, count(*) AS c FROM run WHERE length(r) >= 6 GROUP BY 1, 2),
+hashed AS (SELECT r, c, {_crc32('k')} AS h FROM runs),
+word AS (SELECT CASE WHEN h % 199 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS w, c FROM hashed),
+vocab AS (SELECT w, CAST(sum(c) AS BIGINT) AS n FROM word WHERE length(w) >= 6 GROUP BY 1 HAVING sum(c) >= 5),
+place AS (SELECT w, n, unnest(range(0, length(w))) AS i FROM vocab),
+gap AS (SELECT w, n, substr(w, 1, i) AS p, substr(w, i + 2) AS s FROM place),
+pair AS (
+  SELECT a.w AS w, b.w AS v, b.n AS m FROM gap a JOIN gap b ON a.p = b.p AND a.s = b.s AND a.w <> b.w
+  UNION SELECT g.w, v.w, v.n FROM gap g JOIN vocab v ON v.w = g.p || g.s
+  UNION SELECT v.w, g.w, g.n FROM gap g JOIN vocab v ON v.w = g.p || g.s),
+best AS (SELECT w, v, m, count(*) OVER (PARTITION BY w) AS k, row_number() OVER (PARTITION BY w ORDER BY m DESC, v COLLATE "binary") AS r FROM pair),
+named AS (SELECT vocab.w, vocab.n, coalesce(k, 0) AS k, CASE WHEN m >= 5 * n THEN v END AS f, CASE WHEN m >= 5 * n THEN m END AS fn
+          FROM vocab LEFT JOIN best ON best.w = vocab.w AND r = 1),
+chain AS (SELECT w, w AS e, f AS nxt FROM named
+          UNION ALL SELECT chain.w, named.w, named.f FROM chain JOIN named ON named.w = chain.nxt)
+SELECT named.w AS word, f AS form, e AS root, n, k AS n_near, fn AS form_n
+FROM named JOIN chain ON chain.w = named.w AND nxt IS NULL
+"""
+
 ORACLE = {
     "op1_benchmark_decontamination": OP1,
     "op2_ngram_jaccard_join": OP2,
     "op4_suffix_array_dedup": OP4,
     "op9_substring_dedup": OP9,
     "op10_warc_salvage": OP10,
+    "op11_conversation_repair": OP11,
+    "op13_spelling_variants": OP13,
 }
