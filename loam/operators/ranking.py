@@ -1,33 +1,29 @@
 """Exact global ranks and quantiles without a single-partition window.
 
 A global ``row_number() OVER (ORDER BY ...)`` puts every row in one task.
-Instead rows are cut into ordered buckets whose boundaries respect the
-sort order (a hex prefix of a hash, or approximate quantiles of a value):
-
-1. one aggregation counts rows per bucket (at most ``n_buckets`` rows reach
-   the driver, a bound fixed before the job runs);
-2. cumulative counts give each bucket's offset;
-3. ``row_number()`` inside each bucket (one shuffle, many parallel tasks)
-   plus the offset is the exact global rank.
+
+* Ranks (:func:`key_rank`, :func:`hash_rank`): one range exchange on the typed
+  order columns themselves, so any sortable type is ordered exactly; equal
+  order values are split on the tie columns and then on a row hash, so a hot
+  value spreads over tasks. Each sorted partition is written once with its row
+  positions, and rows per partition give the offsets.
+* Quantiles (:func:`quantile_table`): doubles become integers of the same
+  order, and the wanted ranks are found by counting 12 more bits of them in
+  each pass, for all groups at once. No value is ever sorted.
+* Cuts of a seeded hash order (:func:`cut_positions`) move no row at all.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-# Rows per bucket that one sort task handles comfortably; sets the prefix.
-ROWS_PER_BUCKET = 1 << 21
-# Above this many buckets the offsets travel as a broadcast table instead
+from loam.session import cut_lineage
+
+# Above this many partitions the offsets travel as a broadcast table instead
 # of a literal array inside the plan.
-MAX_LITERAL_BUCKETS = 256
-MAX_HEX_DIGITS = 5  # <= 1M buckets: the offsets table stays <= ~16 MB
-# Per-group tables (bounds, stats) get a broadcast hint only up to this size.
-MAX_BROADCAST_GROUPS = 100_000
+MAX_LITERAL_OFFSETS = 256
 
 
 def hash_key(seed: int | str, key_cols: list[str]) -> Column:
@@ -117,69 +113,68 @@ def before_cut(key_cols: list[str], seed: int | str, cut: tuple, df: DataFrame)
     return (h < F.lit(cut[0])) | ((h == F.lit(cut[0])) & (own < its))
 
 
-def _with_offsets(df: DataFrame, bucket_col: str, offsets: list[int], out: str) -> DataFrame:
-    if len(offsets) <= MAX_LITERAL_BUCKETS:
-        arr = F.array(*[F.lit(int(o)).cast("long") for o in offsets])
-        return df.withColumn(out, F.element_at(arr, (F.col(bucket_col) + 1).cast("int")))
-    spark = df.sparkSession
-    off = spark.createDataFrame(
-        list(enumerate(int(o) for o in offsets)),
-        T.StructType(
-            [T.StructField(bucket_col, T.LongType()), T.StructField(out, T.LongType())]
-        ),
-    )
-    # size bound: one row per bucket, fixed before the job
-    return df.join(F.broadcast(off), bucket_col)
+def _hashable(t: T.DataType) -> bool:
+    if isinstance(t, T.MapType):
+        return False
+    if isinstance(t, T.ArrayType):
+        return _hashable(t.elementType)
+    if isinstance(t, T.StructType):
+        return all(_hashable(f.dataType) for f in t.fields)
+    return True
 
 
-def rank_in_buckets(
-    df: DataFrame,
-    bucket: Column,
-    n_buckets: int,
-    order_cols: list[Column],
-    rank_col: str = "rank",
-    counts: dict[int, int] | None = None,
-) -> tuple[DataFrame, int]:
-    """Global 0-based rank for a bucket column that is monotone in the
-    order (bucket i holds only rows that sort before bucket i+1).
+def ordered_parts(df: DataFrame, order_cols: list[str], partitions: int | None = None) -> DataFrame:
+    """The rows in ascending order (nulls first) over range partitions, with
+    ``__part`` and the position ``__pos`` inside it.
 
-    Returns (ranked frame, total rows).
+    Rows of equal order columns are dealt on by a hash of the row, and equal
+    rows by a number that each input partition gives out in hash order, so it
+    is the same when a task runs again: no value is bound to one task.
     """
-    b = df.withColumn("__bucket", bucket.cast("long"))
-    if counts is None:
-        counts = bucket_counts(b, "__bucket")
-    w = Window.partitionBy("__bucket").orderBy(*order_cols)
-    if n_buckets <= MAX_LITERAL_BUCKETS:
-        offsets, acc = [], 0
-        for i in range(n_buckets):
-            offsets.append(acc)
-            acc += counts.get(i, 0)
-        ranked = _with_offsets(b, "__bucket", offsets, "__offset")
-    else:
-        # sparse: one row per bucket that holds data (at most the bucket
-        # count, a bound fixed before the job)
-        present, acc = [], 0
-        for k in sorted(counts):
-            present.append((int(k), acc))
-            acc += counts[k]
-        off = df.sparkSession.createDataFrame(present, "__bucket long, __offset long")
-        ranked = b.join(F.broadcast(off) if len(present) <= (1 << 20) else off, "__bucket")
-    ranked = ranked.withColumn(
-        rank_col, F.col("__offset") + F.row_number().over(w) - F.lit(1)
-    ).drop("__bucket", "__offset")
-    return ranked, acc
-
+    hashable = [F.col(f"`{f.name}`") for f in df.schema.fields if _hashable(f.dataType)]
+    tagged = df.withColumn("__h", F.xxhash64(*hashable)).sortWithinPartitions("__h").withColumn("__salt", F.monotonically_increasing_id())
+    keys = [F.col(f"`{c}`").asc_nulls_first() for c in order_cols] + [F.col("__h").asc(), F.col("__salt").asc()]
+    ranged = tagged.repartitionByRange(partitions, *keys) if partitions else tagged.repartitionByRange(*keys)
+    # the low 33 bits of the number count the rows of a partition
+    pos = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.sortWithinPartitions(*keys).select(*df.columns, F.spark_partition_id().alias("__part"), pos.alias("__pos"))
+
+
+def _ranked(df: DataFrame, order_cols: list[str], rank_col: str, rows_per_task: int | None) -> tuple[DataFrame, int]:
+    parts = None
+    if rows_per_task:
+        parts = max(1, -(-df.count() // rows_per_task))
+    # neutral names inside, which no column clashes with
+    names = {c: f"_k{i}" for i, c in enumerate(df.columns)}
+    hidden = df.select(*[df[f"`{c}`"].alias(k) for c, k in names.items()])
+    # written once: positions and counts come from the same table
+    table = cut_lineage(ordered_parts(hidden, [names[c] for c in order_cols], parts))
+    own = [F.col(k).alias(c) for c, k in names.items()]
+    rows = {r[0]: r[1] for r in table.groupBy("__part").count().collect()}
+    offsets, n = [], 0
+    for p in range(max(rows, default=-1) + 1):
+        offsets.append(n)
+        n += rows.get(p, 0)
+    if len(offsets) <= MAX_LITERAL_OFFSETS:
+        start = F.get(F.array(*[F.lit(o).cast("long") for o in offsets] or [F.lit(0).cast("long")]), F.col("__part"))
+        return table.select(*own, (start + F.col("__pos")).alias(rank_col)), n
+    # size bound: one row per partition of the exchange
+    off = df.sparkSession.createDataFrame(list(enumerate(offsets)), "__part int, __offset long")
+    return table.join(F.broadcast(off), "__part").select(*own, (F.col("__offset") + F.col("__pos")).alias(rank_col)), n
 
-def bucket_counts(df: DataFrame, bucket_col: str) -> dict[int, int]:
-    """Rows per bucket: one partially aggregated pass; at most as many
-    rows reach the driver as there are buckets."""
-    return {int(r[0]): int(r[1]) for r in df.groupBy(bucket_col).count().collect()}
 
-
-def hex_digits_for(n: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
-    if n <= rows_per_bucket:
-        return 1
-    return max(1, min(MAX_HEX_DIGITS, math.ceil(math.log(n / rows_per_bucket, 16))))
+def key_rank(
+    df: DataFrame,
+    order_col: str,
+    tie_cols: list[str] | None = None,
+    rank_col: str = "row_index",
+    rows_per_bucket: int | None = None,
+) -> DataFrame:
+    """0-based position in ``(order_col, *tie_cols)`` order: the row index
+    after drops (P8). Nulls come first; rows that are equal in all of these
+    follow in order of a row hash. ``rows_per_bucket`` sets the number of
+    sorting tasks; by default it is ``spark.sql.shuffle.partitions``."""
+    return _ranked(df, [order_col, *(tie_cols or [])], rank_col, rows_per_bucket)[0]
 
 
 def hash_rank(
@@ -187,248 +182,78 @@ def hash_rank(
     key_cols: list[str],
     seed: int | str = 42,
     rank_col: str = "rank",
-    n_rows: int | None = None,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows_per_bucket: int | None = None,
 ) -> tuple[DataFrame, int]:
     """Rank rows by ``(md5(seed:key), key)``: a seeded random permutation
-    that does not depend on partitioning. Keys should be unique; tied keys
-    get arbitrary, but distinct, ranks."""
-    h = hash_key(seed, key_cols)
-    withh = df.withColumn("__h", h)
-
-    def bucket_of(p):
-        return F.conv(F.substring("__h", 1, p), 16, 10).cast("long")
+    that does not depend on partitioning. Returns (ranked frame, total rows).
+    Keys should be unique; tied keys get arbitrary, but distinct, ranks."""
+    ranked, n = _ranked(df.withColumn("__key", hash_key(seed, key_cols)), ["__key", *key_cols], rank_col, rows_per_bucket)
+    return ranked.drop("__key"), n
 
-    # one pass counts rows per 2-hex-digit bucket (256 buckets, enough for
-    # ~5e8 rows at the default bucket size); only larger inputs need a
-    # second, finer count
-    p = 2 if n_rows is None else max(2, hex_digits_for(n_rows, rows_per_bucket))
-    counts = bucket_counts(withh.withColumn("__bucket", bucket_of(p)), "__bucket")
-    n = sum(counts.values())
-    if n > rows_per_bucket * 16**p and p < MAX_HEX_DIGITS:
-        p = hex_digits_for(n, rows_per_bucket)
-        counts = bucket_counts(withh.withColumn("__bucket", bucket_of(p)), "__bucket")
-    ranked, total = rank_in_buckets(
-        withh, bucket_of(p), 16**p, [F.col("__h")] + [F.col(f"`{k}`") for k in key_cols],
-        rank_col, counts,
-    )
-    return ranked.drop("__h"), total
 
+#: Bits left after each pass over the 64-bit keys.
+_SHIFTS = (52, 40, 28, 16, 4, 0)
 
-def _quantile_bounds(df: DataFrame, col: str, n_buckets: int) -> list[float]:
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    qs = df.approxQuantile(col, probs, 1.0 / (4 * n_buckets))
-    out = []
-    for q in qs:
-        if q is not None and (not out or q > out[-1]):
-            out.append(float(q))
-    return out
 
+def order_bits(x: Column) -> Column:
+    """A long that orders doubles as they are (no NaN; zero has one sign)."""
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), x + F.lit(0.0)).cast("long")
+    return F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit((1 << 63) - 1)))
 
-def bucket_index(bounds: Column, x: Column) -> Column:
-    """``2 * (#bounds < x) + (x is a bound)``: monotone in ``x``, and rows
-    equal to a bound get a bucket of their own -- approximate quantiles
-    land on a hot value, so a value holding a third of the rows becomes a
-    single-valued bucket instead of swelling a mixed one."""
-    below = F.size(F.filter(bounds, lambda b: b < x))
-    return F.lit(2) * below + F.array_contains(bounds, x).cast("int")
 
+def quantile_table(df: DataFrame, col: str, probs: list[float], group_cols: list[str] | None = None) -> DataFrame:
+    """groups, n, min, max and q (array, one value per probability) of the
+    values of each group that are neither null nor NaN, with linear
+    interpolation between neighbours (the NumPy default).
 
-def value_bucket(col: Column, bounds: list[float]) -> Column:
-    """Bucket of ``col`` for a sorted list of bounds (see :func:`bucket_index`)."""
-    if not bounds:
-        return F.lit(0)
-    arr = F.array(*[F.lit(float(b)) for b in bounds])
-    return bucket_index(arr, col.cast("double"))
-
-
-def nulls_first_bucket(col: Column, bounds: list[float]) -> Column:
-    """Bucket 0 for nulls (they sort first), the others from 1 on."""
-    return F.when(col.isNull(), F.lit(0)).otherwise(value_bucket(col, bounds) + 1)
-
-
-def order_proxy(df: DataFrame, name: str) -> Column:
-    """A double that never decreases where the column's order increases:
-    numbers themselves, seconds of dates and times, the first six bytes of
-    text. Rows of one proxy value stay in one bucket and are ordered there by
-    the column itself."""
-    c, t = F.col(f"`{name}`"), df.schema[name].dataType
-    if isinstance(t, (T.NumericType, T.BooleanType)):
-        return c.cast("double")
-    if isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return c.cast("timestamp").cast("double")
-    if isinstance(t, T.StringType):
-        six = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0")
-        return F.conv(six, 16, 10).cast("double")
-    raise TypeError(f"cannot rank by {name}: {t.simpleString()}")
-
-
-def _maybe_broadcast(df: DataFrame, n_rows: int) -> DataFrame:
-    return F.broadcast(df) if n_rows <= MAX_BROADCAST_GROUPS else df
-
-
-def key_rank(
-    df: DataFrame,
-    order_col: str,
-    tie_cols: list[str] | None = None,
-    rank_col: str = "row_index",
-    rows_per_bucket: int = ROWS_PER_BUCKET,
-) -> DataFrame:
-    """0-based position in ``(order_col, *tie_cols)`` order: the row index
-    after drops (P8). Nulls come first. Buckets come from approximate
-    quantiles of the order column (of :func:`order_proxy` of it), so they
-    stay balanced for skewed keys."""
-    source, df = df.columns, df.withColumn("__x", order_proxy(df, order_col))
-    n = df.count()
-    # at least one bucket per core, so even small inputs are ranked by many
-    # tasks (a single constant bucket would plan as one partition)
-    par = max(2, df.sparkSession.sparkContext.defaultParallelism)
-    nb = max(par, math.ceil(n / rows_per_bucket))
-    bounds = _quantile_bounds(df, "__x", nb) if n > 1 else []
-    ties = list(tie_cols or [])
-    order = [F.col(f"`{order_col}`")] + [F.col(f"`{c}`") for c in ties]
-    k1 = nulls_first_bucket(F.col("__x"), bounds)
-    n1 = 2 * len(bounds) + 2
-    with_k = df.withColumn("__k1", k1)
-    counts = bucket_counts(with_k, "__k1")
-    # a bucket of one order value (even index) far above the target size is a
-    # hot value: split it again on quantiles of the first tie column, so its
-    # rows are ranked by many tasks instead of one
-    hot = [k for k, c in counts.items() if k and k % 2 == 0 and c > 4 * rows_per_bucket]
-    tie_numeric = bool(ties) and isinstance(df.schema[ties[0]].dataType, T.NumericType)
-    if not hot or not tie_numeric:
-        ranked, _ = rank_in_buckets(df, k1, n1, order, rank_col, counts)
-        return ranked.select(*source, rank_col)
-    sub_bounds = {}
-    for k in hot:
-        part = with_k.filter(F.col("__k1") == k)
-        sub_bounds[k] = _quantile_bounds(part, ties[0], math.ceil(counts[k] / rows_per_bucket))
-    s_max = 2 * max(len(v) for v in sub_bounds.values()) + 2
-    sub = F.lit(0)
-    for k, bs in sub_bounds.items():
-        sub = F.when(F.col("__k1") == k, nulls_first_bucket(F.col(f"`{ties[0]}`"), bs)).otherwise(sub)
-    combined = F.col("__k1").cast("long") * F.lit(s_max) + sub
-    ranked, _ = rank_in_buckets(with_k, combined, n1 * s_max, order, rank_col)
-    return ranked.select(*source, rank_col)
-
-
-def exact_quantiles(
-    df: DataFrame,
-    col: str,
-    probs: list[float],
-    group_cols: list[str] | None = None,
-    n_buckets: int = 64,
-) -> dict[tuple, dict]:
-    """Exact linear-interpolation quantiles (the NumPy default) per group.
-
-    Three passes, none of which sends a whole group to one task:
-    approximate quantiles give per-group bucket bounds; one aggregation
-    counts rows (and min/max) per (group, bucket); only the buckets that
-    hold the wanted ranks are sorted. A bucket holding a single distinct
-    value is answered without sorting, so a hot value costs nothing.
-
-    Returns ``{group_tuple: {"n", "min", "max", "q": [values]}}``.
+    Every pass counts rows per group and next 12 bits, below the bits that
+    hold a wanted rank: at most 4096 counts per rank, combined in the map
+    tasks, whatever the rows and however hot a value. A cell of one distinct
+    value is done. All steps are tables of Spark; the driver only sees whether
+    a rank is still open. A null group is a group.
     """
-    if not group_cols:
-        # one constant group: every step below stays an equi-join
-        res = exact_quantiles(df.withColumn("__grp", F.lit(0)), col, probs, ["__grp"], n_buckets)
-        return {(): v for v in res.values()}
-    groups = list(group_cols)
-    x = F.col(f"`{col}`").cast("double")
-    base = df.select(*[F.col(f"`{g}`") for g in groups], x.alias("__x")).filter(
-        F.col("__x").isNotNull() & ~F.isnan("__x")
-    )
-    inner = [i / n_buckets for i in range(1, n_buckets)]
-    stats_df = base.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.min(F.col("__x") + F.lit(0.0)).alias("__min"),
-        F.max(F.col("__x") + F.lit(0.0)).alias("__max"),
-        F.percentile_approx("__x", inner, 4 * n_buckets * 10).alias("__bounds"),
-    )
-    stats = stats_df.collect()
-    result: dict[tuple, dict] = {}
-    if not stats:
-        return result
-    bounds_by_group = {}
-    for r in stats:
-        g = tuple(r[k] for k in groups)
-        bs = []
-        for b in r["__bounds"] or []:
-            if not bs or b > bs[-1]:
-                bs.append(float(b))
-        bounds_by_group[g] = bs
-        result[g] = {"n": int(r["__n"]), "min": r["__min"], "max": r["__max"], "q": []}
-    # per-row bucket: join the (small, one row per group) bounds table
-    spark = df.sparkSession
-    bschema = T.StructType(
-        [df.schema[g] for g in groups]
-        + [T.StructField("__b", T.ArrayType(T.DoubleType()))]
-    )
-    btab = spark.createDataFrame(
-        [tuple(list(g) + [bs]) for g, bs in bounds_by_group.items()], bschema
-    )
-    joined = base.join(_maybe_broadcast(btab, len(bounds_by_group)), groups)
-    bucketed = joined.withColumn("__k", bucket_index(F.col("__b"), F.col("__x"))).drop("__b")
-    per_bucket = bucketed.groupBy(*groups, "__k").agg(
-        F.count(F.lit(1)).alias("__c"),
-        F.min(F.col("__x") + F.lit(0.0)).alias("__bmin"),
-        F.max(F.col("__x") + F.lit(0.0)).alias("__bmax"),
-    ).collect()
-    buckets: dict[tuple, list] = {}
-    for r in per_bucket:
-        g = tuple(r[k] for k in groups)
-        buckets.setdefault(g, []).append((int(r["__k"]), int(r["__c"]), r["__bmin"], r["__bmax"]))
-    # wanted ranks -> (bucket, rank within bucket)
-    need: dict[tuple, float] = {}
-    sort_needed = set()
-    plan = {}
-    for g, info in result.items():
-        n = info["n"]
-        bl = sorted(buckets.get(g, []))
-        starts, acc = [], 0
-        for k, c, bmin, bmax in bl:
-            starts.append((acc, k, c, bmin, bmax))
-            acc += c
-        wanted = []
-        for p in probs:
-            pos = p * (n - 1)
-            lo, hi = math.floor(pos), math.ceil(pos)
-            wanted.append((pos, lo, hi))
-            for r in (lo, hi):
-                for s, k, c, bmin, bmax in starts:
-                    if s <= r < s + c:
-                        if bmin == bmax:
-                            need[(g, r)] = bmin
-                        else:
-                            sort_needed.add((g, k))
-                            plan[(g, r)] = (k, r - s)
-                        break
-        info["_wanted"] = wanted
-    if sort_needed:
-        sel_schema = T.StructType(
-            [df.schema[g] for g in groups] + [T.StructField("__k", T.IntegerType())]
-        )
-        sel = spark.createDataFrame([tuple(list(g) + [k]) for g, k in sort_needed], sel_schema)
-        w = Window.partitionBy(*groups, "__k").orderBy("__x")
-        inb = (
-            bucketed.join(_maybe_broadcast(sel, len(sort_needed)), groups + ["__k"])
-            .withColumn("__r", F.row_number().over(w) - F.lit(1))
-        )
-        wanted_rows = {(g, k, rr) for (g, _r), (k, rr) in plan.items()}
-        wtab = spark.createDataFrame(
-            [tuple(list(g) + [k, rr]) for g, k, rr in wanted_rows],
-            T.StructType(
-                sel_schema.fields + [T.StructField("__r", T.IntegerType())]
-            ),
-        )
-        got = inb.join(_maybe_broadcast(wtab, len(wanted_rows)), groups + ["__k", "__r"]).collect()
-        vals = {(tuple(r[k] for k in groups), int(r["__k"]), int(r["__r"])): r["__x"] for r in got}
-        for (g, r), (k, rr) in plan.items():
-            need[(g, r)] = vals[(g, k, rr)]
-    for g, info in result.items():
-        qs = []
-        for pos, lo, hi in info.pop("_wanted"):
-            a, b = need[(g, lo)], need[(g, hi)]
-            qs.append(a + (b - a) * (pos - lo))
-        info["q"] = qs
-    return result
+    groups = list(group_cols or [])
+    x = F.col(f"`{col}`").cast("double") + F.lit(0.0)
+    one = F.struct(*[F.col(f"`{g}`").alias(f"g{i}") for i, g in enumerate(groups)], F.lit(0).alias("g"))
+    base = df.select(one.alias("__g"), x.alias("__x")).filter(F.col("__x").isNotNull() & ~F.isnan("__x"))
+    base = cut_lineage(base.withColumn("__k", order_bits(F.col("__x"))))
+    stats = cut_lineage(base.groupBy("__g").agg(F.count(F.lit(1)).alias("n"), F.min("__x").alias("min"), F.max("__x").alias("max")))
+    at = [F.lit(float(p)) * (F.col("n") - 1) for p in probs]
+    both = F.array_distinct(F.array(*[f(a).cast("long") for a in at for f in (F.floor, F.ceil)]))
+    # rank: wanted; left: the same counted from the start of its cell
+    open_ = stats.select("__g", F.lit(0).cast("long").alias("cell"), F.explode(both).alias("rank")).withColumn("left", F.col("rank"))
+    found, above = None, None
+    for shift in _SHIFTS:
+        rows = base.withColumn("cell", F.shiftright("__k", above) if above is not None else F.lit(0).cast("long"))
+        if above is not None:
+            rows = rows.join(open_.select("__g", "cell").distinct(), ["__g", "cell"])
+        counts = rows.groupBy("__g", "cell", F.shiftright("__k", shift).alias("next")).agg(
+            F.count(F.lit(1)).alias("c"), F.min("__x").alias("lo"), F.max("__x").alias("hi"))
+        cells = counts.groupBy("__g", "cell").agg(F.sort_array(F.collect_list(F.struct("next", "c", "lo", "hi"))).alias("cells"))
+        hit = F.expr("""aggregate(cells, named_struct('past', 0L, 'hit', cast(null as struct<next: bigint, c: bigint, lo: double, hi: double>)),
+            (s, e) -> if(s.hit is null and left >= s.past + e.c, named_struct('past', s.past + e.c, 'hit', s.hit),
+                         named_struct('past', s.past, 'hit', coalesce(s.hit, e))))""")
+        step = open_.join(cells, ["__g", "cell"]).withColumn("s", hit)
+        step = cut_lineage(step.select("__g", F.col("s.hit.next").alias("cell"), "rank", (F.col("left") - F.col("s.past")).alias("left"), "s.hit.lo", "s.hit.hi"))
+        done = step.where("lo = hi").select("__g", "rank", F.col("lo").alias("value"))
+        found = done if found is None else found.union(done)
+        open_ = step.where("lo < hi").select("__g", "cell", "rank", "left")
+        above = shift
+        if not open_.limit(1).count():
+            break
+    values = found.groupBy("__g").agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("v"))
+    def between(a):
+        lo, hi = (F.element_at("v", f(a).cast("long")) for f in (F.floor, F.ceil))
+        return F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (a - F.floor(a)))
+
+    quantiles = F.array(*[between(a) for a in at])
+    out = stats.join(values, "__g")
+    return out.select(*[F.col(f"__g.g{i}").alias(g) for i, g in enumerate(groups)], "n", "min", "max", quantiles.alias("q"))
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: list[float], group_cols: list[str] | None = None) -> dict[tuple, dict]:
+    """:func:`quantile_table` on the driver, one entry per group:
+    ``{group_tuple: {"n", "min", "max", "q": [values]}}``."""
+    groups = list(group_cols or [])
+    rows = quantile_table(df, col, probs, groups).collect()
+    return {tuple(r[: len(groups)]): {"n": r["n"], "min": r["min"], "max": r["max"], "q": list(r["q"])} for r in rows}

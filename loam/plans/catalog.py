@@ -191,6 +191,30 @@ def q_row_index(spark, d):
     return splits.row_index(o, "o_orderkey")
 
 
+def q_row_index_text(spark, d):
+    """Names that share their first nine characters."""
+    c = S.table(spark, d, "customer").select("c_name", "c_nationkey")
+    return splits.row_index(c, "c_name", ["c_nationkey"])
+
+
+def q_row_index_wide(spark, d):
+    """Keys that a double cannot tell apart."""
+    o = S.table(spark, d, "orders").select((F.col("o_orderkey") + F.lit(1 << 60)).alias("key"))
+    return splits.row_index(o, "key")
+
+
+def q_row_index_hot(spark, d):
+    """Three order values, ties by text, then by key."""
+    o = S.table(spark, d, "orders").select("o_orderstatus", F.col("o_orderdate").cast("string").alias("day"), "o_orderkey")
+    return splits.row_index(o, "o_orderstatus", ["day", "o_orderkey"])
+
+
+def q_residual_kde_binned(spark, d):
+    """The binned density, fine enough to agree in four places."""
+    k = diagnostics.residual_kde(_residuals(spark, d), "residual", ["split"], method="binned", cells_per_bw=256)
+    return k.select("split", "grid_index", F.round("x", 6).alias("x"), F.round("density", 4).alias("density"))
+
+
 def q_minmax_scale(spark, d):
     p = S.table(spark, d, "part").select(
         "p_partkey", F.col("p_size").cast("double").alias("size"),
@@ -267,7 +291,7 @@ def q_residual_histogram(spark, d):
 
 
 def q_residual_kde(spark, d):
-    k = diagnostics.residual_kde(_residuals(spark, d), "residual", ["split"], gridsize=20)
+    k = diagnostics.residual_kde(_residuals(spark, d), "residual", ["split"])
     return round_doubles(k)
 
 
@@ -318,6 +342,9 @@ QUERIES: dict[str, Query] = {
     "holdout_sizes": q_holdout_sizes,
     "kfold_assign": q_kfold_assign,
     "row_index": q_row_index,
+    "row_index_text": q_row_index_text,
+    "row_index_wide": q_row_index_wide,
+    "row_index_hot": q_row_index_hot,
     "minmax_scale": q_minmax_scale,
     "weighted_mean_baseline": q_weighted_mean_baseline,
     "voting_mean": q_voting_mean,
@@ -329,6 +356,7 @@ QUERIES: dict[str, Query] = {
     "pred_vs_actual_limits": q_pred_vs_actual_limits,
     "residual_histogram": q_residual_histogram,
     "residual_kde": q_residual_kde,
+    "residual_kde_binned": q_residual_kde_binned,
     "search_rank": q_search_rank,
     "search_best": q_search_best,
     "early_stop": q_early_stop,

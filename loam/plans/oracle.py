@@ -153,8 +153,8 @@ _KDE = _RES + """,
                   max(residual) AS mx FROM res GROUP BY split),
     p2 AS (SELECT *, sd * pow(CAST(n AS DOUBLE), -0.2) AS bw FROM st),
     p3 AS (SELECT *, mn - 3.0 * bw AS g0 FROM p2),
-    p4 AS (SELECT *, (mx + 3.0 * bw - g0) / 19 AS step FROM p3),
-    g AS (SELECT p4.*, CAST(t.range AS INTEGER) AS i, g0 + t.range * step AS x FROM p4, range(0, 20) t)
+    p4 AS (SELECT *, (mx + 3.0 * bw - g0) / 199 AS step FROM p3),
+    g AS (SELECT p4.*, CAST(t.range AS INTEGER) AS i, g0 + t.range * step AS x FROM p4, range(0, 200) t)
 SELECT g.split, g.i AS grid_index, round(g.x, 6) AS x,
        round(sum(exp(-0.5 * pow((g.x - res.residual) / g.bw, 2))) / (g.n * g.bw * sqrt(2 * pi())), 6) AS density
 FROM g JOIN res ON g.split = res.split
@@ -229,6 +229,10 @@ ORACLE: dict[str, str] = {
         FROM c""",
     "row_index": """SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_index
         FROM orders WHERE o_orderstatus <> 'P'""",
+    "row_index_text": """SELECT c_name, c_nationkey, row_number() OVER (ORDER BY c_name, c_nationkey) - 1 AS row_index FROM customer""",
+    "row_index_wide": """SELECT o_orderkey + 1152921504606846976 AS key, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_index FROM orders""",
+    "row_index_hot": """SELECT o_orderstatus, CAST(o_orderdate AS VARCHAR) AS day, o_orderkey,
+               row_number() OVER (ORDER BY o_orderstatus, CAST(o_orderdate AS VARCHAR), o_orderkey) - 1 AS row_index FROM orders""",
     "minmax_scale": "WITH "
     + _split_cte("part", "p_partkey",
                  "p_partkey, CAST(p_size AS DOUBLE) AS size, p_retailprice AS price, CAST(1.0 AS DOUBLE) AS const")
@@ -284,6 +288,7 @@ ORACLE: dict[str, str] = {
         FROM p WHERE model = 'group_mean' GROUP BY split""",
     "residual_histogram": _HIST,
     "residual_kde": _KDE,
+    "residual_kde_binned": f"SELECT split, grid_index, x, round(density, 4) AS density FROM ({_KDE.replace('sqrt(2 * pi())), 6)', 'sqrt(2 * pi())), 12)')})",
     "search_rank": """
         WITH r AS (SELECT user_id AS draw, round(avg(value), 6) AS mae_val FROM events GROUP BY user_id)
         SELECT draw, mae_val, CAST(row_number() OVER (ORDER BY mae_val, draw) AS INTEGER) AS rank,

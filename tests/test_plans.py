@@ -24,11 +24,15 @@ def test_cleaning_job_csv_to_versioned(spark, tmpdir_path):
 
 
 def test_filters_and_columns_reach_the_scan(spark):
-    from loam.plans import catalog
+    from pyspark.sql import functions as F
+
+    from loam.operators import ranking
+    from loam.plans import standins
 
     d = "/root/testdata/sf0.001"
     if not os.path.exists(d):
         return
-    plan = catalog.q_row_index(spark, d)._jdf.queryExecution().executedPlan().toString()
+    orders = standins.table(spark, d, "orders").filter(F.col("o_orderstatus") != "P").select("o_orderkey")
+    plan = ranking.ordered_parts(orders, ["o_orderkey"])._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_orderstatus), Not(EqualTo(o_orderstatus,P))]" in plan
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string>" in plan

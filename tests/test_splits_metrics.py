@@ -53,7 +53,7 @@ def test_exact_quantiles_match_numpy(spark):
     x = np.concatenate([rng.normal(size=3000), np.full(1500, 0.25)])  # a hot value
     g = np.where(np.arange(len(x)) % 2 == 0, "a", "b")
     df = spark.createDataFrame([(str(a), float(b)) for a, b in zip(g, x)], "g string, x double")
-    res = ranking.exact_quantiles(df, "x", [0.1, 0.25, 0.5, 0.9], ["g"], n_buckets=16)
+    res = ranking.exact_quantiles(df, "x", [0.1, 0.25, 0.5, 0.9], ["g"])
     for key in ("a", "b"):
         want = np.percentile(x[g == key], [10, 25, 50, 90])
         assert np.allclose(res[(key,)]["q"], want, rtol=0, atol=1e-12)
@@ -176,9 +176,79 @@ def test_key_rank_with_hot_value_and_ties(spark):
     got = {r.draw: r.r for r in out.collect()}
     want = {d: i for i, (_, d) in enumerate(sorted(rows))}
     assert got == want
-    b = ranking.value_bucket(F.col("m"), [100.0, 250.0, 400.0])
-    ks = {r.m: r.k for r in df.select("m", b.alias("k")).distinct().collect()}
-    assert ks[250.0] == 3 and all(ks[v] <= 2 for v in ks if v < 250) and all(ks[v] >= 4 for v in ks if v > 250)
+
+
+@pytest.mark.parametrize("kind", ["text", "wide long", "hot", "equal rows", "decimal", "double"])
+def test_key_rank_orders_every_type_exactly(spark, kind):
+    rng = np.random.RandomState(3)
+    if kind == "text":  # a common prefix, as URLs have
+        vals, t = [f"https://example.com/{v:05d}" for v in rng.permutation(2000)], "string"
+    elif kind == "wide long":  # doubles cannot tell these apart
+        vals, t = [2**60 + int(v) for v in rng.permutation(2000)], "long"
+    elif kind == "hot":
+        vals, t = [7] * 1500 + [int(v) for v in rng.randint(0, 20, 500)], "long"
+    elif kind == "equal rows":
+        vals, t = ["same"] * 2000, "string"
+    elif kind == "decimal":
+        vals, t = [__import__("decimal").Decimal(int(v)) / 100 for v in rng.permutation(2000)], "decimal(30,2)"
+    else:
+        vals, t = [float(v) for v in rng.standard_cauchy(1998)] + [float("inf"), float("-inf")], "double"
+    tie = [0] * 2000 if kind == "equal rows" else [int(v) for v in rng.permutation(2000)]
+    df = spark.createDataFrame(list(zip(vals, tie)), f"k {t}, __part long").repartition(7)
+    out = ranking.key_rank(df, "k", ["__part"], "r", rows_per_bucket=20) if kind != "equal rows" else ranking.key_rank(df, "k", [], "r", 20)
+    rows = sorted((r["r"], r["k"], r["__part"]) for r in out.collect())
+    assert [r[0] for r in rows] == list(range(2000))
+    assert [r[1:] for r in rows] == sorted(zip(vals, tie))
+    if kind in ("hot", "equal rows"):  # the hot value is sorted by many tasks
+        sizes = [r["count"] for r in ranking.ordered_parts(df.select("k"), ["k"], 100).groupBy("__part").count().collect()]
+        assert len(sizes) > 50 and max(sizes) < 200
+
+
+def test_quantiles_of_awkward_groups(spark):
+    rng = np.random.RandomState(5)
+    groups = {
+        "hot": np.r_[np.full(3000, 1.5), rng.normal(size=900)],
+        "tiny": np.array([3.0, -1.0]),
+        "one": np.array([2.0]),
+        "wide": rng.standard_cauchy(2000) ** 9,
+        "near": 1.0 + rng.randint(0, 50, 1000) * np.finfo(float).eps,
+        "signs": np.r_[np.zeros(5), -np.zeros(5), np.array([-5e-324, 5e-324, np.inf, -np.inf])],
+        None: rng.normal(size=77),
+    }
+    rows = [(g, float(v)) for g, x in groups.items() for v in x] + [("hot", None), ("one", float("nan")), ("none at all", None)]
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
+    table = ranking.quantile_table(spark.createDataFrame(rows, "g string, x double").repartition(5), "x", probs, ["g"])
+    assert "Window" not in table._jdf.queryExecution().executedPlan().toString()
+    got = {r["g"]: r for r in table.collect()}
+    assert got.keys() == groups.keys()
+    for g, x in groups.items():
+        want = []
+        for p in probs:
+            s, at = np.sort(x), p * (len(x) - 1)
+            lo, hi = int(np.floor(at)), int(np.ceil(at))
+            want.append(s[lo] if lo == hi or s[lo] == s[hi] else s[lo] + (s[hi] - s[lo]) * (at - lo))
+        assert (got[g]["n"], got[g]["min"], got[g]["max"]) == (len(x), x.min(), x.max())
+        assert np.array_equal(np.array(got[g]["q"]), np.array(want)), g
+    whole = ranking.exact_quantiles(spark.createDataFrame(rows, "g string, x double").where("g = 'near'"), "x", [0.5])
+    assert whole[()]["q"] == [np.quantile(groups["near"], 0.5)]
+    assert ranking.quantile_table(spark.createDataFrame([], "g string, x double"), "x", [0.5], ["g"]).collect() == []
+
+
+def test_density_exact_and_binned(spark):
+    rng = np.random.RandomState(6)
+    x = {"a": np.r_[rng.normal(size=400), rng.normal(8, 0.1, 300)], None: rng.standard_cauchy(200)}
+    df = spark.createDataFrame([(g, float(v)) for g, xs in x.items() for v in xs], "split string, residual double").repartition(4)
+    exact = {(r["split"], r["grid_index"]): r for r in diagnostics.residual_kde(df, gridsize=45).collect()}
+    binned = {(r["split"], r["grid_index"]): r for r in diagnostics.residual_kde(df, gridsize=45, method="binned", cells_per_bw=8).collect()}
+    assert exact.keys() == binned.keys() and len(exact) == 90
+    for g, xs in x.items():
+        bw = xs.std(ddof=1) * len(xs) ** -0.2
+        grid = np.linspace(xs.min() - 3 * bw, xs.max() + 3 * bw, 45)
+        want = np.exp(-0.5 * ((grid[:, None] - xs) / bw) ** 2).sum(1) / (len(xs) * bw * np.sqrt(2 * np.pi))
+        bound = diagnostics.kde_error_bound(bw, 8)
+        for i in range(45):
+            assert abs(exact[g, i]["density"] - want[i]) < 1e-9 and abs(exact[g, i]["x"] - grid[i]) < 1e-6
+            assert abs(binned[g, i]["density"] - want[i]) <= bound + 1e-12
 
 
 def test_split_moves_no_row_and_keeps_exact_sizes(spark):
