@@ -6,17 +6,21 @@ fixed length that repeats in the corpus.
    the documents share sends one row per task and not one per document.
 2. Rows meet by gram hash. Anchors with equal contexts are copies of each other
    as a whole. Only contexts that share a gram hash but differ are left open.
-3. The open contexts (one per class) are shipped by gram hash to shards, where
-   the operator's index decides window by window. A gram group too large for a
-   shard (a phrase that many documents hold with different neighbours) is not
-   indexed: Spark groups the hashes (128 bits) of its single windows.
-4. The repeated windows of each document are gathered and applied to its text.
+3. A gram group too large for a shard (a phrase that many documents hold with
+   different neighbours) is split: each of its contexts goes on in two parts,
+   the windows that reach far to the right of the gram and those that reach far
+   to the left, under the hash of the gram with that neighbourhood. The parts
+   are narrow rows again, judged as in 2, until every group fits.
+4. The open contexts (one per class) are shipped by key to shards, where the
+   operator's index decides window by window.
+5. The repeated windows of each document are gathered and applied to its text.
 
 Rows are known by (id, text hash), so repeated ids or rows don't mix.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -30,11 +34,9 @@ from loam.llm.common import cut_lineage, mix64, slices
 
 #: loc = first window start << 16 | (last - first)
 SHIFT = 16
-#: Units that a shard's index holds before it is closed (whole gram groups; a
-#: group of more units is judged by window hashes, so no index holds twice this).
+#: Units that a shard's index holds before it is closed (whole groups; a group
+#: of more units is split by longer keys, so no index holds twice this).
 SHARD_UNITS = 1_500_000
-#: A window that more than one in so many windows equals is joined by broadcast.
-HOT_SHARE = 1000
 
 _FACTORS = mix64(np.arange(1, 4097, dtype=np.uint64)) | np.uint64(1)
 _SPACE = np.zeros(256, dtype=bool)
@@ -116,7 +118,7 @@ def sample(rows: DataFrame, units: Callable, span: int, gram: int, first_stays:
 
 def classify(found: DataFrame, first_stays: bool) -> DataFrame:
     """Per document (_id, _th): marks (locs whose windows all repeat) and open
-    (h, loc, alone: windows that an index has to judge)."""
+    (h, loc, lr, alone: windows that an index has to judge)."""
     group, cls = Window.partitionBy("h"), Window.partitionBy("h", "c").orderBy("_id", "_th", "loc")
     whole = Window.partitionBy("h", "c")
     x = found.withColumn("several", F.min("c").over(group) != F.max("c").over(group))
@@ -133,7 +135,7 @@ def classify(found: DataFrame, first_stays: bool) -> DataFrame:
         .groupBy("_id", "_th")
         .agg(
             F.collect_list(F.when(F.col("dup"), F.col("loc"))).alias("marks"),
-            F.collect_list(F.when(is_open, F.struct("h", "loc", "alone"))).alias("open"),
+            F.collect_list(F.when(is_open, F.struct("h", "loc", "alone", "lr"))).alias("open"),
         )
     )
 
@@ -145,7 +147,8 @@ def _join(rows: DataFrame, other: DataFrame, how: str) -> DataFrame:
 
 def ship(rows: DataFrame, known: DataFrame, units: Callable, span: int) -> DataFrame:
     """h, _id, _th, loc, alone, ctx (packed units) of every open context."""
-    todo = _join(rows.select("_id", "_th", "_raw"), known.where(F.size("open") > 0).select("_id", "_th", "open"), "inner")
+    todo = _join(rows.select("_id", "_th", "_raw"), known.where(F.size("open") > 0).select(
+        "_id", "_th", F.expr("transform(open, x -> named_struct('h', x.h, 'loc', x.loc, 'alone', x.alone))").alias("open")), "inner")
     names = ["h", "_id", "_th", "loc", "alone", "ctx"]
 
     def run(batches):
@@ -225,56 +228,102 @@ def judge(shipped: DataFrame, resolver: Callable, dtype, span: int) -> DataFrame
 
 
 def crowds(known: DataFrame, span: int) -> DataFrame:
-    """h, windows of the gram groups whose open contexts exceed a shard: fewer
-    than one in SHARD_UNITS units."""
-    own = F.col("o.loc").bitwiseAND(F.lit((1 << SHIFT) - 1)) + 1
-    sums = known.select(F.explode("open").alias("o")).groupBy(F.col("o.h").alias("h")).agg(F.sum(own).alias("windows"), F.sum(own + span - 1).alias("units"))
-    return sums.where(F.col("units") > SHARD_UNITS).select("h", "windows")
-
-
-def judge_crowds(shipped: DataFrame, total: int, dtype, span: int, first_stays: bool) -> DataFrame:
-    """As judge, for groups of any size: one row per window, grouped by hash.
-    Equal windows have equal anchors, so the hash alone is the key."""
+    """h of the gram groups whose open contexts exceed a shard: fewer than one
+    in SHARD_UNITS units."""
+    own = F.col("o.loc").bitwiseAND(F.lit((1 << SHIFT) - 1)) + span
+    sums = known.select(F.explode("open").alias("o")).groupBy(F.col("o.h").alias("h")).agg(F.sum(own).alias("units"))
+    return sums.where(F.col("units") > SHARD_UNITS).select("h")
+
+
+def _sides(m: dict, u: np.ndarray, span: int, gram: int):
+    """The context of an open mark in two, by what its windows hold beside the
+    known units (``l`` left and ``r`` right of the gram): (h, c, loc, l, r).
+
+    A window has ``rem`` units more than the known ones, so at least half of
+    these lie on one side; equal windows have the gram at the same place and so
+    go to the same side, with the same longer key."""
+    first = m["loc"] >> SHIFT
+    more = m["loc"] & ((1 << SHIFT) - 1)
+    left, right = m["lr"] >> SHIFT, m["lr"] & ((1 << SHIFT) - 1)
+    ctx = u[first:first + more + span]
+    # the anchor of its first window is the anchor of all its windows
+    grams = window_hashes(ctx[:span], gram)
+    a = int(np.argmin((grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)))
+    rem = span - gram - left - right
+    to_right = (rem + 1) // 2
+    to_left = rem - to_right + 1
+    for l, r, lo, hi in (
+        (left, right + to_right, max(0, a - (span - gram - right - to_right)), more),
+        (left + to_left, right, 0, min(more, a - left - to_left)),
+    ):
+        if lo <= hi:
+            key, whole = (hashlib.blake2b(digest_size=8) for _ in range(2))
+            key.update(f"{l} {r} ".encode() + ctx[a - l:a + gram + r].tobytes())
+            whole.update(f"{a - lo} ".encode() + ctx[lo:hi + span].tobytes())
+            h, c = (int.from_bytes(x.digest(), "little", signed=True) for x in (key, whole))
+            yield h, c, ((first + lo) << SHIFT) | (hi - lo), l, r
+
+
+def rekey(rows: DataFrame, deep: DataFrame, units: Callable, span: int, gram: int) -> DataFrame:
+    """As sample, for the two sides of every open context of ``deep``."""
+    todo = _join(rows.select("_id", "_th", "_raw"), deep, "inner")
 
     def run(batches):
         for big in batches:
-            for b in slices(big, "ctx", 256 << 10):
-                seqs = [np.frombuffer(x, dtype=dtype) for x in b.column(b.schema.get_field_index("ctx")).to_pylist()]
-                lens = np.array([len(x) for x in seqs])
-                owned = lens - span + 1
-                row = np.repeat(np.arange(len(seqs)), owned)
-                place = np.arange(int(owned.sum())) - np.repeat(np.cumsum(owned) - owned, owned)
-                begin = np.cumsum(lens) - lens
-                flat = np.concatenate(seqs).astype(np.uint64)
-                w, v = (window_hashes(x, span)[begin[row] + place].view(np.int64) for x in (flat, mix64(flat + np.uint64(0x9E3779B97F4A7C15))))
-                first = b.column(b.schema.get_field_index("loc")).to_numpy() >> SHIFT
-                take = pa.array(row)
-                cols = [b.column(b.schema.get_field_index(c)).take(take) for c in ("_id", "_th", "alone")]
-                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(v), *cols, pa.array(first[row] + place)], ["w", "v", "_id", "_th", "alone", "at"])
-
-    each = shipped.mapInArrow(run, "w long, v long, _id long, _th long, alone boolean, at long")
-    where = F.struct("_id", "_th", "at")
-    same = cut_lineage(each.groupBy("w", "v").agg(F.count("*").alias("n"), F.min(where).alias("lead")).where("n > 1"))
-    hot, cold = same.where(F.col("n") * HOT_SHARE > total), same.where(F.col("n") * HOT_SHARE <= total)
-    met = each.join(F.broadcast(hot), ["w", "v"]).unionByName(each.join(F.broadcast(hot.select("w", "v")), ["w", "v"], "left_anti").join(cold, ["w", "v"]))
-    late = ~where.eqNullSafe(F.col("lead")) if first_stays else F.col("alone")
-    return met.where(late).select("_id", "_th", F.shiftleft("at", SHIFT).alias("loc"))
+            for b in slices(big, "_raw"):
+                out, row = [], []
+                for i, (raw, marks) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+                    u = units(raw)
+                    for m in marks:
+                        for h, c, loc, l, r in _sides(m, u, span, gram):
+                            # what is known to repeat counts twice
+                            out.append((h, c, loc, 1 if m["alone"] else 2, (l << SHIFT) | r))
+                            row.append(i)
+                if out:
+                    h, c, loc, n, lr = zip(*out)
+                    take = pa.array(row)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(h, pa.int64()), pa.array(c, pa.int64()), b.column(0).take(take), b.column(1).take(take), pa.array(loc, pa.int64()), pa.array(n, pa.int32()), pa.array(lr, pa.int64())],
+                        ["h", "c", "_id", "_th", "loc", "n", "lr"])
+
+    return todo.select("_id", "_th", "_raw", "open").mapInArrow(run, "h long, c long, _id long, _th long, loc long, n int, lr long")
+
+
+def settle(rows: DataFrame, known: DataFrame, units: Callable, span: int, gram: int, first_stays: bool) -> DataFrame:
+    """``known`` with every gram group too large for a shard split by longer
+    keys until its parts fit. A group of one content has nothing open, and each
+    round halves what a key leaves unknown, so the rounds are few."""
+    done = []
+    while True:
+        large = cut_lineage(crowds(known, span))
+        if not large.limit(1).count():
+            break
+        opened = known.select("_id", "_th", F.explode("open").alias("o"))
+        big = large.select(F.col("h").alias("big"))
+        deep = opened.join(big, F.col("o.h") == F.col("big"), "left_semi").groupBy("_id", "_th").agg(F.collect_list("o").alias("open"))
+        kept = opened.join(big, F.col("o.h") == F.col("big"), "left_anti").select("_id", "_th", F.lit(None).cast("long").alias("mark"), "o")
+        marks = known.select("_id", "_th", F.explode("marks").alias("mark")).withColumn("o", F.lit(None).cast(opened.schema["o"].dataType))
+        done.append(kept.unionByName(marks))
+        known = cut_lineage(classify(rekey(rows, deep, units, span, gram), first_stays))
+    if not done:
+        return known
+    for part in (
+        known.select("_id", "_th", F.explode("marks").alias("mark")).withColumn("o", F.lit(None).cast(known.schema["open"].dataType.elementType)),
+        known.select("_id", "_th", F.lit(None).cast("long").alias("mark"), F.explode("open").alias("o")),
+    ):
+        done.append(part)
+    both = done[0]
+    for part in done[1:]:
+        both = both.unionByName(part)
+    return cut_lineage(both.groupBy("_id", "_th").agg(F.collect_list("mark").alias("marks"), F.collect_list("o").alias("open")))
 
 
 def repeated(docs: DataFrame, units: Callable, dtype, resolver: Callable, span: int, gram: int, first_stays: bool, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
     """_id, _raw, the kept columns and marks: array<long> of every row of docs."""
     rows = keyed(docs, id_col, text_col, keep)
-    known = cut_lineage(classify(sample(rows, units, span, gram, first_stays), first_stays))
-    shipped = ship(rows, known, units, span)
-    large = cut_lineage(crowds(known, span))
-    total = large.agg(F.sum("windows")).first()[0]
-    if total is None:
-        judged = judge(shipped, resolver, dtype, span)
-    else:
-        shipped, large = cut_lineage(shipped), F.broadcast(large.select("h"))
-        judged = judge(shipped.join(large, "h", "left_anti"), resolver, dtype, span).unionByName(
-            judge_crowds(shipped.join(large, "h", "left_semi"), total, dtype, span, first_stays)
-        )
+    found = sample(rows, units, span, gram, first_stays).withColumn("lr", F.lit(0).cast("long"))
+    known = settle(rows, cut_lineage(classify(found, first_stays)), units, span, gram, first_stays)
+    judged = judge(ship(rows, known, units, span), resolver, dtype, span)
     marks = (
         known.where(F.size("marks") > 0).select("_id", "_th", "marks")
         .unionByName(judged.groupBy("_id", "_th").agg(F.collect_list("loc").alias("marks")))
