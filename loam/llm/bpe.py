@@ -39,7 +39,7 @@ SPLIT = (
 #: Distinct pre-tokens a task remembers before it forgets them all.
 CACHE_WORDS = 400_000
 #: Text whose pre-tokens are merged together; a pair index pays off over many.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 
 
 def default_path() -> str:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,24 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20):
         end = max(start + 1, min(end, n))
         yield batch.slice(start, end - start)
         start = end
+    give_back()
+
+
+@cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library keeps its own rules
+        return None
+
+
+def give_back() -> None:
+    """Returns to the system what this worker has freed: workers are used again
+    by later stages, beside the heap of their executor."""
+    pa.default_memory_pool().release_unused()
+    libc = _libc()
+    if libc is not None:
+        libc.malloc_trim(0)
 
 
 def binary_lengths(col: pa.Array) -> np.ndarray:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.common import hide, show, slices
+from loam.llm.common import slices
 
 FEATURES = (
     "log_chars", "log_words", "mean_word", "upper", "digit", "space", "newline", "punct", "symbol", "non_ascii",
@@ -203,8 +203,15 @@ def score(docs: DataFrame, model: BoostedTrees, id_col: str = "doc_id", text_col
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that the classifier does not reject, with all their columns."""
-    plain, names = hide(docs)
+    """The documents that the classifier does not reject, with all their
+    columns. Only the text goes to Python and only the score comes back."""
     model = fit(docs, labels, id_col, text_col)
-    scored = score(plain, model, names[id_col], names[text_col], list(names.values()), "_score")
-    return show(scored.where(F.col("_score") >= THRESHOLD), names)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def rate(text: pa.Array) -> pa.Array:
+        trees = shared.value
+        parts = [trees.scores(matrix(b.column(0).to_pylist())) for b in slices(pa.RecordBatch.from_arrays([text], ["t"]), "t")]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
+
+    return docs.where(rate(docs[text_col]) >= THRESHOLD)
