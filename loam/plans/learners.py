@@ -11,28 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.models import extratrees, mlp, search
-from loam.models.ensemble import gradient_boosting, random_forest
+from loam.models.ensemble import gradient_boosting
+from loam.models.forest import ForestRegressor
 from loam.operators import diagnostics
 from loam.plans import scoring, standins as S, training
 from loam.plans.catalog import round_doubles
 from loam.schema import FEATURE_LABELS, FEATURES, to_soil_table
 from loam.sources import artifacts
 
-# Model sizes of the registered queries: small, so that whole tables are fitted
-# in seconds. The operators' own defaults are the full sizes.
-SMALL = dict(
-    rf_params={"n_estimators": 20, "max_depth": 8, "min_samples_leaf": 2},
-    gb_params={"n_estimators": 20, "max_depth": 4, "learning_rate": 0.1},
-    et_params={"n_estimators": 8, "max_depth": 8, "min_samples_leaf": 2, "max_features": 0.5},
-)
-
-
 def _soil(spark, d) -> DataFrame:
     return to_soil_table(S.soil_raw(spark, d), S.LINEITEM_KEY)
 
 
 def _prepared(spark, d, **kw) -> training.Prepared:
-    cfg = training.TrainConfig(key_cols=list(S.LINEITEM_KEY), **{**SMALL, **kw})
+    cfg = training.TrainConfig(key_cols=list(S.LINEITEM_KEY), **kw)
     return training.prepare(_soil(spark, d), cfg)
 
 
@@ -54,18 +46,23 @@ def _single(spark, d, est_fn, name):
 
 
 def q_rf_predict(spark, d):
-    return _single(spark, d, lambda p: random_forest(SMALL["rf_params"], weight="weight"), "rf")
+    return _single(
+        spark, d,
+        lambda p: ForestRegressor.from_search_params(
+            p.config.rf_params, p.feature_names, "label", "weight", keyCols=p.config.key_cols),
+        "rf",
+    )
 
 
 def q_gbt_predict(spark, d):
-    return _single(spark, d, lambda p: gradient_boosting(SMALL["gb_params"], weight="weight"), "gb")
+    return _single(spark, d, lambda p: gradient_boosting(p.config.gb_params, weight="weight"), "gb")
 
 
 def q_extratrees_predict(spark, d):
     return _single(
         spark, d,
         lambda p: extratrees.ExtraTreesRegressor.from_search_params(
-            SMALL["et_params"], p.feature_names, "label", "weight"),
+            p.config.et_params, p.feature_names, "label", "weight"),
         "et",
     )
 
@@ -87,37 +84,35 @@ def q_importance_rank(spark, d):
     return diagnostics.importance_rank(imp, ["rf", "et"], labels=FEATURE_LABELS)
 
 
-def q_search_results(spark, d):
-    """Random search with K-fold CV for the RF (3 draws x 3 folds here)."""
-    p = _prepared(spark, d)
-    train = p.df.filter(F.col("split") == "train")
-    res = search.random_search_cv(
-        train, "rf", search.RF_SPACE, n_iter=3, k=3, key_cols=list(S.LINEITEM_KEY),
-        seed=42, overrides={"n_estimators": 10, "max_depth": 6},
-    )
-    p.release()
-    return res
+#: Draws and folds of the registered tree searches: points of the whole spaces
+#: with all their trees. The operator's own sizes are 150 draws and 10 folds.
+SEARCH_DRAWS, SEARCH_FOLDS = 3, 3
 
 
-def _search(spark, d, kind, space, overrides):
+def _search(spark, d, kind, space):
     p = _prepared(spark, d)
     train = p.df.filter(F.col("split") == "train")
     res = search.random_search_cv(
-        train, kind, space, n_iter=3, k=3, key_cols=list(S.LINEITEM_KEY), seed=42,
-        feature_names=p.feature_names, overrides=overrides,
+        train, kind, space, n_iter=SEARCH_DRAWS, k=SEARCH_FOLDS, key_cols=list(S.LINEITEM_KEY), seed=42,
+        feature_names=p.feature_names,
     )
     p.release()
     return res
 
 
+def q_search_results(spark, d):
+    """Random search with K-fold CV for the random forest."""
+    return _search(spark, d, "rf", search.RF_SPACE)
+
+
 def q_search_results_gb(spark, d):
-    """Random search with K-fold CV for gradient boosting (3 draws x 3 folds)."""
-    return _search(spark, d, "gb", search.GB_SPACE, {"n_estimators": 10, "max_depth": 3})
+    """Random search with K-fold CV for gradient boosting."""
+    return _search(spark, d, "gb", search.GB_SPACE)
 
 
 def q_search_results_et(spark, d):
-    """Random search with K-fold CV for the extra-trees (3 draws x 3 folds)."""
-    return _search(spark, d, "et", search.ET_SPACE, {"n_estimators": 4, "max_depth": 6})
+    """Random search with K-fold CV for the extra-trees."""
+    return _search(spark, d, "et", search.ET_SPACE)
 
 
 def q_mlp_search(spark, d):

@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions import cleaning, features
-from loam.models.ensemble import VotingRegressor, gradient_boosting, random_forest
+from loam.models.ensemble import VotingRegressor, gradient_boosting
 from loam.models.extratrees import ExtraTreesRegressor
+from loam.models.forest import ForestRegressor
 from loam.operators import metrics, scaling, splits
 from loam.schema import FEATURES, TARGET
 from loam.session import cut_lineage
@@ -114,7 +115,7 @@ def prepare(df: DataFrame, cfg: TrainConfig) -> Prepared:
 def ensemble_estimator(p: Prepared) -> VotingRegressor:
     cfg = p.config
     members = [
-        ("rf", random_forest(cfg.rf_params, cfg.seed)),
+        ("rf", ForestRegressor.from_search_params(cfg.rf_params, p.feature_names, "label", seed=cfg.seed, keyCols=cfg.key_cols)),
         ("gb", gradient_boosting(cfg.gb_params, cfg.seed)),
         ("et", ExtraTreesRegressor.from_search_params(cfg.et_params, p.feature_names, "label",
                                                       seed=cfg.seed)),
@@ -159,7 +160,7 @@ def evaluate(model, p: Prepared) -> DataFrame:
 def importances(model, names: list[str]) -> DataFrame:
     """One row per feature: RF and ET importances (input of O1)."""
     members = dict(model.members)
-    rf = members["rf"].featureImportances.toArray().tolist()
+    rf = list(members["rf"].featureImportances)
     et = list(members["et"].featureImportances)
     spark = model_session()
     return spark.createDataFrame(

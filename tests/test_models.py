@@ -110,6 +110,7 @@ def test_search_draws():
 def test_cv_search_small(spark, prepared):
     tr = prepared.df.filter("split = 'train'")
     res = search.random_search_cv(tr, "rf", search.RF_SPACE, n_iter=2, k=3, key_cols=["k"],
+                                  feature_names=prepared.feature_names,
                                   overrides={"n_estimators": 5, "max_depth": 4}).collect()
     assert len(res) == 2 and sum(r.is_best for r in res) == 1
 
@@ -207,7 +208,7 @@ def test_forest_does_not_depend_on_the_input_layout(spark, soil):
     for parts in (3, 11):
         cfg = training.TrainConfig(key_cols=["k"], rf_params={"n_estimators": 4, "max_depth": 4}, partitions=4)
         p = training.prepare(soil.repartition(parts), cfg)
-        m = training.random_forest(cfg.rf_params, 1).fit(p.df)
+        m = training.ForestRegressor.from_search_params(cfg.rf_params, p.feature_names, "label", seed=1, keyCols=["k"]).fit(p.df)
         sums.add(round(sum(r["prediction"] for r in m.transform(p.df).select("prediction").collect()), 9))
         p.release()
     assert len(sums) == 1
