@@ -115,12 +115,16 @@ def q_search_results_et(spark, d):
     return _search(spark, d, "et", search.ET_SPACE)
 
 
+#: Draws of the registered MLP search: the whole number.
+MLP_SEARCH_DRAWS = search.MLP_DRAWS
+
+
 def q_mlp_search(spark, d):
-    """MLP random search: 3 draws from the lr x batch x dropout space, all
-    trained in shared epoch jobs with early stopping on validation."""
+    """MLP random search: draws from the lr x batch x dropout space, all
+    trained in shared epoch jobs until early stopping on validation."""
     p = _prepared(spark, d, use_weights=False, derived=True, log_target=False)
-    base = mlp.MLPConfig(epochs=3, patience=2, shards=8, seed=42)
-    res = mlp.search(p.df, p.feature_names, "label", search.mlp_draws(3, 42), base)
+    base = mlp.MLPConfig(shards=8, seed=42)
+    res = mlp.search(p.df, p.feature_names, "label", search.mlp_draws(MLP_SEARCH_DRAWS, 42), base)
     p.release()
     return diagnostics.search_rank(res, "mae_val", "draw")
 
@@ -146,8 +150,7 @@ def q_mlp_forward(spark, d):
 
 def q_mlp_predict(spark, d):
     p = _prepared(spark, d, use_weights=False, derived=True, log_target=False)
-    cfg = mlp.MLPConfig(epochs=3, patience=2, batch_size=64, lr=1e-3, dropout=0.1,
-                        shards=8, seed=42)
+    cfg = mlp.MLPConfig(batch_size=64, lr=1e-3, dropout=0.1, shards=8, seed=42)
     model, history = mlp.fit(p.df, p.feature_names, "label", cfg)
     p.release()
     out = model.transform(p.df.filter(F.col("split") == "test"))
@@ -157,8 +160,7 @@ def q_mlp_predict(spark, d):
 
 def q_mlp_history(spark, d):
     p = _prepared(spark, d, use_weights=False, derived=True, log_target=False)
-    cfg = mlp.MLPConfig(epochs=4, patience=2, batch_size=64, lr=1e-3, dropout=0.0,
-                        shards=8, seed=42)
+    cfg = mlp.MLPConfig(batch_size=64, lr=1e-3, dropout=0.0, shards=8, seed=42)
     _, history = mlp.fit(p.df, p.feature_names, "label", cfg)
     p.release()
     return history

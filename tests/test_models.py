@@ -184,6 +184,33 @@ def test_no_row_is_left_out_of_a_batch():
             assert all(len(p) >= 2 for p in parts)
 
 
+def test_mlp_does_not_depend_on_arrow_batches(spark, prepared, monkeypatch):
+    monkeypatch.setattr(mlp, "BLOCK_ROWS", 40)
+    base = mlp.MLPConfig(epochs=2, batch_size=16, shards=3, seed=4)
+    configs = [base, mlp.MLPConfig(**{**base.__dict__, "lr": 1e-2})]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    fitted = []
+    try:
+        for rows in ("7", "1000", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            fitted.append(mlp.fit_many(prepared.df, prepared.feature_names, "label", configs))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for other in fitted[1:]:
+        for a, b in zip(fitted[0], other):
+            assert np.allclose(mlp.flat(a["params"]), mlp.flat(b["params"]), atol=1e-12)
+    alone = mlp.fit_many(prepared.df, prepared.feature_names, "label", configs[:1])
+    assert np.allclose(mlp.flat(alone[0]["params"]), mlp.flat(fitted[0][0]["params"]), atol=1e-12)
+
+
+def test_mlp_blocks_keep_every_row_in_order():
+    import pandas as pd
+
+    frames = [pd.DataFrame({"i": range(a, b)}) for a, b in ((0, 3), (3, 3), (3, 20), (20, 21))]
+    parts = [p["i"].tolist() for p in mlp._blocks(frames, 8)]
+    assert parts == [list(range(0, 8)), list(range(8, 16)), list(range(16, 21))]
+
+
 def test_mlp_saves_loads_and_scores_alike(spark, tmpdir_path):
     df = spark.range(60).select(
         (F.col("id") / 60).alias("a"), F.pmod("id", F.lit(7)).cast("double").alias("b"),
