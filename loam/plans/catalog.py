@@ -9,6 +9,7 @@ that summation order does not decide equality.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +20,10 @@ from loam.functions import cleaning, features
 from loam.models.baseline import MeanRegressor
 from loam.models.ensemble import VotingRegressor
 from loam.operators import diagnostics, metrics, scaling, splits
+from loam.plans import cleaning_job
 from loam.plans import standins as S
 from loam.schema import canonicalize_columns, to_soil_table
-from loam.session import cut_lineage
+from loam.session import cut_lineage, ensure_checkpoint_dir
 from loam.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,6 +126,23 @@ def q_clean_job(spark, d):
     return cleaning.clean(raw)
 
 
+def q_clean_folder(spark, d):
+    """The cleaning job over a folder of CSV files in two layouts (order and
+    spelling of the headers differ), written as a numbered version."""
+    raw = S.soil_dirty_text(spark, d)
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/folders/{uuid.uuid4().hex}"
+    other = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in raw.columns]), F.lit(2)) == 1
+    turned = [F.col(f"`{c}`").alias(f" {c} ") for c in reversed(raw.columns)]
+    for part in (raw.where(~other), raw.where(other).select(*turned)):
+        part.write.mode("append").option("header", True).csv(f"{base}/in")
+    done = cleaning_job.run(spark, f"{base}/in", f"{base}/out")
+    wanted = q_clean_job(spark, d).schema
+    out = spark.read.option("header", True).csv(done["path"])
+    # a text file has no types: the keys were parsed as decimal numbers too
+    typed = [F.col(f"`{f.name}`").cast("double") if isinstance(f.dataType, T.NumericType) else F.col(f"`{f.name}`") for f in wanted.fields]
+    return out.select(*[c.cast(f.dataType).alias(f.name) for c, f in zip(typed, wanted.fields)])
+
+
 def q_range_valid(spark, d):
     return cleaning.range_valid(_soil(spark, d))
 
@@ -331,6 +350,7 @@ QUERIES: dict[str, Query] = {
     "drop_incomplete": q_drop_incomplete,
     "cleaning_report": q_cleaning_report,
     "clean_job": q_clean_job,
+    "clean_folder": q_clean_folder,
     "range_valid": q_range_valid,
     "range_violations": q_range_violations,
     "ratio_features": q_ratio_features,

@@ -15,8 +15,11 @@ from loam.sources import files
 def run(spark: SparkSession, source: str, out_base: str, mode: str = "strict_br",
         prefix: str = "cleaned_v") -> dict:
     """Returns the output path, version, and the before/after row counts."""
-    raw = files.read_csv(spark, source)
-    df = canonicalize_columns(raw)
+    if files.is_folder(spark, source):
+        # every layout gets its canonical names before the layouts meet
+        df = files.read_csv_folder(spark, source, rename=canonicalize_columns).drop("source_file")
+    else:
+        df = canonicalize_columns(files.read_csv(spark, source))
     parsed = cleaning.parse_locale_numbers(df, mode=mode)
     masked = cleaning.evaluated_once(cleaning.mask_outliers(parsed))
     report = cleaning.cleaning_report(masked).first().asDict()

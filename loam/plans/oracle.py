@@ -430,3 +430,5 @@ k AS (SELECT *, (rf + et) / 2.0 AS importance FROM i)
 SELECT feature, round(rf, 6) AS rf, round(et, 6) AS et, round(importance, 6) AS importance, rank
 FROM (SELECT *, CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS rank FROM k) WHERE rank <= 15
 """
+
+ORACLE["clean_folder"] = ORACLE["clean_job"]

@@ -7,7 +7,11 @@ the driver, never data.
 
 from __future__ import annotations
 
-import re
+import random
+import time
+import uuid
+from collections.abc import Callable
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,34 +116,56 @@ def list_files(spark: SparkSession, folder: str, suffix: str = ".csv") -> list[d
     return sorted(out, key=lambda r: r["name"])
 
 
+def header_layouts(spark: SparkSession, folder: str) -> list[tuple[str, list[str]]]:
+    """(header line, names of the files that start with it) of the ``*.csv``
+    files of a folder; files without any line are left out.
+
+    One distributed job: the first line of each file is the smallest row number
+    among the lines of its first block, and files meet by that line, so the
+    driver receives one row per layout.
+    """
+    names = [f["name"] for f in list_files(spark, folder) if not f["is_dir"]]
+    if not names:
+        raise SourceNotFoundError(f"no CSV file in {folder}")
+    base = folder.rstrip("/")
+    lines = spark.read.text([f"{base}/{n}" for n in names]).select(
+        "value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    heads = (
+        lines.withColumn("row", F.monotonically_increasing_id()).where("start = 0")
+        .groupBy("file").agg(F.min(F.struct("row", "value")).alias("first"))
+        .groupBy(F.col("first.value").alias("head")).agg(F.sort_array(F.collect_list("file")).alias("files"))
+    )
+    # the hidden column may give a name in URL form
+    plain = {**{quote(n): n for n in names}, **{n: n for n in names}}
+    return sorted((r["head"], [plain[f] for f in r["files"]]) for r in heads.collect())
+
+
 def read_csv_folder(
-    spark: SparkSession, folder: str, na_tokens: list[str] | None = None
+    spark: SparkSession,
+    folder: str,
+    na_tokens: list[str] | None = None,
+    rename: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Read every ``*.csv`` of a folder, keeping the file name.
 
-    Files are grouped by their header line and each group is one scan, so a
-    file with its columns in another order is read by its own header; groups
-    are put together by name, a column that a group lacks is null. Only one
-    line per file is looked at beforehand. The file name comes from the
-    hidden ``_metadata`` column of the file source.
+    Files are grouped by their header line (:func:`header_layouts`) and each
+    group is one scan, so a file with its columns in another order is read by
+    its own header; ``rename`` harmonises the names of each group. Groups are
+    put together by name, a column that a group lacks is null. The file name
+    comes from the hidden ``_metadata`` column of the file source.
     """
-    files = list_files(spark, folder)
-    if not files:
-        raise SourceNotFoundError(f"no CSV file in {folder}")
     tokens = PANDAS_NA_TOKENS if na_tokens is None else na_tokens
-    layouts: dict[tuple, list[str]] = {}
-    for f in files:
-        path = f"{folder.rstrip('/')}/{f['name']}"
-        head = spark.read.option("header", True).option("inferSchema", False).csv(path).columns
-        layouts.setdefault(tuple(head), []).append(path)
-    parts = []
-    for head, paths in layouts.items():
+    out = None
+    for _, names in header_layouts(spark, folder):
+        paths = [f"{folder.rstrip('/')}/{n}" for n in names]
         raw = spark.read.option("header", True).option("inferSchema", False).csv(paths)
-        cols = [_na_to_null(F.col(f"`{c}`"), tokens).alias(c) for c in head]
-        parts.append(raw.select(*cols, F.col("_metadata.file_name").alias("source_file")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
+        cols = [_na_to_null(F.col(f"`{c}`"), tokens).alias(c) for c in raw.columns]
+        part = raw.select(*cols, F.col("_metadata.file_name").alias("source_file"))
+        if rename is not None:
+            part = rename(part)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise SourceNotFoundError(f"no CSV file with a header in {folder}")
     return out.select(*[c for c in out.columns if c != "source_file"], "source_file")
 
 
@@ -149,11 +175,13 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     return path
 
 
-_VERSION_RE = re.compile(r"^(?P<prefix>.*?)(?P<num>\d+)$")
+#: Folder beside the versions in which numbers are claimed; hidden from readers.
+_CLAIMS = "_claims"
 
 
 def next_version(spark: SparkSession, base_dir: str, prefix: str = "version=") -> int:
-    """Next version number in ``base_dir``: ``max(existing) + 1``.
+    """Next version number in ``base_dir``: ``max(existing) + 1`` (S4), where a
+    claimed number exists even if its version is not written, or is gone.
 
     Counting the entries (and adding one) would overwrite after a deletion,
     so the largest existing number is used instead.
@@ -163,27 +191,54 @@ def next_version(spark: SparkSession, base_dir: str, prefix: str = "version=") -
         fs.mkdirs(p)
         return 1
     best = 0
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if not name.startswith(prefix):
+    for folder in (p, _fs_and_path(spark, f"{base_dir.rstrip('/')}/{_CLAIMS}")[1]):
+        if not fs.exists(folder):
             continue
-        rest = name[len(prefix):]
-        rest = rest[: -len(".csv")] if rest.endswith(".csv") else rest
-        if rest.isdigit():
-            best = max(best, int(rest))
+        for st in fs.listStatus(folder):
+            name = st.getPath().getName()
+            if not name.startswith(prefix):
+                continue
+            rest = name[len(prefix):]
+            rest = rest.partition(".")[0] if folder is not p else rest.removesuffix(".csv")
+            if rest.isdigit():
+                best = max(best, int(rest))
     return best + 1
 
 
+def claim_version(spark: SparkSession, base_dir: str, prefix: str = "version=") -> int:
+    """A version number that no other writer gets.
+
+    Creating a file only if it is absent is no single step in every file
+    system, so a writer lays a claim of its own name and then looks: alone, the
+    number is its own (whoever comes later sees the claim); otherwise all who
+    see each other withdraw and try again after a random wait. This needs
+    listings that show what was created before, as HDFS and object stores do.
+    """
+    while True:
+        n = next_version(spark, base_dir, prefix)
+        fs, folder = _fs_and_path(spark, f"{base_dir.rstrip('/')}/{_CLAIMS}")
+        fs.mkdirs(folder)
+        own = f"{prefix}{n}.{uuid.uuid4().hex}"
+        claim = _fs_and_path(spark, f"{base_dir.rstrip('/')}/{_CLAIMS}/{own}")[1]
+        fs.create(claim, False).close()
+        rivals = [st.getPath().getName() for st in fs.listStatus(folder)]
+        if not any(r.startswith(f"{prefix}{n}.") and r != own for r in rivals):
+            return n
+        fs.delete(claim, False)
+        time.sleep(random.random() * 0.2)
+
+
 def write_versioned(
     df: DataFrame,
     base_dir: str,
     prefix: str = "version=",
     fmt: str = "csv",
 ) -> tuple[str, int]:
-    """Write ``df`` to ``base_dir/<prefix><n>`` with ``n`` the next free
-    version, creating the folder if needed (S4). Returns (path, n)."""
+    """Write ``df`` to ``base_dir/<prefix><n>`` with ``n`` a version claimed for
+    this writer alone, creating the folder if needed (S4). Returns (path, n); a
+    version is complete once it holds Spark's ``_SUCCESS`` marker."""
     spark = df.sparkSession
-    n = next_version(spark, base_dir, prefix)
+    n = claim_version(spark, base_dir, prefix)
     path = f"{base_dir.rstrip('/')}/{prefix}{n}"
     w = df.write.mode("errorifexists")
     if fmt == "csv":
@@ -193,6 +248,11 @@ def write_versioned(
     return path, n
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs_and_path(spark, path)
+    return bool(fs.exists(p) and fs.getFileStatus(p).isDirectory())
+
+
 def shape(df: DataFrame) -> tuple[int, int]:
     """(rows, columns): one count job; the column count is free."""
     return df.count(), len(df.columns)

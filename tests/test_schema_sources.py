@@ -93,3 +93,28 @@ def test_folder_scan_reads_each_file_by_its_own_header(spark, tmpdir_path):
         f.write("IP,LL,X\n11,41,z\n")
     got = sorted(tuple(r) for r in files.read_csv_folder(spark, tmpdir_path).select("LL", "IP", "X", "source_file").collect())
     assert got == [("40", "10", None, "a.csv"), ("41", "11", "z", "b.csv")]
+
+
+def test_many_files_are_read_by_layout_in_few_jobs(spark, tmpdir_path):
+    for i in range(60):
+        head, row = [("a,b", f"{i},x"), ("b,a", f"x,{i}"), ("a", f"{i}")][i % 3]
+        with open(os.path.join(tmpdir_path, f"f {i}.csv"), "w") as f:
+            f.write(f"{head}\n{row}\n" + ("NA\n" if i % 3 == 2 else ""))
+    open(os.path.join(tmpdir_path, "empty.csv"), "w").close()
+    layouts = files.header_layouts(spark, tmpdir_path)
+    assert [(h, len(n)) for h, n in layouts] == [("a", 20), ("a,b", 20), ("b,a", 20)]
+    rows = files.read_csv_folder(spark, tmpdir_path).collect()
+    assert sorted(int(r.a) for r in rows if r.a is not None) == list(range(60))
+    assert sum(r.b == "x" for r in rows) == 40 and sum(r.a is None for r in rows) == 20
+
+
+def test_concurrent_writers_get_a_version_each(spark, tmpdir_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    base = os.path.join(tmpdir_path, "out")
+    df = spark.range(3)
+    with ThreadPoolExecutor(8) as pool:
+        done = list(pool.map(lambda _: files.write_versioned(df, base, "v"), range(8)))
+    assert sorted(n for _, n in done) == list(range(1, 9))
+    assert all(os.path.exists(os.path.join(p, "_SUCCESS")) for p, _ in done)
+    assert files.next_version(spark, base, "v") == 9
