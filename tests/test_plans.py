@@ -23,6 +23,21 @@ def test_cleaning_job_csv_to_versioned(spark, tmpdir_path):
     assert r2["version"] == 2
 
 
+def test_cleaning_job_reads_a_folder_of_two_layouts(spark, tmpdir_path):
+    src = os.path.join(tmpdir_path, "in")
+    os.mkdir(src)
+    names = ["25.4mm", "9.5mm", "4.8mm", "2.0mm", "0.42mm", "0.076mm", "LL ", "IP ", "Umidade Ótima", "Densidade máxima ", "CBR "]
+    values = ["100", '"90,5"', "80", "70", "60", "50", '"35,5"', "12", "15", '"1.850"', '"12,5"']
+    for i in range(6):
+        pairs = list(zip(names, values))[:: -1 if i % 2 else 1]
+        with open(os.path.join(src, f"part {i}.csv"), "w", encoding="utf-8") as f:
+            f.write(",".join(n.strip() if i % 2 else n for n, _ in pairs) + "\n" + ",".join(v for _, v in pairs) + "\n")
+    done = cleaning_job.run(spark, src, os.path.join(tmpdir_path, "out"))
+    assert (done["rows_before"], done["rows_after"]) == (6, 6)
+    rows = spark.read.option("header", True).csv(done["path"]).collect()
+    assert {(float(r["p9_5"]), float(r["ll"]), float(r["d_max"]), float(r["cbr"])) for r in rows} == {(90.5, 35.5, 1850.0, 12.5)}
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     from pyspark.sql import functions as F
 
