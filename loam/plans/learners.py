@@ -76,6 +76,19 @@ def q_extratrees_split(spark, d):
                     F.round("gain", 4).alias("gain"), "is_best")
 
 
+STUMP_FEATURES = ["size", "digit", "letter"]
+
+
+def q_forest_stump(spark, d):
+    """One weighted histogram tree of depth 1 without bagging on whole-number
+    features: its predictions, which SQL can follow exactly."""
+    p = S.table(spark, d, "part").select(
+        "p_partkey", F.col("p_size").cast("double").alias("size"), (F.col("p_partkey") % 10).cast("double").alias("digit"),
+        F.ascii("p_name").cast("double").alias("letter"), F.col("p_retailprice").alias("label"), (1 + F.col("p_partkey") % 3).cast("double").alias("w"))
+    m = ForestRegressor(inputCols=STUMP_FEATURES, weightCol="w", numTrees=1, maxDepth=1, sampleRate=0.0, minSamplesLeaf=5, seed=42).fit(p)
+    return m.transform(p).select("p_partkey", F.round("prediction", 6).alias("prediction"))
+
+
 def q_importance_rank(spark, d):
     p = _prepared(spark, d)
     model = training.fit_ensemble(p)
@@ -302,6 +315,7 @@ QUERIES = {
     "gbt_predict": q_gbt_predict,
     "extratrees_predict": q_extratrees_predict,
     "extratrees_split": q_extratrees_split,
+    "forest_stump": q_forest_stump,
     "importance_rank": q_importance_rank,
     "search_results": q_search_results,
     "search_results_gb": q_search_results_gb,

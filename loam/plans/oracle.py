@@ -432,3 +432,16 @@ FROM (SELECT *, CAST(row_number() OVER (ORDER BY importance DESC, feature) AS IN
 """
 
 ORACLE["clean_folder"] = ORACLE["clean_job"]
+
+ORACLE["forest_stump"] = """
+WITH p AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS size, CAST(p_partkey % 10 AS DOUBLE) AS digit, CAST(ascii(p_name) AS DOUBLE) AS letter,
+                  p_retailprice AS y, CAST(1 + p_partkey % 3 AS DOUBLE) AS w FROM part),
+l AS (SELECT 0 AS f, size AS x, y, w FROM p UNION ALL SELECT 1, digit, y, w FROM p UNION ALL SELECT 2, letter, y, w FROM p),
+v AS (SELECT f, x, count(*) AS n, sum(w) AS w, sum(w * y) AS wy FROM l GROUP BY f, x),
+c AS (SELECT f, x, sum(n) OVER s AS n, sum(w) OVER s AS w, sum(wy) OVER s AS wy,
+             sum(n) OVER (PARTITION BY f) AS tn, sum(w) OVER (PARTITION BY f) AS tw, sum(wy) OVER (PARTITION BY f) AS twy
+      FROM v WINDOW s AS (PARTITION BY f ORDER BY x)),
+best AS (SELECT f, x, wy / w AS lo, (twy - wy) / (tw - w) AS hi FROM c WHERE n >= 5 AND tn - n >= 5
+         ORDER BY wy * wy / w + (twy - wy) * (twy - wy) / (tw - w) DESC, f, x LIMIT 1)
+SELECT p_partkey, round(CASE WHEN (CASE f WHEN 0 THEN size WHEN 1 THEN digit ELSE letter END) <= x THEN lo ELSE hi END, 6) AS prediction FROM p, best
+"""
