@@ -89,9 +89,22 @@ def q_forest_stump(spark, d):
     return m.transform(p).select("p_partkey", F.round("prediction", 6).alias("prediction"))
 
 
+def q_individual_refits(spark, d):
+    """A weighted ensemble of two mean regressors (all rows, per line number)
+    and its members refitted without weights: metrics on the original scale."""
+    from loam.models.baseline import MeanRegressor
+
+    p = _prepared(spark, d)
+    members = [("mean", MeanRegressor(labelCol="label")),
+               ("line", MeanRegressor(labelCol="label", groupCols=["l_linenumber"]))]
+    voted, alone = training.fit_ensemble(p, members), training.fit_individuals(p, members)
+    p.release()
+    return round_doubles(training.evaluate_all(voted, alone, p))
+
+
 def q_importance_rank(spark, d):
     p = _prepared(spark, d)
-    model = training.fit_ensemble(p)
+    model = training.fit_individuals(p)
     p.release()
     imp = training.importances(model, p.feature_names)
     return diagnostics.importance_rank(imp, ["rf", "et"], labels=FEATURE_LABELS)
@@ -318,6 +331,7 @@ QUERIES = {
     "extratrees_predict": q_extratrees_predict,
     "extratrees_split": q_extratrees_split,
     "forest_stump": q_forest_stump,
+    "individual_refits": q_individual_refits,
     "importance_rank": q_importance_rank,
     "search_results": q_search_results,
     "search_results_gb": q_search_results_gb,

@@ -342,6 +342,9 @@ FROM events
 
 ORACLE["stream_alerts"] = ORACLE["score_alerts"]
 
+#: The ten features and the target.
+_ALL_COLUMNS = "p25_4 p9_5 p4_8 p2_0 p0_42 p0_076 ll ip w_opt d_max cbr".split()
+
 _KEYCAT = ("'42:' || CAST(l_orderkey AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR) || ':' "
            "|| CAST(l_partkey AS VARCHAR) || ':' || CAST(l_suppkey AS VARCHAR)")
 ORACLE["score_pipeline_baseline"] = f"""
@@ -445,3 +448,26 @@ best AS (SELECT f, x, wy / w AS lo, (twy - wy) / (tw - w) AS hi FROM c WHERE n >
          ORDER BY wy * wy / w + (twy - wy) * (twy - wy) / (tw - w) DESC, f, x LIMIT 1)
 SELECT p_partkey, round(CASE WHEN (CASE f WHEN 0 THEN size WHEN 1 THEN digit ELSE letter END) <= x THEN lo ELSE hi END, 6) AS prediction FROM p, best
 """
+
+ORACLE["individual_refits"] = f"""
+WITH {_SOIL},
+c AS (SELECT * FROM soil WHERE {" AND ".join(f"{c} BETWEEN 1 AND 3000" for c in _ALL_COLUMNS)}),
+r AS (SELECT c.*, row_number() OVER (ORDER BY md5({_KEYCAT}), {_KEYS}) - 1 AS rk, count(*) OVER () AS n FROM c),
+s AS (SELECT *, ln(1 + cbr) AS lab, CASE WHEN cbr > 25 THEN 3.0 ELSE 1.0 END AS w,
+             CASE WHEN rk < ceil(CAST(0.2 AS DOUBLE) * n) THEN 'test'
+                  WHEN rk < ceil(CAST(0.2 AS DOUBLE) * n)
+                            + ceil(CAST(0.15 AS DOUBLE) * (n - ceil(CAST(0.2 AS DOUBLE) * n))) THEN 'val_in_sample'
+                  ELSE 'train' END AS split FROM r),
+a AS (SELECT sum(w * lab) / sum(w) AS mw, avg(lab) AS mu FROM s WHERE split <> 'test'),
+g AS (SELECT l_linenumber, sum(w * lab) / sum(w) AS gw, avg(lab) AS gu FROM s WHERE split <> 'test' GROUP BY 1),
+x AS (SELECT split, cbr AS y, mw, mu, coalesce(gw, mw) AS gw, coalesce(gu, mu) AS gu
+      FROM s CROSS JOIN a LEFT JOIN g USING (l_linenumber) WHERE split <> 'train'),
+p AS (SELECT 'ensemble' AS model, split, y, exp((mw + gw) / 2) - 1 AS pred FROM x
+      UNION ALL SELECT 'mean', split, y, exp(mu) - 1 FROM x WHERE split = 'test'
+      UNION ALL SELECT 'line', split, y, exp(gu) - 1 FROM x WHERE split = 'test')
+SELECT model, split, count(*) AS n, round(avg((y - pred) * (y - pred)), 6) AS mse,
+       round(sqrt(avg((y - pred) * (y - pred))), 6) AS rmse, round(avg(abs(y - pred)), 6) AS mae,
+       round(1 - sum((y - pred) * (y - pred)) / (count(*) * var_pop(y)), 6) AS r2,
+       avg((y - pred) * (y - pred)) <= 1.0 AS suspicious, avg((y - pred) * (y - pred)) < 0.78 AS goal_met
+FROM p GROUP BY model, split
+"""

@@ -124,10 +124,32 @@ def ensemble_estimator(p: Prepared) -> VotingRegressor:
                            weightCol="weight" if cfg.use_weights else "")
 
 
-def fit_ensemble(p: Prepared):
-    """Voting fit on train + validation with sample weights (M4, M5, M9)."""
+def fit_ensemble(p: Prepared, members: list | None = None):
+    """Voting fit on train + validation with sample weights (M4, M5, M9).
+    ``members`` replaces the configured (name, estimator) list."""
     tv = p.df.filter(F.col("split").isin("train", "val"))
-    return ensemble_estimator(p).fit(tv)
+    est = ensemble_estimator(p)
+    if members:
+        est = VotingRegressor(members=members, predictionCol="prediction",
+                              weightCol="weight" if p.config.use_weights else "")
+    return est.fit(tv)
+
+
+def fit_individuals(p: Prepared, members: list | None = None):
+    """Every member refitted by itself on train + validation, without sample
+    weights (M9): the models whose test metrics are compared with the
+    ensemble's (E5) and whose importances are ranked (O1)."""
+    tv = p.df.filter(F.col("split").isin("train", "val"))
+    return VotingRegressor(members=members or ensemble_estimator(p).members).fit(tv)
+
+
+def evaluate_all(ensemble, individuals, p: Prepared) -> DataFrame:
+    """Metrics of the ensemble (validation rows in sample, test rows) and of the
+    individual refits (test rows), on the original scale."""
+    voted = predictions(ensemble, p).where("model = 'ensemble'")
+    alone = predictions(individuals, p, ("test",)).where("model <> 'ensemble'")
+    return metrics.regression_metrics(voted.unionByName(alone), "y", "pred",
+                                      ["model", "split"], goal=p.config.goal_mse)
 
 
 def predictions(model, p: Prepared, splits_: tuple = ("val", "test")) -> DataFrame:

@@ -36,13 +36,16 @@ class TreeResult:
     search_results: dict
     metrics: DataFrame
     importances: DataFrame
+    individuals: object         # the members refitted without weights
+    comparison: DataFrame       # ensemble and refits on the test rows against the goal
 
 
 def tree_ensemble(df: DataFrame, cfg: training.TrainConfig, sizes: SearchSizes | None = None,
                   save_to: str | None = None, scenario: str = "all") -> TreeResult:
     """Search RF, GB and ET on the training rows (K-fold CV), refit the
     weighted voting ensemble on train+validation with the best parameters,
-    evaluate on the original scale, rank importances, optionally save."""
+    evaluate on the original scale, refit each model without weights, compare
+    these on the test rows and rank their importances, optionally save."""
     sizes = sizes or SearchSizes()
     p = training.prepare(df, cfg)
     train = p.df.filter(F.col("split") == "train")
@@ -60,7 +63,10 @@ def tree_ensemble(df: DataFrame, cfg: training.TrainConfig, sizes: SearchSizes |
     cfg.rf_params, cfg.gb_params, cfg.et_params = best["rf"], best["gb"], best["et"]
     model = training.fit_ensemble(p)
     met = training.evaluate(model, p)
-    imp = diagnostics.importance_rank(training.importances(model, p.feature_names), ["rf", "et"],
+    # without weights the refits would be the members over again
+    alone = training.fit_individuals(p) if cfg.use_weights else model
+    compared = metrics.model_comparison(training.evaluate_all(model, alone, p), goal=cfg.goal_mse)
+    imp = diagnostics.importance_rank(training.importances(alone, p.feature_names), ["rf", "et"],
                                       labels=FEATURE_LABELS)
     if save_to:
         artifacts.save_artifacts(save_to, p.scaler, model, {
@@ -68,7 +74,7 @@ def tree_ensemble(df: DataFrame, cfg: training.TrainConfig, sizes: SearchSizes |
             "feature_names": p.feature_names, "log_target": cfg.log_target,
             "activity": cfg.activity, "compaction_name": cfg.compaction_name,
         })
-    return TreeResult(model, p, best, results, met, imp)
+    return TreeResult(model, p, best, results, met, imp, alone, compared)
 
 
 @dataclass
