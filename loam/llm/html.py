@@ -1,22 +1,36 @@
 """Main-text extraction by wrapper induction.
 
-The pages of one host are aligned with the host's reference page by simple tree
-matching (the largest order-preserving top-down mapping of two DOM trees).
-Text nodes that keep the reference's text on most differing pages are the
-host's template; varying slots are content. Template nodes go. Of the varying
-slots, those in elements that are no article by their tag or class (menus,
-footers, adverts, forms, scripts, comments ...) go too, and where a page marks
-its article (``<article>``, else ``<main>``), so do those outside it.
-
-The counts per (host, node) are sums over all pages of the host, pre-aggregated
-by Spark; pages that mostly equal the reference (copies, near copies) say
-nothing about what is constant and are not counted.
+The pages of one host and layout are aligned with the layout's reference page
+by simple tree matching (the largest order-preserving top-down mapping of two
+DOM trees). Text nodes that keep the reference's text on most telling pages are
+template; varying slots are content. Template nodes go. Of the varying slots,
+those in elements that are no article by their tag or name (menus, footers,
+adverts, forms, scripts, comments ...) go too, and where a page marks its
+article (``<article>``, else ``<main>``), so do those outside it.
+
+Inside a marked article only an element whose whole name says so (``ad-slot``,
+not ``search-methods``) falls by its name, and constant headings, paragraphs
+and table cells of its flow stay ("Abstract"); constant text in other
+containers falls. Where no article is marked, lists and blocks made of links
+alone are menus.
+
+A layout is the set of block containers and their classes. Each that has
+``MIN_PAGES`` pages gets a wrapper of its own; pages of rarer ones use that of
+the host's most frequent layout.
+
+The counts per (host, layout, node) are sums over all pages, pre-aggregated by
+Spark. How much of the reference's text a page lacks tells a copy from a page:
+only pages that lack ``LEAST_TENTH`` tenths and half as much as the most
+different ``MIN_PAGES`` pages count, so boilerplate longer than the article is
+found, and copies and near copies say nothing about what is constant.
 
 Defined cases: null or empty html gives an empty text; a page without url
-belongs to the empty host; hosts with fewer than ``MIN_PAGES`` telling pages
-have no template; character references are decoded once; white space inside a
+belongs to the empty host; layouts with fewer than ``MIN_PAGES`` telling pages
+have no template; very long pages are aligned exactly in bounded memory (lists
+of children by halves, trees of any depth without recursion) and read in slices
+of a few megabytes; character references are decoded once; white space inside a
 block becomes one space, blocks are joined by one space; repeated rows give
-equal texts; extra columns are ignored.
+equal texts; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,20 +40,20 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.llm.common import cut_lineage, slices
 
 MIN_PAGES = 5
 CONSTANT_SHARE = 0.8
-#: A page that shares more of its text than this with the reference is a copy.
-COPY_SHARE = 0.5
+#: A page that lacks fewer tenths of the reference's text than this is a copy.
+LEAST_TENTH = 3
 #: Child lists longer than this (product) are halved (Hirschberg), so that the
 #: alignment stays exact and takes memory for one row.
 ALIGN_CELLS = 20_000
-#: Parts into which the pages of one host are dealt.
-SALTS = 16
+#: Elements whose set makes a layout.
+CONTAINERS = "div|section|header|footer|main|article|aside|nav|form"
 
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -54,12 +68,24 @@ CLOSES = {
 }
 #: Where an implied end tag must not reach through.
 BARRIER = {"article", "main", "section", "div", "table", "ul", "ol", "dl", "body", "aside", "nav", "footer", "header", "form", "blockquote", "td", "th", "li"}
-NEVER = {"nav", "footer", "aside", "form", "script", "style", "noscript", "template", "iframe", "svg", "math", "button", "select", "textarea", "title", "head", "dialog", "menu", "object", "canvas", "input", "label"}
-BOILER = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|sidebar|side-bar|menu|nav|navbar|navigation|"
+NEVER = {"nav", "footer", "aside", "form", "script", "style", "noscript", "template", "iframe", "svg", "math", "button", "select", "textarea", "title", "head", "dialog", "menu", "object", "canvas", "input"}
+WORDS = (
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|sidebar|side-bar|menu|nav|navbar|navigation|"
     r"breadcrumbs?|comments?|reply|replies|disqus|share|sharing|social|newsletter|subscri\w*|related|recommend\w*|footer|masthead|"
-    r"site-header|page-header|popup|modal|widget|toolbar|pagination|pager|login|signup|search|skip-link)(?:$|[^a-z])"
+    r"site-header|page-header|popup|modal|widget|toolbar|pagination|pager|login|signup|search|skip-link"
 )
+#: A name that holds such a word, and one that holds nothing else.
+BOILER = re.compile(rf"(?:^|[^a-z])(?:{WORDS})(?:$|[^a-z])")
+WHOLE = re.compile(
+    rf"(?:{WORDS})(?:[-_](?:{WORDS}|box|bar|list|links?|form|block|container|wrapper|section|area|buttons?|icons?|unit|slot|posts|articles|stories|top|bottom|left|right|\d+))*"
+)
+#: How sure it is that an element is no article: never by name, a word of its
+#: name, its whole name, its tag or role.
+KEEP, HINT, NAMED, SURE = range(4)
+#: Elements that a marked article's running text is made of.
+FLOW = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "pre", "figure", "figcaption", "header", "hgroup", "table", "caption", "thead", "tbody", "tfoot", "tr", "td", "th", "dl", "dt", "dd"}
+#: Elements that are menus if they hold links alone.
+LISTS = {"ul", "ol", "dl", "div", "section", "table"}
 BOILER_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+)|(<(?![a-zA-Z/!?]))", re.S)
 #: A tag whose quotes don't close ends at the next '>'.
@@ -73,22 +99,21 @@ class Node:
     def __init__(self, tag: str, mark: str = "", text: str = ""):
         self.tag, self.mark, self.text = tag, mark, text
         self.kids: list[Node] = []
-        self.size, self.number, self.drop, self.shape = 1, 0, False, 0
+        self.size, self.number, self.drop, self.shape = 1, 0, KEEP, 0
 
 
-def _is_boiler(tag: str, attrs: str) -> tuple[str, bool]:
+def _is_boiler(tag: str, attrs: str) -> tuple[str, int]:
+    mark, drop = "", SURE if tag in NEVER else KEEP
     if not attrs:
-        return "", tag in NEVER
-    mark, drop = "", tag in NEVER
+        return mark, drop
     for m in ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
             mark += value + " "
-            drop = drop or (bool(BOILER.search(value)) and tag not in ("html", "body", "main"))
-        elif name == "role":
-            drop = drop or value in BOILER_ROLE
-        elif name == "hidden" or value == "true":
-            drop = True
+            if BOILER.search(value) and tag not in ("html", "body", "main"):
+                drop = max(drop, NAMED if any(WHOLE.fullmatch(w) for w in value.split()) else HINT)
+        elif (name == "role" and value in BOILER_ROLE) or name == "hidden" or (name == "aria-hidden" and value == "true"):
+            drop = SURE
     return mark, drop
 
 
@@ -144,12 +169,12 @@ def parse(html: str | None) -> Node:
             close(p_at[-1])
         mark, drop = _is_boiler(name, m[3])
         node = Node(name, mark)
-        node.drop = drop or name in VOID
+        node.drop = SURE if name in VOID else drop
         stack[-1].kids.append(node)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}[^>]*>", re.I).search(html, at)
             at = end.end() if end else n
-            node.drop = True
+            node.drop = SURE
         elif name not in VOID and not m[3].rstrip().endswith("/"):
             p_at.append(len(stack) if name == "p" else 0 if name in BARRIER else p_at[-1])
             opened[name] = opened.get(name, 0) + 1
@@ -298,11 +323,11 @@ def match(a: Node, b: Node, out: dict[int, Node] | None = None) -> int:
     return size
 
 
-def _texts(node: Node, keep_dropped: bool = False):
+def _texts(node: Node):
     walk = [node]
     while walk:
         x = walk.pop()
-        if x.drop and not keep_dropped:
+        if x.drop:
             continue
         if x.tag == "#":
             if x.text.strip():
@@ -328,9 +353,10 @@ def regions(root: Node) -> list[Node]:
     return [root]
 
 
-def evidence(page: Node, ref: Node) -> list[tuple[int, int]]:
-    """(reference text node, 1 if the page has the same text there) of a page
-    that differs from the reference; nothing for copies."""
+def evidence(page: Node, ref: Node) -> tuple[int, list[tuple[int, int]]]:
+    """How many tenths of the reference's text the page lacks, and (reference
+    text node, 1 if the page has the same text there); nothing for a page that
+    lacks none."""
     pairs: dict[int, Node] = {}
     match(ref, page, pairs)
     out, alike, total = [], 0, 0
@@ -341,7 +367,24 @@ def evidence(page: Node, ref: Node) -> list[tuple[int, int]]:
             out.append((x.number, int(same)))
             alike += len(x.text) * same
         total += len(x.text)
-    return out if total and alike < COPY_SHARE * total else []
+    return (10 * (total - alike) // total, out) if alike < total else (0, [])
+
+
+def menus(root: Node) -> set[int]:
+    """Numbers of the lists and blocks that hold three links or more and no
+    letter or digit beside them."""
+    order, walk = [], [(root, False)]
+    while walk:
+        x, linked = walk.pop()
+        order.append((x, linked))
+        linked = linked or x.tag == "a"
+        walk += [(k, linked) for k in x.kids]
+    links: dict[int, int] = {}
+    plain: dict[int, bool] = {}
+    for x, linked in reversed(order):  # children first
+        links[x.number] = sum(links[k.number] for k in x.kids) + (x.tag == "a")
+        plain[x.number] = any(plain[k.number] for k in x.kids) or (x.tag == "#" and not linked and any(c.isalnum() for c in entities.unescape(x.text)))
+    return {x.number for x, _ in order if x.tag in LISTS and links[x.number] >= 3 and not plain[x.number]}
 
 
 def main_text(page: Node, ref: Node | None, template: set[int]) -> str:
@@ -352,24 +395,30 @@ def main_text(page: Node, ref: Node | None, template: set[int]) -> str:
         pairs: dict[int, Node] = {}
         match(ref, page, pairs)
         skip = {pairs[i].number for i in template if i in pairs}
-    header = tops[0].tag == "root"  # a page's header; an article's own holds its title
+    marked = tops[0].tag != "root"
+    gone = NAMED if marked else HINT
+    listed = set() if marked else menus(page)
     parts: list[str] = []
     for top in tops:
-        walk: list[Node | None] = [top]
+        walk: list[tuple[Node, bool] | None] = [(top, marked)]
         while walk:
-            x = walk.pop()
-            if x is None:
+            at = walk.pop()
+            if at is None:
                 parts.append("\n")
-            elif x.tag == "#":
-                if x.number not in skip:
+                continue
+            x, flow = at
+            if x.tag == "#":
+                if flow or x.number not in skip:
                     parts.append(entities.unescape(x.text))
             elif x.tag == "br":
                 parts.append("\n")
-            elif not x.drop and not (header and x.tag == "header"):
+            # a page's header goes, an article's own holds its title
+            elif x.drop < gone and x.number not in listed and (marked or x.tag != "header"):
                 if x.tag not in INLINE:
                     parts.append("\n")
                     walk.append(None)
-                walk.extend(reversed(x.kids))
+                flow = flow and (x is top or x.tag in FLOW or x.tag in INLINE)
+                walk += [(k, flow) for k in reversed(x.kids)]
     return " ".join("".join(parts).split())
 
 
@@ -377,62 +426,89 @@ def _host(url) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)://([^/?#]*)", 1)), F.lit(""))
 
 
+def _layout(html) -> F.Column:
+    tags = F.regexp_extract_all(html, F.lit(rf"(?i)<({CONTAINERS})\b"), F.lit(1))
+    names = F.regexp_extract_all(html, F.lit(rf"(?i)<(?:{CONTAINERS})\b[^>]*?\sclass\s*=\s*[\"']?([^\"'>]*)"), F.lit(1))
+    seen = F.array_sort(F.array_distinct(F.transform(F.concat(tags, names), F.lower)))
+    return F.xxhash64(F.array_join(F.coalesce(seen, F.array()), "\n"))
+
+
 def references(pages: DataFrame) -> DataFrame:
-    """host, ref: the html of the page with the smallest id (ties: smallest
-    html) that has any; one row per host. Only narrow rows are grouped."""
-    ids = pages.where(F.length("html") > 0).groupBy("host").agg(F.min("page_id").alias("page_id"))
-    return pages.where(F.length("html") > 0).join(ids, ["host", "page_id"]).groupBy("host").agg(F.min("html").alias("ref"))
+    """host, sig, layout, ref: for every (host, set of containers) the layout
+    whose wrapper its pages use and the html of that layout's page with the
+    smallest id (ties: smallest html). Only narrow rows are grouped."""
+    full = pages.where(F.length("html") > 0)
+    seen = cut_lineage(full.groupBy("host", "sig").agg(F.count("*").alias("n"), F.min("page_id").alias("page_id")))
+    most = seen.groupBy("host").agg(F.max_by("sig", F.struct("n", "sig")).alias("most"))
+    layouts = seen.join(most, "host").select("host", "sig", F.when(F.col("n") >= MIN_PAGES, F.col("sig")).otherwise(F.col("most")).alias("layout"))
+    html = full.join(seen.select("host", "sig", "page_id"), ["host", "sig", "page_id"]).groupBy("host", F.col("sig").alias("layout")).agg(F.min("html").alias("ref"))
+    return layouts.join(html, ["host", "layout"]).select("host", "sig", "layout", "ref")
+
+
+def templates(votes: DataFrame) -> DataFrame:
+    """host, layout, template (node numbers) from summed votes (host, layout,
+    tenth, node, n, same); node -1 counts the pages."""
+    depth = Window.partitionBy("host", "layout").orderBy(F.desc("tenth"))  # ten rows a layout
+    most = (
+        votes.where("node = -1").withColumn("upto", F.sum("n").over(depth))
+        .where(F.col("upto") >= MIN_PAGES).groupBy("host", "layout").agg(F.max("tenth").alias("most"))
+    )
+    return (
+        votes.where("node >= 0").join(most, ["host", "layout"]).where("2 * tenth >= most")
+        .groupBy("host", "layout", "node").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
+        .where((F.col("n") >= MIN_PAGES) & (F.col("same") >= CONSTANT_SHARE * F.col("n")))
+        .groupBy("host", "layout").agg(F.sort_array(F.collect_list("node")).alias("template"))  # at most the nodes of one page
+    )
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text of every row of pages (page_id, url, html)."""
-    base = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host"))
-    # one row per host, replicated SALTS times, so that a hot host's pages meet
-    # it in as many partitions; Spark broadcasts it below its own threshold
-    base = base.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    refs = cut_lineage(references(base))
-    joined = base.join(refs.withColumn("salt", salts), ["host", "salt"], "left")
-
-    def count(batches):
-        held, tree = None, None
-        for big in batches:
-            for b in slices(big, "html"):
-                sums: dict[tuple[str, int], list[int]] = {}
-                for host, page, ref in zip(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in ("host", "html", "ref")]):
-                    if not page or ref is None or page == ref:
-                        continue
-                    if ref != held:
-                        held, tree = ref, parse(ref)
-                    for node, same in evidence(parse(page), tree):
-                        s = sums.setdefault((host, node), [0, 0])
+VOTES = "host string, layout long, tenth int, node int, n long, same long"
+
+
+def _count(batches):
+    held, tree = None, None
+    for big in batches:
+        for b in slices(big, "html"):
+            sums: dict[tuple[str, int, int, int], list[int]] = {}
+            for host, layout, page, ref in zip(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in ("host", "layout", "html", "ref")]):
+                if not page or ref is None or page == ref:
+                    continue
+                if ref != held:
+                    held, tree = ref, parse(ref)
+                tenth, nodes = evidence(parse(page), tree)
+                if tenth >= LEAST_TENTH:
+                    for node, same in [(-1, 0), *nodes]:
+                        s = sums.setdefault((host, layout, tenth, node), [0, 0])
                         s[0] += 1
                         s[1] += same
-                rows = [(h, i, n, s) for (h, i), (n, s) in sums.items()]
-                cols = list(zip(*rows)) or [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], ["host", "node", "n", "same"])
+            cols = list(zip(*[(*key, *s) for key, s in sums.items()])) or [[]] * 6
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["host", "layout", "tenth", "node", "n", "same"])
+
+
+def _apply(batches):
+    held, tree = None, None
+    for big in batches:
+        for b in slices(big, "html"):
+            texts = []
+            for page, ref, nodes in zip(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in ("html", "ref", "template")]):
+                if nodes and ref != held:
+                    held, tree = ref, parse(ref)
+                texts.append(main_text(parse(page), tree if nodes else None, set(nodes or ())))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(b.schema.get_field_index("page_id")), b.column(b.schema.get_field_index("url")), pa.array(texts, pa.string())],
+                ["page_id", "url", "text"],
+            )
 
-    votes = joined.select("host", "html", "ref").mapInArrow(count, "host string, node int, n long, same long")
-    template = (
-        votes.groupBy("host", "node").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
-        .where((F.col("n") >= MIN_PAGES) & (F.col("same") >= CONSTANT_SHARE * F.col("n")))
-        .groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("template"))  # at most the nodes of one page
-    )
-    wrappers = cut_lineage(refs.join(template, "host", "left"))
-
-    def apply(batches):
-        held, tree = None, None
-        for big in batches:
-            for b in slices(big, "html"):
-                texts = []
-                for page, ref, nodes in zip(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in ("html", "ref", "template")]):
-                    if nodes and ref != held:
-                        held, tree = ref, parse(ref)
-                    texts.append(main_text(parse(page), tree if nodes else None, set(nodes or ())))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(b.schema.get_field_index("page_id")), b.column(b.schema.get_field_index("url")), pa.array(texts, pa.string())],
-                    ["page_id", "url", "text"],
-                )
 
+def extract(pages: DataFrame) -> DataFrame:
+    """page_id, url, text of every row of pages (page_id, url, html)."""
+    base = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host"), _layout(F.coalesce("html", F.lit(""))).alias("sig"))
+    # One row per (host, set of containers), written, so that its size is known:
+    # Spark broadcasts it below its own threshold, and splits a hot host's
+    # pages (skew join) beyond.
+    refs = cut_lineage(references(base))
+    votes = base.join(refs, ["host", "sig"]).select("host", "layout", "html", "ref").mapInArrow(_count, VOTES)
+    votes = cut_lineage(votes.groupBy("host", "layout", "tenth", "node").agg(F.sum("n").alias("n"), F.sum("same").alias("same")))
+    wrappers = cut_lineage(refs.join(templates(votes), ["host", "layout"]).select("host", "sig", "ref", "template"))
     schema = pages.select("page_id", "url").schema.add("text", "string", False)
-    return base.join(wrappers.withColumn("salt", salts), ["host", "salt"], "left").select("page_id", "url", "html", "ref", "template").mapInArrow(apply, schema)
+    return base.join(wrappers, ["host", "sig"], "left").select("page_id", "url", "html", "ref", "template").mapInArrow(_apply, schema)

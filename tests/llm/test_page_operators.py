@@ -105,6 +105,69 @@ def test_template_is_learned_per_host(spark):
     assert html.extract(spark.createDataFrame([], PAGE)).count() == 0
 
 
+def words(i, n):
+    return " ".join(f"w{i}x{k}" for k in range(n))
+
+
+def texts(spark, rows):
+    return {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, PAGE).repartition(4)).collect()}
+
+
+def test_names_inside_an_article_fall_only_whole():
+    inside = '<div class="search-methods"><p>a</p></div><section id="related-work"><p>b</p></section><p class="alert-level">c</p><label>d</label>'
+    gone = '<div class="ad">x</div><div class="cookie-banner">x</div><div id="comments-list">x</div><div class="wide share-buttons">x</div><aside>x</aside><div hidden>x</div>'
+    t = f"<body><article>{inside}{gone}</article></body>"
+    assert html.main_text(html.parse(t), None, set()) == "a b c d"
+    assert html.main_text(html.parse('<body><div class="search-methods">a</div><p>b</p></body>'), None, set()) == "b"
+
+
+def test_menus_without_template():
+    menu = '<ul class="x1"><li><a href="1">One</a> |</li><li><a>Two</a></li><li><a>Three</a></li></ul>'
+    listed = '<ul><li><a>One</a> explained</li><li><a>Two</a></li><li><a>Three</a></li></ul>'
+    assert html.main_text(html.parse(f"<div>{menu}</div><p>text</p>"), None, set()) == "text"
+    assert html.main_text(html.parse(f"{listed}<p>text</p>"), None, set()) == "One explained Two Three text"
+    assert html.main_text(html.parse(f"<article>{menu}text</article>"), None, set()) == "One | Two Three text"
+
+
+def test_constant_flow_of_an_article_stays_and_constant_boxes_go(spark):
+    rows = [(i, "http://h/%d" % i, f"<body><article><h2>Abstract</h2><p>Short</p><p>{words(i, 20)}</p><div>Send this to a friend</div></article></body>") for i in range(8)]
+    assert texts(spark, rows) == {i: f"Abstract Short {words(i, 20)}" for i in range(8)}
+
+
+def test_every_layout_has_its_wrapper(spark):
+    one = [(i, "http://h/%d" % i, f"<body><div>Menu A B C</div><div class='b'><p>{words(i, 20)}</p></div></body>") for i in range(10)]
+    two = [(100 + i, "http://h/%d" % i, f"<body><section>Top bar links</section><div class='c'><p>{words(100 + i, 20)}</p></div><div>Bottom line</div></body>") for i in range(8)]
+    rare = [(200, "http://h/r", f"<body><div>Menu A B C</div><div class='b'><p>{words(200, 20)}</p></div><form class='q'>f</form></body>")]
+    assert texts(spark, one + two + rare) == {i: words(i, 20) for i, _, _ in one + two + rare}
+
+
+def test_boilerplate_longer_than_the_article_and_near_copies(spark):
+    notice = " ".join(f"notice{k}" for k in range(40))
+    rows = [(i, "http://h/%d" % i, f"<body><div>{notice}</div><div><p>{words(i, 40)}</p></div></body>") for i in range(20)]
+    assert texts(spark, rows) == {i: words(i, 40) for i in range(20)}
+    # near copies alone say nothing about what is constant
+    near = [(i, "http://n/%d" % i, f"<body><div><p>{words(0, 60)}</p><p>{words(i, 5)}</p></div></body>") for i in range(20)]
+    assert texts(spark, near) == {i: f"{words(0, 60)} {words(i, 5)}" for i in range(20)}
+    # nor do they outvote the pages that differ, few as these are
+    mixed = near + [(100 + i, "http://n/%d" % i, f"<body><div><p>{words(100 + i, 60)}</p><p>{words(i, 5)}</p></div></body>") for i in range(6)]
+    got = texts(spark, mixed)
+    assert all(got[i] == f"{words(0, 60)} {words(i, 5)}" for i in range(20))
+
+
+def test_a_small_host_equals_brute_force(spark):
+    """Wrappers by exhaustive comparison of flat pages (a list of blocks)."""
+    rnd = random.Random(3)
+    rows, blocks = [], {}
+    for i in range(24):
+        blocks[i] = [("div", "Site name"), ("p", words(i, rnd.randint(8, 30))), ("div", "Call us" if rnd.random() < 0.9 else words(900 + i, 2)), ("p", words(500 + i, 9)), ("div", "Imprint")]
+        rows.append((i, "http://h/%d" % i, "<body>" + "".join(f"<{t}>{x}</{t}>" for t, x in blocks[i]) + "</body>"))
+    same = [[blocks[i][k] == blocks[0][k] for i in range(1, 24)] for k in range(5)]
+    constant = [sum(s) >= 0.8 * len(s) for s in same]
+    want = {i: " ".join(x for k, (_, x) in enumerate(b) if not constant[k]) for i, b in blocks.items()}
+    assert texts(spark, rows) == want
+    assert texts(spark, rows + [(99, "http://long/", "<p>" + "long " * 400_000 + "</p>")])[99] == ("long " * 400_000).strip()
+
+
 def test_url_rules_and_model(spark):
     rnd = random.Random(3)
     good = ["http://site%d.example.com/fr/news/article-%d" % (rnd.randint(0, 9), i) for i in range(300)]
