@@ -14,8 +14,9 @@ of a member, also over what a damaged one gives before the damage.
 
 Defined cases: null html is an empty payload; null url becomes an empty target;
 repeated page ids keep one row each; a page without an id is a response of its
-own that nothing refers to, and reads back with a null id; an empty table writes no file and reads
-back as no rows; extra columns are ignored.
+own that nothing refers to, and reads back with a null id; very long payloads
+are written and digested whole, one record at a time; an empty table writes no
+file and reads back as no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ from loam.llm.common import cut_lineage, ensure_checkpoint_dir
 
 #: A file is closed once it holds this many compressed bytes.
 ROLL_BYTES = 16 << 20
+#: Tasks that read archives, at most; each takes its files one after another.
+READ_TASKS = 50_000
 CRLF = b"\r\n"
 
 
@@ -285,7 +288,10 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), fields)], names)
 
     schema = READ_SCHEMA if with_payload else READ_SCHEMA.replace("payload binary", "payload_bytes long")
-    return manifest.select("path").repartition(F.col("path")).mapInArrow(run, schema)
+    # a stated number of partitions: the names are so few bytes that adaptive
+    # execution would put all files into one task
+    files = manifest.count()
+    return manifest.select("path").repartition(max(1, min(files, READ_TASKS)), "path").mapInArrow(run, schema)
 
 
 def archive_folder(spark: SparkSession) -> str:
@@ -298,7 +304,8 @@ def round_trip(spark: SparkSession, pages: DataFrame, folder: str | None = None)
     payload_digest, record_type, refers_to. A revisit takes its payload's length
     from the response that it refers to."""
     manifest = write_archives(plan_records(pages), folder or archive_folder(spark))
-    back = read_archives(manifest, with_payload=False).where("kind = 'record'")
+    # narrow rows, written: every archive is read once, not again for the join's other side
+    back = cut_lineage(read_archives(manifest, with_payload=False).where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
     target = back.where("record_type = 'response'").groupBy("page_id").agg(F.max("payload_bytes").alias("_len")).withColumnRenamed("page_id", "refers_to")
     return back.join(target, "refers_to", "left").select(
         "page_id",

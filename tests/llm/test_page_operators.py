@@ -292,8 +292,12 @@ def test_archives_roll_and_read_back_payloads(spark):
     folder = "file://" + tempfile.mkdtemp(prefix="loam-warc-")
     made = warc.write_archives(warc.plan_records(spark.createDataFrame(rows, PAGE)), folder, roll_bytes=20_000)
     assert made.count() > 3 and made.agg(F.sum("n_records")).first()[0] == 60
-    back = {r["page_id"]: bytes(r["payload"]).decode() for r in warc.read_archives(made).collect()}
+    read = warc.read_archives(made)
+    assert read.rdd.getNumPartitions() == made.count()  # names are few bytes, files are not
+    back = {r["page_id"]: bytes(r["payload"]).decode() for r in read.collect()}
     assert back == {i: h for i, _, h in rows}
+    none = warc.read_archives(made.limit(0))
+    assert none.count() == 0
 
 
 @pytest.fixture(scope="module")
