@@ -25,9 +25,18 @@ to the shuffle: members of a bucket that meet inside a task are paired there.
 Large buckets are split into parts that are joined part with part, hot pivots
 are salted.
 
+``report`` gives one row per document, ``links`` every pair of linked classes and
+``degrees`` the number of linked documents of each, for a class times its size,
+so copies are never paired up.
+
 Defined cases: null texts and texts without words have an empty set and link
-with nothing (they are their own component); repeated rows fall into one class;
-rows with a null id have no component; extra columns pass through ``keep_one``.
+with nothing (they are their own component); repeated rows fall into one class
+and keep a row each; rows with a null id keep their row and set size, but have
+no component and link with nothing; rows with one id and different texts are one
+node, which stands in each of their classes and is compared with others by the
+smallest (as bytes) of its sets; very long texts are taken whole, as
+one sorted array of hashes; an empty table gives no rows; extra columns pass
+through ``keep_one``.
 """
 
 from __future__ import annotations
@@ -120,7 +129,7 @@ def block_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def _packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("raw"))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("raw"))
 
 
 def _set_hash(s: np.ndarray) -> tuple[int, int]:
@@ -390,47 +399,86 @@ def residual_pairs(buckets: DataFrame, known: DataFrame, comp: DataFrame, simila
 
 
 def classes(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n, rep: every document's set size and the smallest id of its class
-    (empty sets: the id itself). One row per id and set."""
-    rows = cut_lineage(set_rows(_packed(docs, id_col, text_col), size).distinct())
+    """id, n, rep: set size and smallest id of the class of every row (empty
+    sets: the id itself; no id: null)."""
+    rows = cut_lineage(set_rows(_packed(docs, id_col, text_col), size))
     reps = rows.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"))
-    return rows.join(reps, ["n", "k1", "k2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
+    return rows.join(reps, ["n", "k1", "k2"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
+
+
+class _Join:
+    """What the joins share: classes, buckets of class representatives, the
+    pairs (bucket member, pivot) and the points of all that are in a bucket."""
+
+    def __init__(self, docs: DataFrame, size: int, similarity: int, id_col: str, text_col: str):
+        self.similarity = similarity
+        packed = _packed(docs, id_col, text_col).where(F.col("id").isNotNull())
+        self.known_as = cut_lineage(classes(docs, size, id_col, text_col))
+        largest = self.known_as.agg(F.max("n")).first()[0] or 1
+        rep = self.known_as.where("n > 0 and id is not null").select("id", "rep").distinct()
+        buckets = shared_buckets(bucket_rows(packed, size, Bands(similarity, largest)))
+        # ids become class representatives; equal rows of a class fall together
+        pivots = rep.withColumnRenamed("id", "pivot").withColumnRenamed("rep", "pivot_rep")
+        buckets = cut_lineage(
+            buckets.join(rep, "id").join(pivots, "pivot").select("key", F.col("rep").alias("id"), F.col("pivot_rep").alias("pivot")).distinct()
+        )
+        self.star = cut_lineage(
+            buckets.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+        )
+        wanted = self.star.select(F.col("a").alias("id")).union(self.star.select("b")).distinct()
+        self.kind = "uint16" if largest < 2**16 else "uint32"  # a count is at most the size
+        self.known = cut_lineage(
+            points(packed, cut_lineage(wanted), size, self.kind).groupBy("id").agg(F.min(F.struct("grams", "n", "vec")).alias("p")).select("id", "p.n", "p.vec", "p.grams")
+        )
+        self.members = buckets.select("key", "id").union(buckets.select("key", "pivot")).distinct()
+
+    def star_links(self) -> DataFrame:
+        bound = cut_lineage(bounded(self.star, self.known, self.similarity, self.kind))
+        return cut_lineage(verified(bound, self.known, self.similarity))
+
+    def other_links(self, comp: DataFrame) -> DataFrame:
+        """Linked pairs that no pivot is part of and that lie in different
+        components."""
+        rest = residual_pairs(self.members, self.known, comp, self.similarity, self.kind).join(self.star, ["a", "b"], "left_anti")
+        return cut_lineage(verified(cut_lineage(rest), self.known, self.similarity))
 
 
 def cluster(docs: DataFrame, size: int = SIZE, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n, component of every document (one row per id and set)."""
-    packed = _packed(docs, id_col, text_col)
-    known_as = cut_lineage(classes(docs, size, id_col, text_col))
-    largest = known_as.agg(F.max("n")).first()[0] or 1
-    bands = Bands(similarity, largest)
-    rep = known_as.where("n > 0").select("id", "rep")
-    buckets = shared_buckets(bucket_rows(packed, size, bands))
-    # ids become class representatives; equal rows of a class fall together
-    pivots = rep.withColumnRenamed("id", "pivot").withColumnRenamed("rep", "pivot_rep")
-    buckets = cut_lineage(
-        buckets.join(rep, "id").join(pivots, "pivot").select("key", F.col("rep").alias("id"), F.col("pivot_rep").alias("pivot")).distinct()
-    )
-    star = cut_lineage(
-        buckets.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-    )
-    wanted = star.select(F.col("a").alias("id")).union(star.select("b")).distinct()
-    kind = "uint16" if largest < 2**16 else "uint32"  # a count is at most the size
-    known = cut_lineage(points(packed, cut_lineage(wanted), size, kind).dropDuplicates(["id"]))
-
-    def test(pairs: DataFrame) -> DataFrame:
-        return cut_lineage(verified(cut_lineage(bounded(pairs, known, similarity, kind)), known, similarity))
-
+    """id, n, component of every row."""
+    join = _Join(docs, size, similarity, id_col, text_col)
     # first every document against the pivots of its buckets, then whatever
     # buckets are still in several components
-    links = test(star)
+    links = join.star_links()
     comp = cut_lineage(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    members = buckets.select("key", "id").union(buckets.select("key", "pivot")).distinct()
-    rest = residual_pairs(members, known, comp, similarity, kind).join(star, ["a", "b"], "left_anti")
-    rest = cut_lineage(verified(cut_lineage(rest), known, similarity))
+    rest = join.other_links(comp)
     if not rest.isEmpty():
         links = links.unionByName(rest)
         comp = cut_lineage(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    return known_as.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
+    return join.known_as.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
+
+
+def links(docs: DataFrame, size: int = SIZE, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(pairs, membership): a, b of every two linked classes, each named by its
+    smallest id, a < b; and id, n, rep of every row. Documents of one class are
+    linked with each other and with all documents of the classes it is paired
+    with. Unlike ``cluster`` this tests pairs inside a component too: its work
+    grows with the pairs of different texts that share a bucket."""
+    join = _Join(docs, size, similarity, id_col, text_col)
+    nothing = join.star.sparkSession.createDataFrame([], "node long, component long")
+    pairs = join.star_links().select("a", "b").unionByName(join.other_links(nothing).select("a", "b"))
+    return pairs, join.known_as
+
+
+def degrees(docs: DataFrame, size: int = SIZE, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col``, n_shingles, class_id, n_links of every row: the class it is in
+    and the number of other documents that it links with."""
+    pairs, member = links(docs, size, similarity, id_col, text_col)
+    ids = member.where("n > 0 and id is not null").select("id", "rep").distinct()
+    sizes = ids.groupBy("rep").agg(F.count("*").alias("size"))
+    both = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+    far = both.join(sizes.withColumnsRenamed({"rep": "other", "size": "other_size"}), "other").groupBy("rep").agg(F.sum("other_size").alias("far"))
+    counts = sizes.join(far, "rep", "left").select("rep", (F.col("size") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
+    return member.join(counts, "rep", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def report(docs: DataFrame, size: int = SIZE, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

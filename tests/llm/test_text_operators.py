@@ -182,6 +182,32 @@ def test_keep_one_keeps_the_smallest_of_each_group(docs):
     assert sorted(r["doc_id"] for r in left.collect()) == sorted(i for i, (_, c) in groups.items() if c == i)
 
 
+def test_ngram_join_keeps_every_row(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (None, None), (3, None), (3, None), (4, "q r s t"), (4, "u v w x y"), (5, "u v w x y")]
+    got = ngram.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(1, 3, 1), (1, 3, 1), (2, 3, 1), (None, 3, None), (None, 0, None), (3, 0, 3), (3, 0, 3), (4, 1, 4), (4, 2, 4), (5, 2, 4)]
+    assert Counter(tuple(r) for r in got) == Counter(want)
+
+
+@pytest.mark.parametrize("size,similarity", [(4, 85), (2, 60)])
+def test_ngram_links_equal_brute_force(spark, docs, size, similarity):
+    sets = {}
+    for i, t, *_ in corpus():
+        w = (t or "").encode().translate(AZ).split()
+        n = min(size, len(w))
+        sets[i] = frozenset(tuple(w[k:k + n]) for k in range(len(w) - n + 1)) if w else frozenset()
+    linked = lambda a, b: bool(a and b) and 100 * len(a & b) >= similarity * len(a | b)
+    rep = {i: min(j for j in sets if sets[j] == s) if s else i for i, s in sets.items()}
+    pairs, member = ngram.links(docs, size, similarity)
+    tops = sorted(set(rep.values()))
+    assert sorted(map(tuple, pairs.collect())) == [(a, b) for a in tops for b in tops if a < b and linked(sets[a], sets[b])]
+    assert {r["id"]: r["rep"] for r in member.collect()} == rep
+    got = {r["doc_id"]: (r["n_shingles"], r["class_id"], r["n_links"]) for r in ngram.degrees(docs, size, similarity).collect()}
+    assert got == {i: (len(s), rep[i], sum(linked(s, sets[j]) for j in sets if j != i)) for i, s in sets.items()}
+    none = ngram.degrees(spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string"))
+    assert sorted(tuple(r) for r in none.collect()) == [(None, 0, None, 0), (None, 1, None, 0)]
+
+
 def test_decontamination_equals_brute_force(spark, docs):
     texts = {i: t for i, t, *_ in corpus()}
     w = texts[45].split()
