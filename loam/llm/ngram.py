@@ -61,6 +61,8 @@ PART = 1500
 FIRST_KEYS = 8
 #: Members of a pivot that one task verifies.
 PIVOT_ROWS = 2000
+#: Rows of an exact-copy class, on average at most, in one part of it.
+CLASS_ROWS = 1_000_000
 LEAF = 24
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -402,8 +404,16 @@ def classes(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col:
     """id, n, rep: set size and smallest id of the class of every row (empty
     sets: the id itself; no id: null)."""
     rows = cut_lineage(set_rows(_packed(docs, id_col, text_col), size))
-    reps = rows.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"))
-    return rows.join(reps, ["n", "k1", "k2"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
+    named = F.col("id").isNotNull() & (F.col("n") > 0)
+    # a class may hold a third of all rows: its rows meet its representative in
+    # parts, each of which has one row of the class table
+    parts = max(64, rows.count() // CLASS_ROWS)
+    keys = ["n", "k1", "k2"]
+    dealt = rows.where(named).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    least = dealt.groupBy(*keys, "part").agg(F.min("id").alias("rep"))
+    reps = least.select(*keys, "part").join(least.groupBy(*keys).agg(F.min("rep").alias("rep")), keys)
+    known = dealt.join(reps, [*keys, "part"]).select("id", "n", "rep")
+    return known.union(rows.where(~named).select("id", "n", F.when(F.col("n") == 0, F.col("id")).alias("rep")))
 
 
 class _Join:
