@@ -246,3 +246,24 @@ def test_only_known_classes_are_loaded():
 
     with pytest.raises(ValueError):
         known_class("os.system")
+
+
+def test_mlp_step_on_whole_vectors_follows_the_plain_formulas():
+    cfg = mlp.MLPConfig(hidden=[5])
+    start = mlp.init_params(3, cfg, 1)
+    rng = np.random.RandomState(2)
+    X, y, w = rng.rand(7, 3), rng.rand(7), rng.rand(7)
+    p = mlp.in_training(start)
+    loss, mse = mlp._train_batch(p, X, y, w, 0.01, 0.0, rng)
+    z = X @ start["W"][0]
+    zh = (z - z.mean(0)) / np.sqrt(z.var(0) + mlp.BN_EPS)
+    e = np.where(zh > 0, zh, 0.1 * zh) @ start["W"][1][:, 0] - y
+    assert np.isclose(mse, np.mean(e * e)) and np.isclose(loss, np.sum(w * np.abs(e)) / 7 + mlp.l2_penalty(start))
+    # Adam's first step is the learning rate against the sign of the gradient
+    grad = np.where(zh > 0, zh, 0.1 * zh).T @ (w * np.sign(e) / 7)
+    assert np.allclose(p["W"][1][:, 0], start["W"][1][:, 0] - 0.01 * np.sign(grad), atol=1e-6)
+    # weights, moments and gradients are views of one vector each; the given parameters stay
+    theta, m, *_ = p["vectors"]
+    assert p["t"] == 1 and start["t"] == 0 and np.shares_memory(p["W"][0], theta) and np.shares_memory(p["m"]["b"][1], m)
+    assert np.array_equal(theta, np.concatenate([a.ravel() for k in ("W", "b", "gamma", "beta") for a in p[k]]))
+    assert np.array_equal(mlp.flat(start), mlp.flat(mlp.init_params(3, cfg, 1)))
