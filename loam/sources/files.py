@@ -8,6 +8,7 @@ the driver, never data.
 from __future__ import annotations
 
 import random
+import threading
 import time
 import uuid
 from collections.abc import Callable
@@ -177,6 +178,9 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
 
 #: Folder beside the versions in which numbers are claimed; hidden from readers.
 _CLAIMS = "_claims"
+#: Writers of one process claim in turn: none of them sees another's claim that
+#: is then withdrawn, which would leave a number out.
+_TURN = threading.Lock()
 
 
 def next_version(spark: SparkSession, base_dir: str, prefix: str = "version=") -> int:
@@ -214,18 +218,19 @@ def claim_version(spark: SparkSession, base_dir: str, prefix: str = "version=")
     see each other withdraw and try again after a random wait. This needs
     listings that show what was created before, as HDFS and object stores do.
     """
-    while True:
-        n = next_version(spark, base_dir, prefix)
-        fs, folder = _fs_and_path(spark, f"{base_dir.rstrip('/')}/{_CLAIMS}")
-        fs.mkdirs(folder)
-        own = f"{prefix}{n}.{uuid.uuid4().hex}"
-        claim = _fs_and_path(spark, f"{base_dir.rstrip('/')}/{_CLAIMS}/{own}")[1]
-        fs.create(claim, False).close()
-        rivals = [st.getPath().getName() for st in fs.listStatus(folder)]
-        if not any(r.startswith(f"{prefix}{n}.") and r != own for r in rivals):
-            return n
-        fs.delete(claim, False)
-        time.sleep(random.random() * 0.2)
+    with _TURN:
+        while True:
+            n = next_version(spark, base_dir, prefix)
+            fs, folder = _fs_and_path(spark, f"{base_dir.rstrip('/')}/{_CLAIMS}")
+            fs.mkdirs(folder)
+            own = f"{prefix}{n}.{uuid.uuid4().hex}"
+            claim = _fs_and_path(spark, f"{base_dir.rstrip('/')}/{_CLAIMS}/{own}")[1]
+            fs.create(claim, False).close()
+            rivals = [st.getPath().getName() for st in fs.listStatus(folder)]
+            if not any(r.startswith(f"{prefix}{n}.") and r != own for r in rivals):
+                return n
+            fs.delete(claim, False)
+            time.sleep(random.random() * 0.2)
 
 
 def write_versioned(
