@@ -132,7 +132,7 @@ def q_clean_folder(spark, d):
     raw = S.soil_dirty_text(spark, d)
     # the files are in the local format throughout: a decimal comma
     raw = raw.select(*[
-        F.translate(F.col(f"`{f.name}`").cast("string"), ".", ",").alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.DecimalType)) else F.col(f"`{f.name}`")
+        F.replace(F.col(f"`{f.name}`").cast("string"), F.lit("."), F.lit(",")).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.DecimalType)) else F.col(f"`{f.name}`")
         for f in raw.schema.fields])
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/folders/{uuid.uuid4().hex}"
     other = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in raw.columns]), F.lit(2)) == 1

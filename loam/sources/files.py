@@ -122,8 +122,9 @@ def header_layouts(spark: SparkSession, folder: str) -> list[tuple[str, list[str
     files of a folder; files without any line are left out.
 
     One distributed job: the first line of each file is the smallest row number
-    among the lines of its first block, and files meet by that line, so the
-    driver receives one row per layout.
+    among the lines of its first block (numbers alone are aggregated: with the
+    lines beside them Spark would sort all lines by file), and files meet by that
+    line, so the driver receives one row per layout.
     """
     names = [f["name"] for f in list_files(spark, folder) if not f["is_dir"]]
     if not names:
@@ -131,10 +132,11 @@ def header_layouts(spark: SparkSession, folder: str) -> list[tuple[str, list[str
     base = folder.rstrip("/")
     lines = spark.read.text([f"{base}/{n}" for n in names]).select(
         "value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    lines = lines.withColumn("row", F.monotonically_increasing_id()).where("start = 0")
+    first = lines.groupBy("file").agg(F.min("row").alias("row"))  # one row per file
     heads = (
-        lines.withColumn("row", F.monotonically_increasing_id()).where("start = 0")
-        .groupBy("file").agg(F.min(F.struct("row", "value")).alias("first"))
-        .groupBy(F.col("first.value").alias("head")).agg(F.sort_array(F.collect_list("file")).alias("files"))
+        lines.join(F.broadcast(first), ["file", "row"], "left_semi")
+        .groupBy(F.col("value").alias("head")).agg(F.sort_array(F.collect_list("file")).alias("files"))
     )
     # the hidden column may give a name in URL form
     plain = {**{quote(n): n for n in names}, **{n: n for n in names}}

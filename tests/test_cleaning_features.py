@@ -1,5 +1,6 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from loam.functions import cleaning, features
@@ -118,3 +119,29 @@ def test_codes_with_a_type_suffix_stay_text(spark):
     assert [r["num"] for r in out.collect()] == [1.5, 2000.0, -4.0]
     got = df.select(cleaning.parse_decimal_comma(F.col("code")).alias("c"), cleaning.parse_decimal_comma(F.col("num")).alias("n")).collect()
     assert [r["c"] for r in got] == [None] * 3 and [r["n"] for r in got] == [1.5, 2000.0, -4.0]
+
+
+def test_parse_of_many_columns_is_compiled(spark):
+    # methods of more than 8,000 bytes stay interpreted by the JVM
+    n = 24
+    df = spark.range(4).select(*[F.concat(F.col("id").cast("string"), F.lit(f".00{i % 10},5")).alias(f"c {i}.") for i in range(n)], F.lit("x,1").alias("_0"))
+    out, decisions = cleaning.parse_locale_numbers(df, return_decisions=True)
+    plans = out._jdf.queryExecution().debug().codegenToSeq()
+    assert all(plans.apply(i)._3().maxMethodCodeSize() < 8000 for i in range(plans.length()))
+    assert out.columns == df.columns and decisions == {**{f"c {i}.": True for i in range(n)}, "_0": False}
+    got = sorted(tuple(r) for r in out.collect())
+    assert got[3] == (*[3000.5 + i % 10 for i in range(n)], "x,1")
+
+
+@pytest.mark.parametrize("mode", ["strict_br", "auto"])
+def test_cells_that_are_no_plain_numbers(spark, mode):
+    cells = ["1.234,5", " 7 ", "", " ", "-2,5e1", "12D", "Infinity", "NaN", "1 2", "1\n", "0x1", "+.5", ".", "٣"]
+    df = spark.createDataFrame([(c,) for c in cells], "t string")
+    parsed = {c: cleaning.parse_locale_numbers(spark.createDataFrame([(c,)], "t string"), mode=mode).first().t for c in cells}
+    numbers = {"1.234,5": 1234.5, " 7 ": 7.0, "": None, " ": None, "-2,5e1": -25.0, "1 2": 12.0, "+.5": 5.0 if mode == "strict_br" else 0.5}
+    if mode == "auto":
+        numbers["1\n"] = 1.0
+    if mode == "strict_br":
+        numbers["."] = None
+    assert parsed == {**{c: c for c in cells}, **numbers}
+    assert cleaning.parse_locale_numbers(df, mode=mode).count() == len(cells)
