@@ -6,14 +6,16 @@ fixed length that repeats in the corpus.
    the documents share sends one row per task and not one per document.
 2. Rows meet by gram hash. Anchors with equal contexts are copies of each other
    as a whole. Only contexts that share a gram hash but differ are left open.
-3. A gram group too large for a shard (a phrase that many documents hold with
+3. The open contexts (one per class) are cut from the texts, once.
+4. A gram group too large for a shard (a phrase that many documents hold with
    different neighbours) is split: each of its contexts goes on in two parts,
    the windows that reach far to the right of the gram and those that reach far
    to the left, under the hash of the gram with that neighbourhood. The parts
-   are narrow rows again, judged as in 2, until every group fits.
-4. The open contexts (one per class) are shipped by key to shards, where the
-   operator's index decides window by window.
-5. The repeated windows of each document are gathered and applied to its text.
+   are cut from the contexts, not from the texts, and judged as in 2, until
+   every group fits.
+5. The contexts are dealt by key to shards, where the operator's index decides
+   window by window.
+6. The repeated windows of each document are gathered and applied to its text.
 
 Rows are known by (id, text hash), so repeated ids or rows don't mix.
 """
@@ -116,26 +118,30 @@ def sample(rows: DataFrame, units: Callable, span: int, gram: int, first_stays:
     return rows.select("_id", "_th", "_raw").mapInArrow(run, "h long, c long, _id long, _th long, loc long, n int")
 
 
-def classify(found: DataFrame, first_stays: bool) -> DataFrame:
-    """Per document (_id, _th): marks (locs whose windows all repeat) and open
-    (h, loc, lr, alone: windows that an index has to judge)."""
+def compare(found: DataFrame, first_stays: bool) -> DataFrame:
+    """The rows that repeat as a whole (dup) or that an index has to judge
+    (open; alone: no copy as a whole)."""
     group, cls = Window.partitionBy("h"), Window.partitionBy("h", "c").orderBy("_id", "_th", "loc")
     whole = Window.partitionBy("h", "c")
     x = found.withColumn("several", F.min("c").over(group) != F.max("c").over(group))
     x = x.withColumn("nth", F.row_number().over(cls))
     if first_stays:
         x = x.withColumn("dup", (F.col("n") == 0) | (F.rank().over(Window.partitionBy("h", "c").orderBy("_id", "loc")) > 1))
-        x = x.withColumn("alone", ~F.col("dup"))
     else:
         x = x.withColumn("dup", (F.col("n") == 0) | (F.sum("n").over(whole) > 1))
-        x = x.withColumn("alone", ~F.col("dup"))
-    is_open = F.col("several") & (F.col("nth") == 1) & (F.col("n") > 0)
+    x = x.withColumn("alone", ~F.col("dup")).withColumn("open", F.col("several") & (F.col("nth") == 1) & (F.col("n") > 0))
+    return x.where(F.col("dup") | F.col("open")).drop("several", "nth")
+
+
+def classify(found: DataFrame, first_stays: bool) -> DataFrame:
+    """Per document (_id, _th): marks (locs whose windows all repeat) and open
+    (h, loc, alone: windows that an index has to judge)."""
     return (
-        x.where(F.col("dup") | is_open)
+        compare(found, first_stays)
         .groupBy("_id", "_th")
         .agg(
             F.collect_list(F.when(F.col("dup"), F.col("loc"))).alias("marks"),
-            F.collect_list(F.when(is_open, F.struct("h", "loc", "alone", "lr"))).alias("open"),
+            F.collect_list(F.when(F.col("open"), F.struct("h", "loc", "alone"))).alias("open"),
         )
     )
 
@@ -147,8 +153,7 @@ def _join(rows: DataFrame, other: DataFrame, how: str) -> DataFrame:
 
 def ship(rows: DataFrame, known: DataFrame, units: Callable, span: int) -> DataFrame:
     """h, _id, _th, loc, alone, ctx (packed units) of every open context."""
-    todo = _join(rows.select("_id", "_th", "_raw"), known.where(F.size("open") > 0).select(
-        "_id", "_th", F.expr("transform(open, x -> named_struct('h', x.h, 'loc', x.loc, 'alone', x.alone))").alias("open")), "inner")
+    todo = _join(rows.select("_id", "_th", "_raw"), known.where(F.size("open") > 0).select("_id", "_th", "open"), "inner")
     names = ["h", "_id", "_th", "loc", "alone", "ctx"]
 
     def run(batches):
@@ -227,25 +232,23 @@ def judge(shipped: DataFrame, resolver: Callable, dtype, span: int) -> DataFrame
     return dealt.mapInArrow(run, "_id long, _th long, loc long")
 
 
-def crowds(known: DataFrame, span: int) -> DataFrame:
+def crowds(opened: DataFrame, span: int) -> DataFrame:
     """h of the gram groups whose open contexts exceed a shard: fewer than one
     in SHARD_UNITS units."""
-    own = F.col("o.loc").bitwiseAND(F.lit((1 << SHIFT) - 1)) + span
-    sums = known.select(F.explode("open").alias("o")).groupBy(F.col("o.h").alias("h")).agg(F.sum(own).alias("units"))
-    return sums.where(F.col("units") > SHARD_UNITS).select("h")
+    own = F.col("loc").bitwiseAND(F.lit((1 << SHIFT) - 1)) + span
+    return opened.groupBy("h").agg(F.sum(own).alias("units")).where(F.col("units") > SHARD_UNITS).select("h")
 
 
-def _sides(m: dict, u: np.ndarray, span: int, gram: int):
-    """The context of an open mark in two, by what its windows hold beside the
-    known units (``l`` left and ``r`` right of the gram): (h, c, loc, l, r).
+def _sides(ctx: np.ndarray, lr: int, span: int, gram: int):
+    """An open context in two, by what its windows hold beside the known units
+    (``l`` left and ``r`` right of the gram): (h, c, lo, hi, l, r), where the
+    windows of a part start at lo..hi in ctx.
 
     A window has ``rem`` units more than the known ones, so at least half of
     these lie on one side; equal windows have the gram at the same place and so
     go to the same side, with the same longer key."""
-    first = m["loc"] >> SHIFT
-    more = m["loc"] & ((1 << SHIFT) - 1)
-    left, right = m["lr"] >> SHIFT, m["lr"] & ((1 << SHIFT) - 1)
-    ctx = u[first:first + more + span]
+    more = len(ctx) - span
+    left, right = lr >> SHIFT, lr & ((1 << SHIFT) - 1)
     # the anchor of its first window is the anchor of all its windows
     grams = window_hashes(ctx[:span], gram)
     a = int(np.argmin((grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)))
@@ -261,69 +264,62 @@ def _sides(m: dict, u: np.ndarray, span: int, gram: int):
             key.update(f"{l} {r} ".encode() + ctx[a - l:a + gram + r].tobytes())
             whole.update(f"{a - lo} ".encode() + ctx[lo:hi + span].tobytes())
             h, c = (int.from_bytes(x.digest(), "little", signed=True) for x in (key, whole))
-            yield h, c, ((first + lo) << SHIFT) | (hi - lo), l, r
+            yield h, c, lo, hi, l, r
 
 
-def rekey(rows: DataFrame, deep: DataFrame, units: Callable, span: int, gram: int) -> DataFrame:
-    """As sample, for the two sides of every open context of ``deep``."""
-    todo = _join(rows.select("_id", "_th", "_raw"), deep, "inner")
+def rekey(deep: DataFrame, dtype, span: int, gram: int) -> DataFrame:
+    """As sample, for the two sides of every context of ``deep``, each with its
+    own part of the context."""
 
     def run(batches):
         for big in batches:
-            for b in slices(big, "_raw"):
+            for b in slices(big, "ctx"):
                 out, row = [], []
-                for i, (raw, marks) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
-                    u = units(raw)
-                    for m in marks:
-                        for h, c, loc, l, r in _sides(m, u, span, gram):
-                            # what is known to repeat counts twice
-                            out.append((h, c, loc, 1 if m["alone"] else 2, (l << SHIFT) | r))
-                            row.append(i)
+                for i, (loc, lr, alone, ctx) in enumerate(zip(*[c.to_pylist() for c in b.columns[2:]])):
+                    u = np.frombuffer(ctx, dtype=dtype)
+                    for h, c, lo, hi, l, r in _sides(u, lr, span, gram):
+                        # what is known to repeat counts twice
+                        out.append((h, c, (((loc >> SHIFT) + lo) << SHIFT) | (hi - lo), 1 if alone else 2, (l << SHIFT) | r, u[lo:hi + span].tobytes()))
+                        row.append(i)
                 if out:
-                    h, c, loc, n, lr = zip(*out)
+                    h, c, loc, n, lr, ctx = zip(*out)
                     take = pa.array(row)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(h, pa.int64()), pa.array(c, pa.int64()), b.column(0).take(take), b.column(1).take(take), pa.array(loc, pa.int64()), pa.array(n, pa.int32()), pa.array(lr, pa.int64())],
-                        ["h", "c", "_id", "_th", "loc", "n", "lr"])
+                        [pa.array(h, pa.int64()), pa.array(c, pa.int64()), b.column(0).take(take), b.column(1).take(take), pa.array(loc, pa.int64()), pa.array(n, pa.int32()), pa.array(lr, pa.int64()), pa.array(ctx, pa.binary())],
+                        ["h", "c", "_id", "_th", "loc", "n", "lr", "ctx"])
 
-    return todo.select("_id", "_th", "_raw", "open").mapInArrow(run, "h long, c long, _id long, _th long, loc long, n int, lr long")
+    return deep.select("_id", "_th", "loc", "lr", "alone", "ctx").mapInArrow(run, "h long, c long, _id long, _th long, loc long, n int, lr long, ctx binary")
 
 
-def settle(rows: DataFrame, known: DataFrame, units: Callable, span: int, gram: int, first_stays: bool) -> DataFrame:
-    """``known`` with every gram group too large for a shard split by longer
-    keys until its parts fit. A group of one content has nothing open, and each
-    round halves what a key leaves unknown, so the rounds are few."""
-    done = []
+def settle(shipped: DataFrame, dtype, span: int, gram: int, first_stays: bool) -> tuple[DataFrame, DataFrame | None]:
+    """The shipped contexts with every gram group too large for a shard split by
+    longer keys until its parts fit, and _id, _th, loc of the parts that repeat
+    as a whole (None: nothing was split). A group of one content has nothing
+    open, and each round halves what a key leaves unknown, so the rounds are
+    few. A round reads the contexts of the large groups alone, no text."""
+    opened, fit, marks = shipped.withColumn("lr", F.lit(0).cast("long")), None, None
     while True:
-        large = cut_lineage(crowds(known, span))
+        large = cut_lineage(crowds(opened, span))
         if not large.limit(1).count():
-            break
-        opened = known.select("_id", "_th", F.explode("open").alias("o"))
+            return (opened if fit is None else fit.unionByName(opened.select(fit.columns))), marks
         big = large.select(F.col("h").alias("big"))
-        deep = opened.join(big, F.col("o.h") == F.col("big"), "left_semi").groupBy("_id", "_th").agg(F.collect_list("o").alias("open"))
-        kept = opened.join(big, F.col("o.h") == F.col("big"), "left_anti").select("_id", "_th", F.lit(None).cast("long").alias("mark"), "o")
-        marks = known.select("_id", "_th", F.explode("marks").alias("mark")).withColumn("o", F.lit(None).cast(opened.schema["o"].dataType))
-        done.append(kept.unionByName(marks))
-        known = cut_lineage(classify(rekey(rows, deep, units, span, gram), first_stays))
-    if not done:
-        return known
-    for part in (
-        known.select("_id", "_th", F.explode("marks").alias("mark")).withColumn("o", F.lit(None).cast(known.schema["open"].dataType.elementType)),
-        known.select("_id", "_th", F.lit(None).cast("long").alias("mark"), F.explode("open").alias("o")),
-    ):
-        done.append(part)
-    both = done[0]
-    for part in done[1:]:
-        both = both.unionByName(part)
-    return cut_lineage(both.groupBy("_id", "_th").agg(F.collect_list("mark").alias("marks"), F.collect_list("o").alias("open")))
+        kept, deep = (opened.join(big, F.col("h") == F.col("big"), how) for how in ("left_anti", "left_semi"))
+        fit = kept if fit is None else fit.unionByName(kept.select(fit.columns))
+        split = compare(rekey(deep, dtype, span, gram), first_stays)
+        split = cut_lineage(split.select("h", "_id", "_th", "loc", "alone", F.when(F.col("open"), F.col("ctx")).alias("ctx"), "lr", "dup", "open"))
+        whole = split.where("dup").select("_id", "_th", "loc")
+        marks = whole if marks is None else marks.unionByName(whole)
+        opened = split.where("open").drop("dup", "open")
 
 
 def repeated(docs: DataFrame, units: Callable, dtype, resolver: Callable, span: int, gram: int, first_stays: bool, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
     """_id, _raw, the kept columns and marks: array<long> of every row of docs."""
     rows = keyed(docs, id_col, text_col, keep)
-    found = sample(rows, units, span, gram, first_stays).withColumn("lr", F.lit(0).cast("long"))
-    known = settle(rows, cut_lineage(classify(found, first_stays)), units, span, gram, first_stays)
-    judged = judge(ship(rows, known, units, span), resolver, dtype, span)
+    known = cut_lineage(classify(sample(rows, units, span, gram, first_stays), first_stays))
+    fit, split = settle(cut_lineage(ship(rows, known, units, span)), dtype, span, gram, first_stays)
+    judged = judge(fit.select("h", "_id", "_th", "loc", "alone", "ctx"), resolver, dtype, span)
+    if split is not None:
+        judged = judged.unionByName(split)
     marks = (
         known.where(F.size("marks") > 0).select("_id", "_th", "marks")
         .unionByName(judged.groupBy("_id", "_th").agg(F.collect_list("loc").alias("marks")))
