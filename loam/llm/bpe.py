@@ -19,6 +19,7 @@ from __future__ import annotations
 import gc
 import heapq
 import json
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loam.llm.common import sha256_hex, slices
+from loam.llm.common import give_back, sha256_hex, slices
 
 #: Split pattern of the byte-level pre-tokenizer (fixed by the tokenizer format).
 SPLIT = (
@@ -173,18 +174,23 @@ class PairIndexBPE:
         return [flat[s:e] for s, e in zip([0, *[e + 1 for e in ends[:-1]]], ends)]
 
     def _look_up(self, texts: list[str]):
-        """Yields the cached entries of the pre-tokens of each text, in order."""
-        pieces = [self._pieces(t) for t in texts]
-        fresh = set().union(*pieces).difference(self.cache)
-        if len(self.cache) + len(fresh) > CACHE_WORDS:
+        """Yields the cached entries of the pre-tokens of each text, in order. A
+        text is held as its entries; one string stands for all places of a
+        pre-token that is still to be merged."""
+        cache, fresh, held = self.cache, {}, []
+        for t in texts:
+            pieces = self._pieces(t)
+            try:
+                held.append((True, [cache[w] for w in pieces]))
+            except KeyError:
+                held.append((False, [cache.get(w) or fresh.setdefault(w, w) for w in pieces]))
+        if len(cache) + len(fresh) > CACHE_WORDS:
             self._forget()
-            fresh = set().union(*pieces).difference(self.cache)
         todo = list(fresh)
         for w, ids in zip(todo, self.merge(todo)):
             self._remember(w, ids)
-        cache = self.cache
-        for p in pieces:
-            yield [cache[w] for w in p]
+        for full, entries in held:
+            yield entries if full else [e if type(e) is tuple else cache[e] for e in entries]
 
     def encode_batch(self, texts: list[str]):
         """Yields the ids of each text (lists of int), in order."""
@@ -223,18 +229,30 @@ def _codec(path: str) -> PairIndexBPE:
     return PairIndexBPE(path)
 
 
+@contextmanager
+def _task_codec(path: str | None):
+    """The worker's codec; what a task has remembered goes with the task, since
+    the worker lives on beside the stages that follow."""
+    codec = _codec(path or default_path())
+    try:
+        yield codec
+    finally:
+        codec._forget()
+        give_back()
+
+
 def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", path: str | None = None) -> DataFrame:
     """Adds ``out_col`` array<int>: the token ids of ``text_col``. ``path`` must
     name the tokenizer file on every executor (null: the installed public one)."""
     schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches):
-        codec = _codec(path or default_path())
-        for big in batches:
-            for b in slices(big, text_col, SLICE_BYTES):
-                texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
-                ids = pa.array(list(codec.encode_batch([t or "" for t in texts])), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, out_col])
+        with _task_codec(path) as codec:
+            for big in batches:
+                for b in slices(big, text_col, SLICE_BYTES):
+                    texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
+                    ids = pa.array(list(codec.encode_batch([t or "" for t in texts])), pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, out_col])
 
     return df.mapInArrow(run, schema)
 
@@ -264,10 +282,10 @@ def round_trip_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ])
 
     def run(batches):
-        codec = _codec(path or default_path())
         gc.disable()  # no cycles are made here; scanning the cache again and again costs a quarter of the time
         try:
-            yield from digests(codec, batches)
+            with _task_codec(path) as codec:
+                yield from digests(codec, batches)
         finally:
             gc.enable()
 

@@ -279,6 +279,35 @@ def test_bpe_columns_round_trip(docs):
     assert all((r["text"] or "") == r["decoded"] and r["id"] == 7 for r in back.collect())
 
 
+def test_bpe_leaves_no_words_in_the_workers(spark, docs):
+    def left(batches):
+        import sys
+
+        import pyarrow as pa
+
+        for b in batches:
+            at = sys.modules.get("loam.llm.bpe")
+            codec = at._codec(at.default_path()) if at and at._codec.cache_info().currsize else None
+            yield pa.RecordBatch.from_arrays([pa.array([len(codec.cache) - len(codec.specials) if codec else 0])], ["n"])
+
+    bpe.round_trip_digest(docs).collect()
+    bpe.encode(docs.select("doc_id", "text")).collect()
+    probes = spark.range(0, 64, 1, 64).mapInArrow(left, "n long").collect()
+    assert len(probes) == 64 and max(r["n"] for r in probes) == 0
+
+
+def test_bpe_looks_up_one_word_among_known_and_new_ones():
+    codec = bpe.PairIndexBPE(bpe.default_path())
+    texts = ["aa bb", "aa cc <|endoftext|> bb", "", "aa bb", "dd"]
+    want = list(codec.encode_batch(texts))
+    assert [codec.decode(i) for i in want] == texts
+    assert list(codec.encode_batch(texts[::-1]))[::-1] == want  # all known
+    codec._forget()
+    assert [next(codec.encode_batch([t])) for t in texts] == want  # one by one
+    known = sum(1 for e in next(codec._look_up(["aa new aa"])) if e is codec.cache["aa"])
+    assert known == 1  # " aa" is another word
+
+
 def test_quality_learns_and_keeps_out_the_held_out(spark):
     rnd = random.Random(1)
     rows, labels = [], []
