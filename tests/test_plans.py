@@ -51,3 +51,22 @@ def test_filters_and_columns_reach_the_scan(spark):
     plan = ranking.ordered_parts(orders, ["o_orderkey"])._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_orderstatus), Not(EqualTo(o_orderstatus,P))]" in plan
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string>" in plan
+
+
+def test_mlp_search_takes_all_draws(monkeypatch):
+    from loam.plans import learners
+
+    seen = {}
+
+    class Table:
+        df, feature_names = None, ["a"]
+
+        def release(self):
+            pass
+
+    monkeypatch.setattr(learners, "_prepared", lambda *a, **kw: Table())
+    monkeypatch.setattr(learners.mlp, "search", lambda df, cols, label, draws, base: seen.update(draws=draws, base=base))
+    monkeypatch.setattr(learners.diagnostics, "search_rank", lambda *a: None)
+    learners.q_mlp_search(None, "")
+    assert seen["draws"] == learners.search.mlp_draws(20, 42)
+    assert (seen["base"].epochs, seen["base"].patience) == (100, 5)
