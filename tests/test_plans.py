@@ -70,3 +70,35 @@ def test_mlp_search_takes_all_draws(monkeypatch):
     learners.q_mlp_search(None, "")
     assert seen["draws"] == learners.search.mlp_draws(20, 42)
     assert (seen["base"].epochs, seen["base"].patience) == (100, 5)
+
+
+def searched(monkeypatch, query):
+    """What a registered search hands to the operator."""
+    from loam.plans import learners
+
+    seen = {}
+
+    class Frame:
+        def filter(self, _):
+            return self
+
+    class Table:
+        df, feature_names = Frame(), ["a"]
+
+        def release(self):
+            pass
+
+    def taken(train, kind, space, n_iter=None, k=None, overrides=None, **kw):
+        seen.update(kind=kind, space=space, n_iter=n_iter, k=k, overrides=overrides)
+
+    monkeypatch.setattr(learners, "_prepared", lambda *a, **kw: Table())
+    monkeypatch.setattr(learners.search, "random_search_cv", taken)
+    monkeypatch.setattr(learners.F, "col", lambda c: c)
+    query(None, "")
+    return seen
+
+
+def test_forest_search_takes_all_draws_and_folds(monkeypatch):
+    from loam.plans import learners
+
+    assert searched(monkeypatch, learners.q_search_results) == {"kind": "rf", "space": learners.search.RF_SPACE, "n_iter": 150, "k": 10, "overrides": None}
