@@ -108,3 +108,9 @@ def test_extra_trees_search_takes_all_draws_and_folds(monkeypatch):
     from loam.plans import learners
 
     assert searched(monkeypatch, learners.q_search_results_et) == {"kind": "et", "space": learners.search.ET_SPACE, "n_iter": 150, "k": 10, "overrides": None}
+
+
+def test_boosting_search_takes_whole_points(monkeypatch):
+    from loam.plans import learners
+
+    assert searched(monkeypatch, learners.q_search_results_gb) == {"kind": "gb", "space": learners.search.GB_SPACE, "n_iter": 150, "k": 10, "overrides": None}
