@@ -267,3 +267,44 @@ def test_mlp_step_on_whole_vectors_follows_the_plain_formulas():
     assert p["t"] == 1 and start["t"] == 0 and np.shares_memory(p["W"][0], theta) and np.shares_memory(p["m"]["b"][1], m)
     assert np.array_equal(theta, np.concatenate([a.ravel() for k in ("W", "b", "gamma", "beta") for a in p[k]]))
     assert np.array_equal(mlp.flat(start), mlp.flat(mlp.init_params(3, cfg, 1)))
+
+
+def test_mlp_shards_are_packed_in_hash_order(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    df = spark.range(900).select(
+        (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 60).cast("double").alias("b"),
+        (F.col("id") % 30).cast("double").alias("y"), F.when(F.col("id") % 5 == 0, "val").otherwise("train").alias("split"))
+    monkeypatch.setattr(mlp, "BLOCK_ROWS", 50)
+    want = {}
+    for r in df.select("*", F.xxhash64("a", "b", "y").alias("h")).collect():
+        want.setdefault(r["h"] % 3, []).append((r["h"], r["a"], r["b"], r["y"], 1.0, r["split"] == "val"))
+    for most in (mlp.SORT_ROWS, 20):  # one range of the hash a shard; many
+        monkeypatch.setattr(mlp, "SORT_ROWS", most)
+        data = mlp._sharded(df.repartition(4), ["a", "b"], "y", None, 3)
+        for shard, rows in want.items():
+            got = []
+            for r in data.where(F.col("shard") == shard).collect():
+                numbers, val = mlp._unpacked(r["block"], r["rows"], (np.float64, 4), (np.bool_, 1))
+                got.append([(*map(float, x), bool(v)) for x, v in zip(numbers.T, val[0])])
+            assert sum(got, []) == [x[1:] for x in sorted(rows)]
+            assert all(len(b) == 50 for b in got[:-1])
+        data.unpersist()
+
+
+def test_rows_of_colliding_hashes_are_ordered_by_their_values():
+    numbers = np.array([[2.0, 1.0, 1.0, 0.0], [5.0, 5.0, 5.0, 5.0], [1.0, 1.0, 1.0, 1.0]])
+    at = mlp._in_order(np.array([3, 3, 3, 9]), numbers, np.array([False, True, False, False]))
+    assert at.tolist() == [2, 1, 0, 3]
+
+
+def test_mlp_queries_keep_no_second_copy_of_the_table(spark, monkeypatch):
+    from loam.plans import learners
+
+    kept = []
+    monkeypatch.setattr(learners.training, "prepare", lambda df, cfg: kept.append(cfg.layout) or (_ for _ in ()).throw(KeyError))
+    monkeypatch.setattr(learners, "_soil", lambda *a: None)
+    for q in (learners.q_mlp_predict, learners.q_mlp_history, learners.q_mlp_search):
+        with pytest.raises(KeyError):
+            q(spark, "")
+    assert kept == [False] * 3
