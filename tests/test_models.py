@@ -308,3 +308,18 @@ def test_mlp_queries_keep_no_second_copy_of_the_table(spark, monkeypatch):
         with pytest.raises(KeyError):
             q(spark, "")
     assert kept == [False] * 3
+
+
+def test_table_partitions_follow_the_rows():
+    assert training.table_partitions(16, 500) == training.table_partitions(16, 16 << 19) == 16
+    assert training.table_partitions(16, 216_000_000) == 412  # the rows of a partition stay bounded
+
+
+def test_kept_tables_are_not_read_back_as_whole_blocks(spark):
+    cfg = training.TrainConfig(key_cols=["k"], features=["a"], target="cbr", clean=False)
+    df = spark.range(50).selectExpr("id as k", "id * 1.0D as a", "id + 2.0D as cbr")
+    p = training.prepare(df, cfg)
+    data = mlp._sharded(p.df, ["a"], "label", None, 2)
+    for kept in (p.df, data):
+        assert kept.storageLevel.useDisk and kept.storageLevel.deserialized
+        kept.unpersist()
